@@ -6,10 +6,12 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -35,79 +37,111 @@ _FLAT = sorted((lo, hi, i) for i, ranges in enumerate(SCRIPTS.values()) for lo,
 LETTERS = re.compile(r"[^\W\d_]+")
 UNKNOWN = "und"
 #: Words that one Python worker keeps scores of; beyond it starts anew.
-CACHE_ENTRIES = 400_000
+CACHE_ENTRIES = 500_000
 #: Texts whose words advance together.
 STEP = 2000
 
 
+@lru_cache(maxsize=1 << 16)
+def _script(letter: str) -> int:
+    p = ord(letter)
+    return next((i for lo, hi, i in _FLAT if lo <= p <= hi), len(SCRIPTS))
+
+
 def script_of(letters: str) -> int:
     """The script of most letters, the first of equals."""
-    found: Counter[int] = Counter()
-    for c in letters:
-        p = ord(c)
-        found[next((i for lo, hi, i in _FLAT if lo <= p <= hi), len(SCRIPTS))] += 1
-    return max(found, key=lambda i: (found[i], -i))
+    if letters.isascii():
+        return 0
+    found = list(map(_script, letters))
+    if found.count(found[0]) == len(found):
+        return found[0]
+    return max(found, key=lambda i: (found.count(i), -i))
 
 
 def grams(letters: str, longest: int) -> list[str]:
     """Character n-grams of a word with its ends marked, one letter at least."""
     w = f"<{letters}>"
-    return [w[i : i + n] for n in range(1, longest + 1) for i in range(len(w) - n + 1) if w[i : i + n] not in "<>"]
+    return [*letters, *[w[i : i + n] for n in range(2, longest + 1) for i in range(len(w) - n + 1)]]
 
 
 @dataclass
 class Model:
-    """Per-language scores of n-grams, and the scripts that each language is written in."""
+    """Per-language scores of n-grams (a row each, the first for unseen ones), and the scripts that each language is written in."""
 
     langs: list[str]
-    scores: dict[str, np.ndarray]
-    unseen: np.ndarray
+    row_of: dict[str, int]
+    scores: np.ndarray
     scripts: dict[int, np.ndarray]
     longest: int
     penalty: float
     floor: float
-    _rows: dict[str, int] = field(default_factory=dict)
+    _known: dict[str, int] = field(default_factory=dict)
     _table: np.ndarray | None = None
     _letters: np.ndarray | None = None
 
-    def word(self, letters: str) -> np.ndarray:
-        """Log scores relative to the best language: 0 for it, ``floor`` at least, for others less."""
-        allowed = self.scripts.get(script_of(letters))
-        if allowed is None:  # a script of no language: the word says nothing
-            return np.zeros(len(self.langs))
-        if allowed.sum() == 1:
-            return np.where(allowed, 0.0, self.floor)
-        total = np.zeros(len(self.langs))
-        for g in grams(letters, self.longest):
-            total += self.scores.get(g, self.unseen)
-        total = np.where(allowed, total, -np.inf)
-        return np.maximum(total - total.max(), self.floor)
-
-    def rows(self, words: list[str]) -> np.ndarray:
-        """Rows of the score table for whitespace-separated words, new ones being added."""
-        if self._table is None or len(self._rows) > CACHE_ENTRIES:
-            self._rows = {}
-            self._table, self._letters = np.zeros((1024, len(self.langs)), np.float32), np.zeros(1024, np.int32)
-        known = self._rows
-        for w in set(words).difference(known):
-            letters = "".join(LETTERS.findall(w.lower()))
+    def score(self, words: list[str]) -> np.ndarray:
+        """Log scores of words (letters only) relative to each one's best language: 0 for it, ``floor`` at least.
+
+        Languages that aren't written in the word's script get the floor; a word in a script of no
+        language, or without a letter, says nothing.
+        """
+        out = np.zeros((len(words), len(self.langs)), np.float32)
+        single = {s: int(a.argmax()) for s, a in self.scripts.items() if a.sum() == 1}
+        rows: list[int] = []
+        ends, at, script = [], [], []
+        row_of = self.row_of
+        for i, w in enumerate(words):
+            if not w or (s := script_of(w)) not in self.scripts:
+                continue
+            if s in single:
+                out[i] = self.floor
+                out[i, single[s]] = 0.0
+                continue
+            rows += [row_of[g] if g in row_of else 0 for g in grams(w, self.longest)]
+            ends.append(len(rows))
+            at.append(i)
+            script.append(s)
+        if at:
+            total = np.add.reduceat(self.scores[rows], [0, *ends[:-1]], axis=0)
+            masks = np.zeros((len(NAMES), len(self.langs)), bool)
+            for s, allowed in self.scripts.items():
+                masks[s] = allowed
+            total = np.where(masks[script], total, -np.inf)
+            out[at] = np.maximum(total - total.max(axis=1, keepdims=True), self.floor)
+        return out
+
+    def _rows(self, words: list[str]) -> np.ndarray:
+        """Rows of the table of scores for distinct words, new ones being added."""
+        known = self._known
+        new = [w for w in words if w not in known]
+        if new:
             n = len(known)
-            if n == len(self._table):
-                self._table = np.concatenate([self._table, np.zeros_like(self._table)])
-                self._letters = np.concatenate([self._letters, np.zeros_like(self._letters)])
-            known[w] = n
-            self._letters[n] = len(letters)
-            self._table[n] = self.word(letters) if letters else 0.0
+            if n + len(new) > len(self._table):
+                more = max(len(new), len(self._table))
+                self._table = np.concatenate([self._table, np.zeros((more, len(self.langs)), np.float32)])
+                self._letters = np.concatenate([self._letters, np.zeros(more, np.int32)])
+            lower = [w.lower() for w in new]
+            letters = [w if w.isalpha() else "".join(LETTERS.findall(w)) for w in lower]
+            self._table[n : n + len(new)] = self.score(letters)
+            self._letters[n : n + len(new)] = list(map(len, letters))
+            known.update(zip(new, range(n, n + len(new))))
         return np.fromiter(map(known.__getitem__, words), np.int64, len(words))
 
-    def label(self, texts: list[str | None]) -> list[tuple[np.ndarray, np.ndarray]]:
-        """For each text: the language of each word on the best path, and the word's letters.
+    def label(self, texts: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each text: the language of each word (runs between white space) on the best path, and the word's letters.
 
         Texts advance together, one word a step, the longest first.
         """
-        found = [self.rows(t.split()) if t else np.empty(0, np.int64) for t in texts]
-        scores = [self._table[r] if len(r) else None for r in found]
-        letters = [self._letters[r] for r in found] if found else []
+        if self._table is None or len(self._known) > CACHE_ENTRIES:
+            self._known = {}
+            self._table, self._letters = np.zeros((1024, len(self.langs)), np.float32), np.zeros(1024, np.int32)
+        words = pc.utf8_split_whitespace(pc.fill_null(texts, ""))
+        coded = words.flatten().dictionary_encode()
+        rows = self._rows(coded.dictionary.to_numpy(zero_copy_only=False).tolist())[coded.indices.to_numpy()]
+        cuts = words.offsets.to_numpy() - words.offsets[0].as_py()
+        found = [rows[a:b] for a, b in zip(cuts, cuts[1:])]
+        scores = [self._table[r] for r in found]
+        letters = [self._letters[r] for r in found]
         order = sorted(range(len(texts)), key=lambda i: -len(found[i]))
         order = [i for i in order if len(found[i])]
         if not order:
@@ -155,7 +189,7 @@ class Model:
         best = int(by.argmax())
         return self.langs[best], float(by[best] / total)
 
-    def verdicts(self, texts: list[str | None]) -> list[tuple[str, float]]:
+    def verdicts(self, texts: pa.Array) -> list[tuple[str, float]]:
         return [self.verdict(*x) for x in self.label(texts)] if self.langs else [(UNKNOWN, 0.0)] * len(texts)
 
 
@@ -183,7 +217,7 @@ def fit(
     )
     counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_langs).collect()
     if not counts:
-        return Model([], {}, np.empty(0), {}, longest, penalty, floor)
+        return Model([], {}, np.empty((1, 0)), {}, longest, penalty, floor)
     langs = sorted(r["lang"] for r in counts)
     # a first cut by hash leaves about three times the bound, then the first of each language are taken
     cut = {r["lang"]: min(1.0, 3.0 * max_docs / r["count"]) for r in counts}
@@ -224,13 +258,11 @@ def _model(langs: list[str], rows: list[tuple[str, str, int]], longest: int, pen
     size = max(1, len(counts))
     known = scripts.sum(axis=1) > 0
     used = (scripts >= 0.01 * scripts.sum(axis=1, keepdims=True)) & (scripts > 0) & known[:, None]
-    return Model(
-        langs,
-        {g: np.log((n + 0.5) / (total + 0.5 * size)) for g, n in counts.items()},
-        np.log(0.5 / (total + 0.5 * size)),
-        {s: used[:, s] for s in range(len(NAMES)) if used[:, s].any()},
-        longest, penalty, floor,
-    )
+    names = sorted(counts)
+    seen = np.array([counts[g] for g in names]).reshape(-1, len(langs))
+    scores = np.log((np.concatenate([np.zeros((1, len(langs))), seen]) + 0.5) / (total + 0.5 * size))
+    allowed = {s: used[:, s] for s in range(len(NAMES)) if used[:, s].any()}
+    return Model(langs, {g: i for i, g in enumerate(names, 1)}, scores, allowed, longest, penalty, floor)
 
 
 def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -246,7 +278,7 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
         for batch in it:
             for i in range(0, batch.num_rows, STEP):
                 part = batch.slice(i, STEP)
-                said = m.verdicts(part.column(1).to_pylist())
+                said = m.verdicts(part.column(1))
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), pa.array([x[0] for x in said], pa.string()), pa.array([x[1] for x in said], pa.float64())],
                     names=[id_col, "lang_pred", "score"],
@@ -266,7 +298,7 @@ def spans(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     def batches(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         m = shared.value
         for pdf in it:
-            texts = [t if isinstance(t, str) else None for t in pdf[text_col]]
+            texts = pa.array([t if isinstance(t, str) else None for t in pdf[text_col]], pa.string())
             out = []
             for key, (labels, letters) in zip(pdf[id_col], m.label(texts) if m.langs else []):
                 if letters.sum():
@@ -294,7 +326,7 @@ def accepted(docs: DataFrame, model: Model, min_score: float = 0.5, text_col: st
         for batch in it:
             for i in range(0, batch.num_rows, STEP):
                 part = batch.slice(i, STEP)
-                said = m.verdicts(part.column(at).to_pylist())
+                said = m.verdicts(part.column(at))
                 yield part.filter(pa.array([lang != UNKNOWN and score >= min_score for lang, score in said], pa.bool_()))
 
     return docs.mapInArrow(batches, docs.schema)
