@@ -9,7 +9,6 @@ checkpoints, is decoded without what stands before it.
 
 from __future__ import annotations
 
-import re
 import uuid
 from collections.abc import Callable, Iterator
 from functools import lru_cache
@@ -22,60 +21,50 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .shared import shared_folder, written
+from .words import WordTable
 
 LONGEST = 18  # bits of a code at most; the decoding table has 2 ** LONGEST rows
 EVERY = 256  # tokens between two checkpoints
-BLOCK_TOKENS = 1 << 19  # a block ends with the document that reaches so many
+BLOCK_TOKENS = 1 << 20  # a block ends with the document that reaches so many
+#: Rows that a task works on at once.
+STEP = 1000
 #: Words that one Python worker keeps the ids of; beyond it starts anew.
-CACHE_ENTRIES = 600_000
-#: Spaces after something visible are where no piece can span, so texts may be cut there.
-RUN, CUT = re.compile(r"\s\s|\s\Z"), re.compile(r"(?<=\S) ")
+CACHE_ENTRIES = 900_000
 
 
 class Tokens:
-    """The tokenizers library behind a table of words seen before."""
+    """The tokenizers library behind a table of words; ids are little-endian unsigned 32-bit integers."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self._first: dict[str, bytes] = {}
-        self._later: dict[str, bytes] = {}
-
-    def _learn(self, known: dict[str, bytes], before: str, words: set[str]) -> dict[str, bytes]:
-        """Encode new words; those too long to keep are returned instead."""
-        new = list(words.difference(known))
-        rare = {}
-        for at in range(0, len(new), 20_000):
-            part = new[at : at + 20_000]
-            got = self.tokenizer.encode_batch_fast([before + w for w in part], add_special_tokens=False)
-            for w, e in zip(part, got):
-                (known if len(w) <= 64 else rare)[w] = np.array(e.ids, "<u4").tobytes()
-        return rare
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        """Each text's ids as little-endian unsigned 32-bit integers."""
-        if len(self._later) > CACHE_ENTRIES:
-            self._later.clear()
-            self._first.clear()
-        cut = [(CUT.split(t) if RUN.search(t) else t.split(" ")) if t else [] for t in texts]
-        rare_first = self._learn(self._first, "", {words[0] for words in cut if words})
-        rare = self._learn(self._later, " ", {w for words in cut for w in words[1:]})
-        first = {**self._first, **rare_first} if rare_first else self._first
+        self.line_end = self._ids("\n")
+        self.words = WordTable(self._words, lambda t: self._ids(t).tobytes(), CACHE_ENTRIES)
+
+    def _ids(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+
+    def _words(self, words: list[str], together: int = 5000) -> list[bytes]:
+        """Words are encoded as lines of one text, whose ids are cut again at the line ends."""
+        if len(self.line_end) != 1:
+            return [self._ids(w).tobytes() for w in words]
         out = []
-        for words in cut:
-            if not words:
-                out.append(b"")
-                continue
-            later = self._later
-            if rare and not rare.keys().isdisjoint(words):
-                rest = [later[w] if w in later else rare[w] for w in words[1:]]
-            else:
-                rest = list(map(later.__getitem__, words[1:]))
-            out.append(b"".join([first[words[0]], *rest]))
+        for at in range(0, len(words), together):
+            part = words[at : at + together]
+            ids = self._ids("\n".join(part))
+            ends = np.flatnonzero(ids == self.line_end[0])
+            starts, stops = np.concatenate([[0], ends + 1]), np.append(ends, len(ids))
+            if len(starts) != len(part):
+                raise ValueError("a line end didn't come back as a token of its own")
+            raw = ids.tobytes()
+            out += [raw[4 * a : 4 * b] for a, b in zip(starts.tolist(), stops.tolist())]
         return out
 
+    def encode(self, texts: pa.Array) -> list[bytes]:
+        return self.words.encode(texts)
+
 
 @lru_cache(maxsize=2)
 def _tokens(path: str) -> Tokens:
@@ -83,24 +72,43 @@ def _tokens(path: str) -> Tokens:
 
 
 def token_ids(docs: DataFrame, tokenizer_path: str, end_id: int | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(id, n_tokens, lo, hi)``: ids of whole texts, the low and the high 16 bits apart (``hi`` null if all zero)."""
+    """``(id, n_tokens, lo, hi, counts)``: ids of whole texts, the low and the high 16 bits apart (``hi`` null if all zero).
+
+    Each task adds a last row that has nothing but ``counts``: how often it has seen each id.
+    """
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         end = b"" if end_id is None else np.array([end_id], "<u4").tobytes()
+        total, schema = np.zeros(0, np.int64), None
         for batch in it:
-            for i in range(0, batch.num_rows, 500):
-                part = batch.slice(i, 500)
-                sizes, lo, hi = [], [], []
-                for packed in _tokens(tokenizer_path).encode(part.column(1).to_pylist()):
-                    ids = np.frombuffer(packed + end, "<u4")
-                    sizes.append(len(ids))
-                    lo.append(ids.astype("<u2").tobytes())
-                    hi.append((ids >> 16).astype("<u2").tobytes() if ids.size and ids.max() >> 16 else None)
-                cols = [part.column(0), pa.array(sizes, pa.int64()), pa.array(lo, pa.binary()), pa.array(hi, pa.binary())]
-                yield pa.RecordBatch.from_arrays(cols, names=[id_col, "n_tokens", "lo", "hi"])
+            for i in range(0, batch.num_rows, STEP):
+                part = batch.slice(i, STEP)
+                packed = [p + end for p in _tokens(tokenizer_path).encode(part.column(1))]
+                ids = np.frombuffer(b"".join(packed), "<u4")
+                total = _added(total, np.bincount(ids))
+                low, tops = ids.astype("<u2").tobytes(), np.cumsum([0] + [len(p) // 2 for p in packed]).tolist()
+                lo = [low[a:b] for a, b in zip(tops, tops[1:])]
+                hi = [None] * len(lo)
+                if len(total) > 1 << 16:
+                    high = (ids >> 16).astype("<u2").tobytes()
+                    hi = [high[a:b] for a, b in zip(tops, tops[1:])]
+                sizes = pa.array([len(p) // 4 for p in packed], pa.int64())
+                cols = [part.column(0), sizes, pa.array(lo, pa.binary()), pa.array(hi, pa.binary()), pa.nulls(len(lo), pa.binary())]
+                got = pa.RecordBatch.from_arrays(cols, names=[id_col, "n_tokens", "lo", "hi", "counts"])
+                schema = got.schema
+                yield got
+        if schema is not None:
+            yield pa.RecordBatch.from_pylist([{"counts": total.astype("<i8").tobytes()}], schema=schema)
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(batches, f"`{id_col}` {kind}, n_tokens long, lo binary, hi binary")
+    return docs.select(id_col, text_col).mapInArrow(batches, f"`{id_col}` {kind}, n_tokens long, lo binary, hi binary, counts binary")
+
+
+def _added(total: np.ndarray, seen: np.ndarray) -> np.ndarray:
+    if len(seen) > len(total):
+        seen, total = total, seen.astype(np.int64)
+    total[: len(seen)] += seen
+    return total
 
 
 def _joined(lo: list[bytes], hi: list[bytes | None]) -> np.ndarray:
@@ -112,21 +120,18 @@ def _joined(lo: list[bytes], hi: list[bytes | None]) -> np.ndarray:
 
 
 def token_counts(ids: DataFrame) -> DataFrame:
-    """``(token, n)`` over all documents; each task sends a row for each token that it has seen."""
+    """``(token, n)`` over all documents, from what each task has counted."""
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(0, np.int64)
         for batch in it:
-            for i in range(0, batch.num_rows, 2000):
-                part = batch.slice(i, 2000)
-                seen = np.bincount(_joined(part.column(0).to_pylist(), part.column(1).to_pylist()))
-                if len(seen) > len(total):
-                    seen, total = total, seen.astype(np.int64)
-                total[: len(seen)] += seen
+            for counts in batch.column(0).to_pylist():
+                total = _added(total, np.frombuffer(counts, "<i8"))
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(total[used], pa.int64())], names=["token", "n"])
 
-    return ids.select("lo", "hi").mapInArrow(batches, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
+    rows = ids.where("counts is not null").select("counts")
+    return rows.mapInArrow(batches, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
 
 
 def code_lengths(counts: np.ndarray, longest: int = LONGEST) -> np.ndarray:
@@ -175,7 +180,7 @@ class Code:
 
     def table(self) -> tuple[np.ndarray, np.ndarray]:
         """For each bit pattern of the longest length: the token that it starts with, and that code's length."""
-        token, length = np.zeros(1 << self.longest, np.uint32), np.ones(1 << self.longest, np.int64)
+        token, length = np.zeros(1 << self.longest, np.uint32), np.ones(1 << self.longest, np.uint8)
         spread = np.left_shift(1, self.longest - self.lengths)
         used = int(spread.sum())
         token[:used], length[:used] = np.repeat(self.tokens, spread), np.repeat(self.lengths, spread)
@@ -249,8 +254,8 @@ def write_files(ids: DataFrame, path: str, id_col: str = "doc_id") -> None:
     def encode(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes, lengths = shared.value
         for batch in it:
-            for i in range(0, batch.num_rows, 500):
-                part = batch.slice(i, 500)
+            for i in range(0, batch.num_rows, STEP):
+                part = batch.slice(i, STEP)
                 sizes = np.array(part.column(1).to_pylist(), np.int64)
                 data, starts, at = pack_bits(_joined(part.column(2).to_pylist(), part.column(3).to_pylist()), sizes, codes, lengths)
                 raw, tops = data.tobytes(), np.concatenate([[0], np.cumsum(sizes)])
@@ -259,7 +264,7 @@ def write_files(ids: DataFrame, path: str, id_col: str = "doc_id") -> None:
                 cols = [part.column(0), part.column(1), pa.array(checks, pa.list_(pa.int32())), pa.array(bits, pa.binary())]
                 yield pa.RecordBatch.from_arrays(cols, names=[id_col, "n_tokens", "checks", "bits"])
 
-    encoded = ids.select(id_col, "n_tokens", "lo", "hi").mapInArrow(
+    encoded = ids.where("counts is null").select(id_col, "n_tokens", "lo", "hi").mapInArrow(
         encode, f"`{id_col}` {kind}, n_tokens long, checks array<int>, bits binary"
     )
     dealt = encoded.repartitionByRange(_parts(spark), id_col).sortWithinPartitions(id_col, "n_tokens", "bits")
