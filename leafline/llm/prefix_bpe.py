@@ -8,8 +8,6 @@ lets an edit keep all prefixes before it.
 from __future__ import annotations
 
 import base64
-import hashlib
-import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -18,10 +16,12 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from .words import WordTable
+
 #: Entries that one Python worker keeps of words, pieces and pairs it has seen; beyond it starts anew.
-CACHE_ENTRIES = 400_000
-#: Spaces after something visible are where no piece can span, so texts may be cut there.
-RUN, CUT = re.compile(r"\s\s|\s\Z"), re.compile(r"(?<=\S) ")
+CACHE_ENTRIES = 250_000
+#: Rows that a task encodes and hands on at once.
+STEP = 250
 
 
 class Ranks:
@@ -109,8 +109,7 @@ class Encoder:
     def __init__(self, ranks: Ranks, pattern: str):
         self.ranks, self.pieces = ranks, regex.compile(pattern)
         self._piece: dict[str, bytes] = {}
-        self._first: dict[str, bytes] = {}
-        self._later: dict[str, bytes] = {}
+        self.words = WordTable(lambda words: list(map(self._encoded, words)), self._encoded, CACHE_ENTRIES)
 
     def _encoded(self, text: str) -> bytes:
         out = []
@@ -125,24 +124,9 @@ class Encoder:
             out.append(packed)
         return b"".join(out)
 
-    def encode(self, text: str) -> bytes:
-        """Ids as little-endian unsigned 32-bit integers."""
-        words = (CUT.split if RUN.search(text) else str.split)(*((text,) if RUN.search(text) else (text, " ")))
-        if len(self._later) > CACHE_ENTRIES:
-            self._later.clear()
-            self._first.clear()
-        out = [self._word(self._first, "", words[0])]
-        known = self._later
-        for w in words[1:]:
-            out.append(known[w] if w in known else self._word(known, " ", w))
-        return b"".join(out)
-
-    def _word(self, known: dict[str, bytes], before: str, word: str) -> bytes:
-        if (packed := known.get(word)) is None:
-            packed = self._encoded(before + word)
-            if len(word) <= 64:
-                known[word] = packed
-        return packed
+    def encode(self, texts: pa.Array) -> list[bytes]:
+        """Ids of each text as little-endian unsigned 32-bit integers."""
+        return self.words.encode(texts)
 
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.ranks.bytes_of.__getitem__, np.frombuffer(ids, "<u4").tolist()))
@@ -166,9 +150,11 @@ def encode_documents(
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(ranks_path, pattern)
         for batch in it:
-            ids = [enc.encode(t) if t else b"" for t in batch.column(1).to_pylist()]
-            sizes = pa.array([len(x) // 4 for x in ids], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), sizes, pa.array(ids, pa.binary())], names=[id_col, "n_tokens", "ids"])
+            for i in range(0, batch.num_rows, STEP):
+                part = batch.slice(i, STEP)
+                ids = enc.encode(part.column(1))
+                sizes = pa.array([len(x) // 4 for x in ids], pa.int64())
+                yield pa.RecordBatch.from_arrays([part.column(0), sizes, pa.array(ids, pa.binary())], names=[id_col, "n_tokens", "ids"])
 
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(id_col, text_col).mapInArrow(batches, f"`{id_col}` {kind}, n_tokens long, ids binary")
@@ -181,12 +167,10 @@ def decode_documents(encoded: DataFrame, ranks_path: str, pattern: str, id_col:
         enc = encoder(ranks_path, pattern)
         for batch in it:
             at = batch.schema.get_field_index("ids")
-            decoded = pa.array([enc.decode(x or b"") for x in batch.column(at).to_pylist()], pa.binary())
-            yield pa.RecordBatch.from_arrays([*batch.columns, decoded], names=[*batch.schema.names, "decoded"])
+            for i in range(0, batch.num_rows, STEP):
+                part = batch.slice(i, STEP)
+                decoded = pa.array([enc.decode(x or b"") for x in part.column(at).to_pylist()], pa.binary())
+                yield pa.RecordBatch.from_arrays([*part.columns, decoded], names=[*part.schema.names, "decoded"])
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema)
     return encoded.mapInArrow(batches, f"{kinds}, decoded binary")
-
-
-def sha256(data: bytes | None) -> str:
-    return hashlib.sha256(data or b"").hexdigest()
