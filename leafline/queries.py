@@ -656,14 +656,14 @@ def k22_scene_availability(spark, sf):
 
 
 @_query(
-    """select o_orderkey, cast(strptime(substring(p,5,6),'%y%m%d') as date) as scene_date, substring(p,5,10) as scene_key, replace(replace(o_orderpriority,'&','and'),' ','_') as site, lpad(cast(o_custkey % 200 as varchar),3,'0') as chunk_no
- from (select *, 'img/' || strftime(cast(o_orderdate as date), '%y%m%d') || '_' || lpad(cast(o_orderkey % 1000 as varchar),3,'0') as p from orders)"""
+    """select o_orderkey, cast(strptime(substring(p,5,8),'%Y%m%d') as date) as scene_date, substring(p,5,12) as scene_key, replace(replace(o_orderpriority,'&','and'),' ','_') as site, lpad(cast(o_custkey % 200 as varchar),3,'0') as chunk_no
+ from (select *, 'img/' || strftime(cast(o_orderdate as date), '%Y%m%d') || '_' || lpad(cast(o_orderkey % 1000 as varchar),3,'0') as p from orders)"""
 )
 def h1_scene_names(spark, sf):
-    day = F.date_format("o_orderdate", "yyMMdd")
+    day = F.date_format("o_orderdate", "yyyyMMdd")
     rows = X.table(spark, sf, "orders").withColumn("p", F.concat(F.lit("img/"), day, F.lit("_"), S.zero_pad(F.col("o_orderkey") % 1000)))
     return rows.select(
-        "o_orderkey", S.scene_date("p", 5).alias("scene_date"), S.scene_key("p", 5, 14).alias("scene_key"), S.clean_site_name("o_orderpriority").alias("site"),
+        "o_orderkey", S.scene_date("p", 5, 8).alias("scene_date"), S.scene_key("p", 5, 16).alias("scene_key"), S.clean_site_name("o_orderpriority").alias("site"),
         S.zero_pad(F.col("o_custkey") % 200).alias("chunk_no"),
     )
 

@@ -52,7 +52,7 @@ def scan_layer_catalog(spark: SparkSession, path: str) -> DataFrame:
 
 def scan_csv_skip(spark: SparkSession, path: str, skip: int, schema: str) -> DataFrame:
     """Rows of many CSV files after ``skip`` lines each, with the file's path; one file is one task's text."""
-    text = spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_path").alias("path"), "value")
+    text = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
     lines = text.select("path", F.posexplode(F.split("value", "\r?\n")).alias("pos", "line")).where((F.col("pos") >= skip) & (F.col("line") != ""))
     return lines.select("path", F.from_csv("line", schema).alias("r")).select("path", "r.*")
 
