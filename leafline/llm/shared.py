@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
+from collections.abc import Callable, Hashable
 from functools import lru_cache
+from typing import Any
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,6 +17,30 @@ from pyspark.sql import functions as F
 BROADCAST_IDS = 2_000_000
 
 
+#: What this Python worker keeps between tasks.
+_held: dict[Hashable, Any] = {}
+
+
+def release_worker() -> None:
+    """Let go of what earlier tasks of another operator left in this Python worker."""
+    if _held:
+        _held.clear()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+
+
+def held_by_worker(key: Hashable, make: Callable[[], Any]) -> Any:
+    """The value of ``key``, made once in a Python worker and kept for its next tasks.
+
+    Spark gives a worker the tasks of one operator after another, so only the last key is kept:
+    the tables of several would add up beside the executor's heap.
+    """
+    if key not in _held:
+        release_worker()
+        _held[key] = make()
+    return _held[key]
+
+
 @lru_cache(maxsize=1)
 def _local_folder() -> str:
     return tempfile.mkdtemp(prefix="spark-", dir="/tmp")

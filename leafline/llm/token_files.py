@@ -11,7 +11,6 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable, Iterator
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -20,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import shared_folder, written
+from .shared import held_by_worker, shared_folder, written
 from .words import WordTable
 
 LONGEST = 18  # bits of a code at most; the decoding table has 2 ** LONGEST rows
@@ -66,9 +65,8 @@ class Tokens:
         return self.words.encode(texts)
 
 
-@lru_cache(maxsize=2)
 def _tokens(path: str) -> Tokens:
-    return Tokens(path)
+    return held_by_worker(("token_files", path), lambda: Tokens(path))
 
 
 def token_ids(docs: DataFrame, tokenizer_path: str, end_id: int | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
