@@ -9,13 +9,13 @@ from __future__ import annotations
 
 import base64
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from .shared import held_by_worker
 from .words import WordTable
 
 #: Entries that one Python worker keeps of words, pieces and pairs it has seen; beyond it starts anew.
@@ -132,10 +132,9 @@ class Encoder:
         return b"".join(map(self.ranks.bytes_of.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
-@lru_cache(maxsize=2)
 def encoder(path: str, pattern: str) -> Encoder:
     """One encoder for each Python worker; its caches serve all tasks there."""
-    return Encoder(Ranks.from_file(path), pattern)
+    return held_by_worker(("prefix_bpe", path, pattern), lambda: Encoder(Ranks.from_file(path), pattern))
 
 
 def encode_documents(
@@ -174,3 +173,25 @@ def decode_documents(encoded: DataFrame, ranks_path: str, pattern: str, id_col:
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema)
     return encoded.mapInArrow(batches, f"{kinds}, decoded binary")
+
+
+def round_trip(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``(id, n_tokens, ids, decoded)``: :func:`encode_documents`, then :func:`decode_documents`, in one pass.
+
+    Both steps in a row would take two Python workers a task, each with tables of its own. The
+    bytes are decoded from the packed ids alone.
+    """
+
+    def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enc = encoder(ranks_path, pattern)
+        for batch in it:
+            for i in range(0, batch.num_rows, STEP):
+                part = batch.slice(i, STEP)
+                ids = enc.encode(part.column(1))
+                sizes = pa.array([len(x) // 4 for x in ids], pa.int64())
+                decoded = pa.array(list(map(enc.decode, ids)), pa.binary())
+                cols = [part.column(0), sizes, pa.array(ids, pa.binary()), decoded]
+                yield pa.RecordBatch.from_arrays(cols, names=[id_col, "n_tokens", "ids", "decoded"])
+
+    kind = docs.schema[id_col].dataType.simpleString()
+    return docs.select(id_col, text_col).mapInArrow(batches, f"`{id_col}` {kind}, n_tokens long, ids binary, decoded binary")

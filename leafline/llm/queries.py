@@ -19,8 +19,7 @@ def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_prefix_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path, pattern = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
-    encoded = prefix_bpe.encode_documents(table(spark, sf_dir, "documents"), path, pattern)
-    back = prefix_bpe.decode_documents(encoded, path, pattern)
+    back = prefix_bpe.round_trip(table(spark, sf_dir, "documents"), path, pattern)
     return back.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 

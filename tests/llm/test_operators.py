@@ -71,6 +71,9 @@ def test_prefix_bpe(spark, odd, none):
         assert np.frombuffer(r["ids"], "<u4").tolist() == enc.encode_ordinary(text), repr(text)
         assert bytes(r["decoded"]) == text.encode()
     assert prefix_bpe.encode_documents(none, path, pattern).count() == 0
+    one = {r["doc_id"]: tuple(r) for r in prefix_bpe.round_trip(odd, path, pattern).collect()}
+    assert one == {r["doc_id"]: tuple(r) for r in prefix_bpe.decode_documents(coded, path, pattern).collect()}
+    assert prefix_bpe.round_trip(none, path, pattern).count() == 0
 
 
 def test_prefixes_append_and_edit():
