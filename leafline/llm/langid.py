@@ -15,6 +15,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .shared import release_worker
+
 # First code points of Unicode blocks, by script.
 SCRIPTS = {
     "latin": [(0x41, 0x5A), (0x61, 0x7A), (0xAA, 0xAA), (0xBA, 0xBA), (0xC0, 0x24F), (0x1E00, 0x1EFF), (0xFF21, 0xFF5A)],
@@ -37,7 +39,9 @@ _FLAT = sorted((lo, hi, i) for i, ranges in enumerate(SCRIPTS.values()) for lo,
 LETTERS = re.compile(r"[^\W\d_]+")
 UNKNOWN = "und"
 #: Words that one Python worker keeps scores of; beyond it starts anew.
-CACHE_ENTRIES = 500_000
+CACHE_ENTRIES = 250_000
+#: New words that are scored at once.
+SCORED = 5000
 #: Texts whose words advance together.
 STEP = 2000
 
@@ -122,10 +126,11 @@ class Model:
                 self._letters = np.concatenate([self._letters, np.zeros(more, np.int32)])
             lower = [w.lower() for w in new]
             letters = [w if w.isalpha() else "".join(LETTERS.findall(w)) for w in lower]
-            self._table[n : n + len(new)] = self.score(letters)
+            for i in range(0, len(new), SCORED):
+                self._table[n + i : n + min(i + SCORED, len(new))] = self.score(letters[i : i + SCORED])
             self._letters[n : n + len(new)] = list(map(len, letters))
             known.update(zip(new, range(n, n + len(new))))
-        return np.fromiter(map(known.__getitem__, words), np.int64, len(words))
+        return np.fromiter(map(known.__getitem__, words), np.int32, len(words))
 
     def label(self, texts: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
         """For each text: the language of each word (runs between white space) on the best path, and the word's letters.
@@ -138,44 +143,46 @@ class Model:
         words = pc.utf8_split_whitespace(pc.fill_null(texts, ""))
         coded = words.flatten().dictionary_encode()
         rows = self._rows(coded.dictionary.to_numpy(zero_copy_only=False).tolist())[coded.indices.to_numpy()]
-        cuts = words.offsets.to_numpy() - words.offsets[0].as_py()
-        found = [rows[a:b] for a, b in zip(cuts, cuts[1:])]
-        scores = [self._table[r] for r in found]
-        letters = [self._letters[r] for r in found]
-        order = sorted(range(len(texts)), key=lambda i: -len(found[i]))
-        order = [i for i in order if len(found[i])]
+        cuts = (words.offsets.to_numpy() - words.offsets[0].as_py()).tolist()
+        del words, coded
+        spread = self._letters[rows]
+        letters = [spread[a:b] for a, b in zip(cuts, cuts[1:])]
+        order = sorted((i for i in range(len(texts)) if cuts[i + 1] > cuts[i]), key=lambda i: cuts[i] - cuts[i + 1])
+        out = [(np.empty(0, np.int8), x) for x in letters]
         if not order:
-            return [(np.empty(0, np.int8), x) for x in letters]
-        sizes = np.array([len(found[i]) for i in order])
+            return out
+        sizes = np.array([cuts[i + 1] - cuts[i] for i in order])
         steps, n_langs = int(sizes[0]), len(self.langs)
         active = np.searchsorted(-sizes, -np.arange(1, steps + 1), side="right")  # texts with a word at each step
         starts = np.concatenate([[0], np.cumsum(active)])
-        emit = np.empty((starts[-1], n_langs), np.float32)  # by step, then by text
+        stepped = np.empty(starts[-1], np.int32)  # rows of the table by step, then by text
         for rank, i in enumerate(order):
-            emit[starts[: sizes[rank]] + rank] = scores[i]
-        back = np.empty((starts[-1], n_langs), np.int8)
+            stepped[starts[: sizes[rank]] + rank] = rows[cuts[i] : cuts[i + 1]]
+        del rows
+        tops = starts.tolist()
+        back = np.empty((tops[-1], n_langs), np.int8)
         own = np.arange(n_langs, dtype=np.int8)
-        s = emit[: starts[1]].copy()
+        s = self._table[stepped[: tops[1]]]
         finals = np.zeros((len(order), n_langs), np.float32)
         for t in range(1, steps):
-            n = active[t]
-            if n < len(s):
-                finals[n : len(s)] = s[n:]
-                s = s[:n]
-            best = s.argmax(axis=1)
-            jump = s[np.arange(n), best][:, None] - self.penalty
+            a, b = tops[t], tops[t + 1]
+            if b - a < len(s):
+                finals[b - a : len(s)] = s[b - a :]
+                s = s[: b - a]
+            best = s.argmax(axis=1).astype(np.int8)
+            jump = s.max(axis=1)[:, None] - self.penalty
             stay = s >= jump
-            back[starts[t] : starts[t + 1]] = np.where(stay, own, best[:, None].astype(np.int8))
-            s = np.where(stay, s, jump) + emit[starts[t] : starts[t + 1]]
+            back[a:b] = np.where(stay, own, best[:, None])
+            s = np.where(stay, s, jump) + self._table[stepped[a:b]]
         finals[: len(s)] = s
         state = finals.argmax(axis=1).astype(np.int8)
-        path = np.empty(starts[-1], np.int8)
+        path = np.empty(tops[-1], np.int8)
+        every = np.arange(len(order))
         for t in range(steps - 1, -1, -1):
-            n = active[t]
-            path[starts[t] : starts[t + 1]] = state[:n]
+            a, b = tops[t], tops[t + 1]
+            path[a:b] = state[: b - a]
             if t:
-                state[:n] = back[np.arange(starts[t], starts[t + 1]), state[:n]]
-        out = [(np.empty(0, np.int8), x) for x in letters]
+                state[: b - a] = back[a:b][every[: b - a], state[: b - a]]
         for rank, i in enumerate(order):
             out[i] = (path[starts[: sizes[rank]] + rank], letters[i])
         return out
@@ -274,6 +281,7 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_worker()
         m = shared.value
         for batch in it:
             for i in range(0, batch.num_rows, STEP):
@@ -296,6 +304,7 @@ def spans(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def batches(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        release_worker()
         m = shared.value
         for pdf in it:
             texts = pa.array([t if isinstance(t, str) else None for t in pdf[text_col]], pa.string())
@@ -322,6 +331,7 @@ def accepted(docs: DataFrame, model: Model, min_score: float = 0.5, text_col: st
     at = docs.columns.index(text_col)
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_worker()
         m = shared.value
         for batch in it:
             for i in range(0, batch.num_rows, STEP):
