@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+from functools import lru_cache
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,6 +25,21 @@ FEATURES = (
 SITE = "features array<struct<properties: struct<name: string>, geometry: struct<coordinates: array<array<array<double>>>>>>"
 
 
+@lru_cache(maxsize=1)
+def _local_folder() -> str:
+    return tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that driver and executors share; only a local master may do without that setting."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        folder = _local_folder()
+    return f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def scan_scene_pixels(spark: SparkSession, path: str, where: Column | None = None) -> DataFrame:
     """Scene rows with the fixed schema; ``where`` reaches the files and, on partition columns, the folders."""
     rows = spark.read.schema(SCENE_PIXELS).parquet(path)
