@@ -59,45 +59,83 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return docs.select(id_col, text_col).mapInArrow(batches, f"`{id_col}` {kind}, fp long")
 
 
-def _block_keys(fp: str, blocks: int, distance: int):
-    """Keys such that fingerprints within ``distance`` bits share one at least.
+def _choices(free: list[int], blocks: int, distance: int) -> list[tuple[list[int], list[int]]]:
+    """The bit positions ``free`` in ``blocks`` runs: for each choice of ``blocks - distance`` runs, its bits and the others.
 
-    At most ``distance`` of the blocks hold a differing bit, so some choice of the other
-    ``blocks - distance`` blocks is equal in both; a key is such a choice and its bits.
+    At most ``distance`` runs hold a differing bit, so fingerprints that are equal outside ``free``
+    and within ``distance`` bits agree on all runs of one choice at least.
     """
-    edges = [64 * i // blocks for i in range(blocks + 1)]
-    masks = [((1 << (b - a)) - 1) << a for a, b in zip(edges, edges[1:])]
-    keys = []
-    for n, chosen in enumerate(combinations(masks, blocks - distance)):
-        mask = sum(chosen)
-        signed = mask - (1 << 64) if mask >> 63 else mask
-        keys.append(F.struct(F.lit(n).alias("part"), F.col(fp).bitwiseAND(F.lit(signed)).alias("bits")))
-    return F.array(*keys)
+    edges = [len(free) * i // blocks for i in range(blocks + 1)]
+    runs = [free[a:b] for a, b in zip(edges, edges[1:])]
+    out = []
+    for chosen in combinations(range(blocks), blocks - distance):
+        same = [p for i in chosen for p in runs[i]]
+        out.append((same, [p for p in free if p not in set(same)]))
+    return out
 
 
-def near_pairs(prints: DataFrame, fp: str = "fp", distance: int = 2, blocks: int = 4) -> DataFrame:
+def _masked(fp: str, positions: list[int]):
+    mask = sum(1 << p for p in positions)
+    return F.col(fp).bitwiseAND(F.lit(mask - (1 << 64) if mask >> 63 else mask))
+
+
+def _matches(keyed: DataFrame, fp: str, distance: int) -> DataFrame:
+    a = keyed.withColumnRenamed(fp, "fa")
+    b = keyed.withColumnRenamed(fp, "fb")
+    apart = F.bit_count(F.col("fa").bitwiseXOR(F.col("fb")))
+    return a.join(b, ["part", "bits"]).where((F.col("fa") < F.col("fb")) & (apart <= distance)).select("fa", "fb", apart.alias("bits"))
+
+
+def near_pairs(prints: DataFrame, fp: str = "fp", distance: int = 2, blocks: int = 4, crowded: int = 2000) -> DataFrame:
     """``(fa, fb, bits)`` for distinct fingerprints ``fa < fb`` that differ in at most ``distance`` bits.
 
     ``prints`` must hold each fingerprint once. Four blocks and two bits give six keys of 32 bits
     each, so a key is shared by chance only beyond billions of fingerprints; the join's own
-    condition is the Hamming test, so no other pair leaves it.
+    condition is the Hamming test, so no other pair leaves it. Fingerprints that aren't spread
+    evenly may crowd a key: one with over ``crowded`` of them isn't joined as it is, but its free
+    bits are cut into blocks in turn (six keys of 48 bits, then of 56), which loses no pair. After
+    the second cut 8 bits are free, so no key holds more than 256 fingerprints, whatever the data.
     """
     if not 0 <= distance < blocks:
         raise ValueError("distance must be below the number of blocks")
-    keyed = prints.select(fp, F.explode(_block_keys(fp, blocks, distance)).alias("k")).select(fp, "k.part", "k.bits")
-    a = keyed.withColumnRenamed(fp, "fa")
-    b = keyed.withColumnRenamed(fp, "fb")
-    apart = F.bit_count(F.col("fa").bitwiseXOR(F.col("fb")))
-    return (
-        a.join(b, ["part", "bits"])
-        .where((F.col("fa") < F.col("fb")) & (apart <= distance))
-        .select("fa", "fb", apart.alias("bits"))
-        .distinct()
-    )
+    choices = _choices(list(range(64)), blocks, distance)
+    keys = [F.struct(F.lit(str(n)).alias("part"), _masked(fp, same).alias("bits")) for n, (same, _) in enumerate(choices)]
+    keyed = prints.select(fp, F.explode(F.array(*keys)).alias("k")).select(fp, "k.part", "k.bits")
+    free = {str(n): rest for n, (_, rest) in enumerate(choices)}
+    found = None
+    while True:
+        full = None
+        if max(map(len, free.values())) > max(8, blocks):
+            full = keyed.groupBy("part", "bits").count().where(F.col("count") > crowded).select("part", "bits")
+            full = written(full, "crowded-keys")
+            # a few names at most: one for each choice of blocks
+            parts = sorted(r["part"] for r in full.select("part").distinct().collect())
+        if full is None or not parts:
+            pairs = _matches(keyed, fp, distance)
+            return (pairs if found is None else found.union(pairs)).distinct()
+        roomy = _matches(keyed.join(full, ["part", "bits"], "left_anti"), fp, distance)
+        found = roomy if found is None else found.union(roomy)
+        finer, free_next = [], {}
+        for part in parts:
+            outside = [p for p in range(64) if p not in free[part]]
+            subs = []
+            for n, (same, rest) in enumerate(_choices(free[part], blocks, distance)):
+                name = f"{part}.{n}"
+                free_next[name] = rest
+                subs.append(F.struct(F.lit(name).alias("part"), _masked(fp, outside + same).alias("bits")))
+            finer.append(F.when(F.col("part") == part, F.array(*subs)))
+        crowd = keyed.join(full, ["part", "bits"], "left_semi").select(fp, F.explode(F.coalesce(*finer)).alias("k"))
+        keyed, free = written(crowd.select(fp, "k.part", "k.bits"), "crowded-prints"), free_next
 
 
 def near_duplicates(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, distance: int = 2, blocks: int = 4
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    width: int = 3,
+    distance: int = 2,
+    blocks: int = 4,
+    crowded: int = 2000,
 ) -> DataFrame:
     """``(id, fingerprint, component_id)`` per row of ``docs``.
 
@@ -108,7 +146,7 @@ def near_duplicates(
     """
     fps = written(fingerprints(docs, id_col, text_col, width), "simhash")
     reps = written(fps.groupBy("fp").agg(F.min(id_col).alias("rep")), "simhash-reps")
-    pairs = near_pairs(reps.select("fp"), "fp", distance, blocks)
+    pairs = near_pairs(reps.select("fp"), "fp", distance, blocks, crowded)
     links = (
         pairs.join(reps.select(F.col("fp").alias("fa"), F.col("rep").alias("a")), "fa")
         .join(reps.select(F.col("fp").alias("fb"), F.col("rep").alias("b")), "fb")

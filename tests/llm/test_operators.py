@@ -1,6 +1,7 @@
 """Each corpus operator against brute force, and on nulls, empty texts, repeats, empty tables and clashing columns."""
 
 import base64
+import random
 import re
 import zlib
 
@@ -237,6 +238,19 @@ def test_simhash_equals_brute_force(spark, small, odd, none):
     assert simhash.near_duplicates(whole).count() == 3
 
 
+@pytest.mark.parametrize("crowded", [1, 30, 2000])
+def test_crowded_simhash_keys_lose_no_pair(spark, crowded):
+    """Fingerprints that share 40 or 50 of their bits crowd the keys; the pairs are those of brute force."""
+    rng = random.Random(5)
+    base = rng.getrandbits(64)
+    fps = {base ^ rng.getrandbits(14) << 7 for _ in range(150)} | {base ^ rng.getrandbits(24) << 40 for _ in range(150)}
+    fps |= {f ^ 1 << rng.randrange(64) ^ 1 << rng.randrange(64) for f in list(fps)[:100]}
+    signed = sorted(f - (1 << 64) if f >> 63 else f for f in fps)
+    want = {(a, b, n) for i, a in enumerate(signed) for b in signed[i + 1 :] if (n := ((a ^ b) & (1 << 64) - 1).bit_count()) <= 2}
+    got = simhash.near_pairs(spark.createDataFrame([(f,) for f in signed], "fp long"), crowded=crowded).collect()
+    assert len(got) == len(want) and {tuple(r) for r in got} == want
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 101), (101, 100), (7, 7), (None, 3)]
     got = {r["node"]: r["component"] for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
