@@ -10,6 +10,7 @@ from __future__ import annotations
 import base64
 from collections.abc import Iterator
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 import regex
@@ -33,6 +34,11 @@ class Ranks:
         for b, i in ranks.items():
             self.bytes_of[i] = b
         self.longest = max(map(len, ranks), default=1)
+        #: All tokens that end at each byte, the longest first; bytes stand as characters.
+        self.ends = ahocorasick.Automaton()
+        for b, i in ranks.items():
+            self.ends.add_word(b.decode("latin-1"), (i, len(b)))
+        self.ends.make_automaton()
         self._own: dict[int, bool] = {}
         self._pairs: dict[int, bool] = {}
 
@@ -76,17 +82,15 @@ class Prefixes:
 
     def append(self, more: bytes) -> Prefixes:
         """Add bytes; what is stored for earlier prefixes stays as it is."""
-        r, ids, last = self.ranks, self.ranks.ids, self.last
+        last, stands, fit = self.last, self.ranks.stands, self.ranks.fit
         start, self.data = len(last), self.data + more
-        data = self.data
-        for end in range(start + 1, len(data) + 1):
-            for size in range(min(r.longest, end), 0, -1):
-                token = ids.get(data[end - size : end])
-                if token is not None and r.stands(token) and (size == end or r.fit(last[end - size - 1], token)):
-                    last.append(token)
-                    break
-            else:
-                raise ValueError(f"no token ends the prefix of {end} bytes; the ranks lack a single byte")
+        text = self.data.decode("latin-1")
+        for at, (token, size) in self.ranks.ends.iter(text, max(0, start - self.ranks.longest + 1)) if more else ():
+            # the first token that holds is the only one that can
+            if at == len(last) and stands(token) and (size > at or fit(last[at - size], token)):
+                last.append(token)
+        if len(last) < len(text):
+            raise ValueError(f"no token ends the prefix of {len(last) + 1} bytes; the ranks lack a single byte")
         return self
 
     def edit(self, start: int, stop: int, new: bytes) -> Prefixes:
