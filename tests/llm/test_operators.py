@@ -279,3 +279,44 @@ def test_pipeline(spark, small):
                 want.add(r["doc_id"])
     assert set(out["doc_id"]) == want
     assert zlib.crc32(b"") == 0 and (out["ids"].map(len) == 4 * out["n_tokens"]).all()
+
+
+def test_near_dedup_stage_finds_every_near_copy(spark):
+    """Groups by Jaccard 0.8 of five-word shingles, with chains, a crowded common passage and borderline copies, against brute force."""
+    import corpus_pipeline
+
+    from leafline.llm import near_copies
+
+    rng = random.Random(3)
+    words = [f"w{i}" for i in range(3000)]
+    passage = [rng.choice(words) for _ in range(60)]
+    texts = []
+    for k in range(12):
+        text = [rng.choice(words) for _ in range(150)] + passage * (k % 2)
+        for n in range(8):
+            texts.append(" ".join(text))
+            text = list(text) if n % 3 else text
+            for _ in range(n % 4 + 1):
+                text[rng.randrange(len(text))] = rng.choice(words)
+    texts += [texts[5], "one two", "One two", "one two three four five", "", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    sets = []
+    for t in texts:
+        w = (t or "").lower().split()
+        sets.append({tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set())
+    root = list(range(len(texts)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for a in range(len(sets)):
+        for b in range(a):
+            if sets[a] == sets[b] or len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) - 1e-9:
+                x, y = find(a), find(b)
+                root[max(x, y)] = min(x, y)
+    want = {i for i in range(len(texts)) if find(i) == i}
+    assert {r["doc_id"] for r in corpus_pipeline.near_dedup(spark, docs, "").collect()} == want
+    got = {r["doc_id"]: r["component"] for r in near_copies.components(docs).collect()}
+    assert got == {i: find(i) for i in range(len(texts))} and 12 < len(want) < 90
