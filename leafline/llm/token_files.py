@@ -15,6 +15,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -38,7 +39,7 @@ class Tokens:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.added = sorted({t.content for t in self.tokenizer.get_added_tokens_decoder().values()} - {""})
         self.line_end = self._ids("\n")
         self.words = WordTable(self._words, lambda t: self._ids(t).tobytes(), CACHE_ENTRIES)
 
@@ -62,7 +63,16 @@ class Tokens:
         return out
 
     def encode(self, texts: pa.Array) -> list[bytes]:
-        return self.words.encode(texts)
+        """Texts that hold the string of an added token are encoded whole, as it is cut out before all words."""
+        odd = np.zeros(len(texts), bool)
+        for token in self.added:
+            odd |= pc.fill_null(pc.match_substring(texts, token), False).to_numpy(zero_copy_only=False)
+        if not odd.any():
+            return self.words.encode(texts)
+        out = self.words.encode(pc.if_else(pa.array(odd), pa.scalar(None, texts.type), texts))
+        for i in np.flatnonzero(odd).tolist():
+            out[i] = self._ids(texts[i].as_py()).tobytes()
+        return out
 
 
 def _tokens(path: str) -> Tokens:

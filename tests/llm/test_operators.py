@@ -320,3 +320,16 @@ def test_near_dedup_stage_finds_every_near_copy(spark):
     assert {r["doc_id"] for r in corpus_pipeline.near_dedup(spark, docs, "").collect()} == want
     got = {r["doc_id"]: r["component"] for r in near_copies.components(docs).collect()}
     assert got == {i: find(i) for i in range(len(texts))} and 12 < len(want) < 90
+
+
+def test_token_files_keep_added_tokens(spark):
+    """The strings of added tokens are their ids, as the library gives them without any setting."""
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    tk = Tokenizer.from_file(path)
+    token = next(iter(tk.get_added_tokens_decoder().values())).content
+    texts = [f"end {token} start", "plain words\nhere", f"{token}", f"a{token}{token}\n\n  b", None, token[:-1]]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["ids"] for r in token_files.round_trip(docs, path, 2).collect()}
+    assert got == {i: np.array([*tk.encode(t or "", add_special_tokens=False).ids, 2], "<u4").tobytes() for i, t in enumerate(texts)}
