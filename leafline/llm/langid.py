@@ -82,6 +82,7 @@ class Model:
     _known: dict[str, int] = field(default_factory=dict)
     _table: np.ndarray | None = None
     _letters: np.ndarray | None = None
+    _told: np.ndarray | None = None
 
     def score(self, words: list[str]) -> np.ndarray:
         """Log scores of words (letters only) relative to each one's best language: 0 for it, ``floor`` at least.
@@ -124,31 +125,39 @@ class Model:
                 more = max(len(new), len(self._table))
                 self._table = np.concatenate([self._table, np.zeros((more, len(self.langs)), np.float32)])
                 self._letters = np.concatenate([self._letters, np.zeros(more, np.int32)])
+                self._told = np.concatenate([self._told, np.zeros(more, np.int32)])
             lower = [w.lower() for w in new]
             letters = [w if w.isalpha() else "".join(LETTERS.findall(w)) for w in lower]
             for i in range(0, len(new), SCORED):
                 self._table[n + i : n + min(i + SCORED, len(new))] = self.score(letters[i : i + SCORED])
             self._letters[n : n + len(new)] = list(map(len, letters))
+            self._told[n : n + len(new)] = [len(w) if w and script_of(w) in self.scripts else 0 for w in letters]
             known.update(zip(new, range(n, n + len(new))))
         return np.fromiter(map(known.__getitem__, words), np.int32, len(words))
 
     def label(self, texts: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
-        """For each text: the language of each word (runs between white space) on the best path, and the word's letters.
+        """For each text: the language of each word (runs between white space) on the best path, and the word's letters."""
+        return [(labels, letters) for labels, letters, _ in self._paths(texts)]
+
+    def _paths(self, texts: pa.Array) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Labels and letters as :meth:`label` gives them, and the letters again, but 0 for words in a script of no language.
 
         Texts advance together, one word a step, the longest first.
         """
         if self._table is None or len(self._known) > CACHE_ENTRIES:
             self._known = {}
             self._table, self._letters = np.zeros((1024, len(self.langs)), np.float32), np.zeros(1024, np.int32)
+            self._told = np.zeros(1024, np.int32)
         words = pc.utf8_split_whitespace(pc.fill_null(texts, ""))
         coded = words.flatten().dictionary_encode()
         rows = self._rows(coded.dictionary.to_numpy(zero_copy_only=False).tolist())[coded.indices.to_numpy()]
         cuts = (words.offsets.to_numpy() - words.offsets[0].as_py()).tolist()
         del words, coded
-        spread = self._letters[rows]
-        letters = [spread[a:b] for a, b in zip(cuts, cuts[1:])]
+        spread, known = self._letters[rows], self._told[rows]
+        letters = [(spread[a:b], known[a:b]) for a, b in zip(cuts, cuts[1:])]
+        kind = np.min_scalar_type(-len(self.langs))  # int8 up to 128 languages
         order = sorted((i for i in range(len(texts)) if cuts[i + 1] > cuts[i]), key=lambda i: cuts[i] - cuts[i + 1])
-        out = [(np.empty(0, np.int8), x) for x in letters]
+        out = [(np.empty(0, kind), *x) for x in letters]
         if not order:
             return out
         sizes = np.array([cuts[i + 1] - cuts[i] for i in order])
@@ -160,8 +169,8 @@ class Model:
             stepped[starts[: sizes[rank]] + rank] = rows[cuts[i] : cuts[i + 1]]
         del rows
         tops = starts.tolist()
-        back = np.empty((tops[-1], n_langs), np.int8)
-        own = np.arange(n_langs, dtype=np.int8)
+        back = np.empty((tops[-1], n_langs), kind)
+        own = np.arange(n_langs, dtype=kind)
         s = self._table[stepped[: tops[1]]]
         finals = np.zeros((len(order), n_langs), np.float32)
         for t in range(1, steps):
@@ -169,14 +178,14 @@ class Model:
             if b - a < len(s):
                 finals[b - a : len(s)] = s[b - a :]
                 s = s[: b - a]
-            best = s.argmax(axis=1).astype(np.int8)
+            best = s.argmax(axis=1).astype(kind)
             jump = s.max(axis=1)[:, None] - self.penalty
             stay = s >= jump
             back[a:b] = np.where(stay, own, best[:, None])
             s = np.where(stay, s, jump) + self._table[stepped[a:b]]
         finals[: len(s)] = s
-        state = finals.argmax(axis=1).astype(np.int8)
-        path = np.empty(tops[-1], np.int8)
+        state = finals.argmax(axis=1).astype(kind)
+        path = np.empty(tops[-1], kind)
         every = np.arange(len(order))
         for t in range(steps - 1, -1, -1):
             a, b = tops[t], tops[t + 1]
@@ -184,20 +193,23 @@ class Model:
             if t:
                 state[: b - a] = back[a:b][every[: b - a], state[: b - a]]
         for rank, i in enumerate(order):
-            out[i] = (path[starts[: sizes[rank]] + rank], letters[i])
+            out[i] = (path[starts[: sizes[rank]] + rank], *letters[i])
         return out
 
-    def verdict(self, labels: np.ndarray, letters: np.ndarray) -> tuple[str, float]:
-        """The language of most letters, the first of equals, and its share; unknown without a letter."""
+    def verdict(self, labels: np.ndarray, letters: np.ndarray, told: np.ndarray) -> tuple[str, float]:
+        """The language of most letters, the first of equals, and its share of all letters.
+
+        Letters in a script of no language count for none; unknown if there are no others.
+        """
         total = int(letters.sum())
-        if not total or not self.langs:
+        if not told.any() or not self.langs:
             return UNKNOWN, 0.0
-        by = np.bincount(labels, weights=letters, minlength=len(self.langs))
+        by = np.bincount(labels, weights=told, minlength=len(self.langs))
         best = int(by.argmax())
         return self.langs[best], float(by[best] / total)
 
     def verdicts(self, texts: pa.Array) -> list[tuple[str, float]]:
-        return [self.verdict(*x) for x in self.label(texts)] if self.langs else [(UNKNOWN, 0.0)] * len(texts)
+        return [self.verdict(*x) for x in self._paths(texts)] if self.langs else [(UNKNOWN, 0.0)] * len(texts)
 
 
 def fit(
@@ -207,22 +219,23 @@ def fit(
     id_col: str = "doc_id",
     max_docs: int = 500,
     max_grams: int = 20_000,
-    max_langs: int = 200,
+    max_langs: int | None = None,
     longest: int = 3,
     penalty: float = 8.0,
     floor: float = -6.0,
 ) -> Model:
     """Learn from ``max_docs`` documents of each language at most, the first by a hash of their ids.
 
-    The bounds are parameters: so many documents, n-grams a language and languages (the most
-    frequent) make the model, which therefore has a bounded size and is all that the driver holds.
+    The bounds are parameters: so many documents and n-grams of each language make the model, which
+    is all that the driver holds. All languages are learned, unless ``max_langs`` keeps the most frequent.
     Rows with a null text or language, or a text without a letter, teach nothing; with no row left
     the model knows no language and calls everything unknown.
     """
     rows = labelled.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()).select(
         F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"), F.xxhash64(F.col(id_col).cast("string")).alias("h")
     )
-    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_langs).collect()
+    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang")
+    counts = (counts if max_langs is None else counts.limit(max_langs)).collect()
     if not counts:
         return Model([], {}, np.empty((1, 0)), {}, longest, penalty, floor)
     langs = sorted(r["lang"] for r in counts)
@@ -275,7 +288,7 @@ def _model(langs: list[str], rows: list[tuple[str, str, int]], longest: int, pen
 def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(id, lang_pred, score)`` per row: the language of most letters on the Viterbi path, and its share.
 
-    ``und`` with score 0 if the text is null or has no letter. Whole texts are read, whatever their
+    ``und`` with score 0 if the text is null or has no letter in a script of the model's languages. Whole texts are read, whatever their
     length; the model's size is bounded, so it goes to every executor.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
@@ -299,7 +312,8 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
 def spans(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(id, span, start_word, n_words, lang)``: runs of one language in each text, in order.
 
-    Words without a letter go with the run that they stand in; texts without a letter have no span.
+    Words without a letter, or in a script of no language, go with the run that they stand in; texts
+    of nothing else have no span.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -309,8 +323,8 @@ def spans(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
         for pdf in it:
             texts = pa.array([t if isinstance(t, str) else None for t in pdf[text_col]], pa.string())
             out = []
-            for key, (labels, letters) in zip(pdf[id_col], m.label(texts) if m.langs else []):
-                if letters.sum():
+            for key, (labels, _, told) in zip(pdf[id_col], m._paths(texts) if m.langs else []):
+                if told.any():
                     starts = np.flatnonzero(np.diff(labels, prepend=np.int8(-1)))
                     ends = np.append(starts[1:], len(labels))
                     out += [(key, i, int(a), int(b - a), m.langs[labels[a]]) for i, (a, b) in enumerate(zip(starts, ends))]

@@ -333,3 +333,28 @@ def test_token_files_keep_added_tokens(spark):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {r["doc_id"]: r["ids"] for r in token_files.round_trip(docs, path, 2).collect()}
     assert got == {i: np.array([*tk.encode(t or "", add_special_tokens=False).ids, 2], "<u4").tobytes() for i, t in enumerate(texts)}
+
+
+def test_scripts_of_no_language_are_no_evidence(spark, small):
+    docs = _lang_docs(spark, small)
+    model = langid.fit(docs)
+    de = docs.where("lang = 'de'").first()["text"].replace("\n", " ")[:200]
+    russian = "Все счастливые семьи похожи друг на друга"
+    texts = [russian, "日本語 テキスト", f"{russian} " * 20 + de, f"{de} {russian}"]
+    new = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    said = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in langid.predict(new, model).collect()}
+    assert said[0] == said[1] == ("und", 0.0) and said[2][1] < 0.5 and said[3][0] == "de" and 0.5 < said[3][1] < 1
+    assert {r["doc_id"] for r in langid.accepted(new, model).collect()} == {3}
+    assert {r["doc_id"] for r in langid.spans(new, model).collect()} == {2, 3}
+
+
+def test_more_languages_than_a_byte_counts(spark):
+    """Each language has a letter of its own, so every text must come back as its own language."""
+    texts = [(i, f"l{i:03}", " ".join([chr(0x4E00 + i) * 3] * 4)) for i in range(210)]
+    model = langid._model([r[1] for r in texts], [x for _, lang, t in texts for x in ((lang, f"#{langid.NAMES.index('han')}", 12), (lang, t[0], 12))], 3, 8.0, -6.0)
+    import pyarrow as pa
+
+    assert [lang for lang, _ in model.verdicts(pa.array([r[2] for r in texts]))] == [r[1] for r in texts]
+    assert [int(x[0][0]) for x in model.label(pa.array([r[2] for r in texts]))] == list(range(len(texts)))
+    docs = spark.createDataFrame([(i, lang, t) for i, lang, t in texts], "doc_id long, lang string, text string")
+    assert langid.fit(docs).langs == sorted(r[1] for r in texts)
