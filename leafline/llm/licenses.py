@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections import OrderedDict
+from collections.abc import Container, Iterator
 from dataclasses import dataclass
 from math import ceil, floor
 
@@ -52,6 +53,7 @@ TEMPLATES = {
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0",
 }
 WORD = re.compile("[a-z0-9]+")
+LINE_END = re.compile("\r\n|\r|\n")
 
 
 def bigrams(text: str) -> frozenset[str]:
@@ -102,8 +104,71 @@ class Scanner:
                 for name, score in self.unit(u):
                     best, n = found.get(name, (0.0, 0))
                     found[name] = (max(best, score), n + 1)
+            found |= self.runs(text, found)
         return found
 
+    def runs(self, text: str, but: Container[str] = ()) -> dict[str, tuple[float, int]]:
+        """Best score over all runs of consecutive lines, and the number of runs apart, for each template but those named.
+
+        A run that reaches the threshold shares ``low`` pairs at least, so a text with fewer has
+        none. It stays one, of no lower score, without the lines at its start in which no pair of
+        the template starts; so only the other lines are tried as starts. From each, the distinct
+        pairs are gone through in the order of their first places, up to the size bound.
+        """
+        if len(lines := LINE_END.split(text)) < 2:
+            return {}
+        words: list[str] = []
+        ends = []  # for each word, the place of its line's last word
+        starts = []
+        for line in lines:
+            if own := WORD.findall(line.lower()):
+                starts.append(len(words))
+                words += own
+                ends += [len(words) - 1] * len(own)
+        pairs = list(map(" ".join, zip(words, words[1:])))
+        there = self.known.intersection(pairs)
+        wanted = [t for t in self.templates if t[0] not in but and len(there) >= t[2] and len(there & t[1]) >= t[2]]
+        if not wanted:
+            return {}
+        most = max(t[3] for t in wanted)
+        hits: dict[str, list[tuple[float, int, int]]] = {t[0]: [] for t in wanted}
+        ahead: OrderedDict[str, int] = OrderedDict()  # where each pair comes next, nearest first
+        left = len(pairs)
+        for start in reversed(starts):
+            for p in range(left - 1, start - 1, -1):
+                ahead[pairs[p]] = p
+                ahead.move_to_end(pairs[p], last=False)
+            left = min(left, start)
+            tried = [t for t in wanted if any(p in t[1] for p in pairs[start : ends[start] + 1])]
+            if not tried:
+                continue
+            near = []
+            for pair, p in ahead.items():
+                near.append((pair, p))
+                if len(near) > most:
+                    break
+            for name, template, low, high in tried:
+                same, best = 0, (0.0, 0, 0)
+                for size, (pair, p) in enumerate(near[: high], 1):
+                    same += pair in template
+                    stop = ends[p + 1]
+                    # the run may end with this line only if no other new pair lies before its end
+                    if size >= low and (size == len(near) or near[size][1] >= stop):
+                        best = max(best, (2 * same / (size + len(template)), start, stop))
+                if best[0] >= self.dice - 1e-12:
+                    hits[name].append(best)
+        out = {}
+        for name, own in hits.items():
+            apart: list[tuple[int, int]] = []
+            last = len(words)
+            for _, a, b in sorted(own, key=lambda x: -x[1]):
+                if b < last:
+                    apart.append((a, b))
+                    last = a
+            if own:
+                out[name] = (max(x[0] for x in own), len(apart))
+        return out
+
 
 def scan(
     docs: DataFrame, templates: dict[str, str] | None = None, dice: float = 0.8, id_col: str = "doc_id", text_col: str = "text"
@@ -111,8 +176,10 @@ def scan(
     """``(id, license, dice, n_units)``: the licences of which each document holds a notice or the text.
 
     Compared are each whole text, its paragraphs (between empty lines) and its lines, each distinct
-    unit once; ``dice`` is the best score over them, rounded to six places. Size bounds rule out
-    templates before any comparison. Null and empty texts hold none; every row of a repeated id
+    unit once; ``dice`` is the best score over them, rounded to six places. For a licence that none
+    of them reaches, every run of consecutive lines is compared (``\\r\\n`` and ``\\r`` end lines too):
+    ``dice`` is then the best run's, and ``n_units`` counts runs that don't overlap. Size bounds rule
+    out templates before any comparison. Null and empty texts hold none; every row of a repeated id
     reports. The templates are a fixed list and go with the task; nothing is shuffled.
     """
     scanner = Scanner.of(TEMPLATES if templates is None else templates, dice)

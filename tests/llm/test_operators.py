@@ -358,3 +358,47 @@ def test_more_languages_than_a_byte_counts(spark):
     assert [int(x[0][0]) for x in model.label(pa.array([r[2] for r in texts]))] == list(range(len(texts)))
     docs = spark.createDataFrame([(i, lang, t) for i, lang, t in texts], "doc_id long, lang string, text string")
     assert langid.fit(docs).langs == sorted(r[1] for r in texts)
+
+
+def test_licenses_over_several_lines(spark):
+    """Licence texts in paragraphs or wrapped lines inside longer documents, with any line ends; runs equal brute force."""
+    import textwrap
+
+    def laid_out(name, *cuts):
+        text, parts = licenses.TEMPLATES[name], []
+        for c in cuts:
+            head, text = text.split(c, 1)
+            parts.append(head)
+            text = c + text
+        return "\n\n".join("\n".join(textwrap.wrap(p, 70)) for p in [*parts, text])
+
+    around = "\n".join(f"line {i} of some longer document about thing {i * i}" for i in range(40))
+    whole = {
+        "MIT-text": laid_out("MIT-text", "The above copyright", "THE SOFTWARE IS"),
+        "Apache-2.0-header": laid_out("Apache-2.0-header", "You may obtain", "Unless required"),
+        "GPL-3.0-header": laid_out("GPL-3.0-header", "This program is distributed"),
+        "BSD-3-Clause": "Use of this source code is governed by a BSD-style\nlicense that can be found in the LICENSE file",
+    }
+    rows = [(name, end) for name in whole for end in ("\n", "\r\n", "\r")]
+    texts = [f"{around}\n{whole[name]}\n{around}".replace("\n", end) for name, end in rows]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {(r["doc_id"], r["license"]): (r["dice"], r["n_units"]) for r in licenses.scan(docs).collect()}
+    assert {(i, name) for i, (name, _) in enumerate(rows)} <= set(got)
+    assert all(got[i, name] == (1.0, 1) for i, (name, _) in enumerate(rows))
+    scanner, rng = licenses.Scanner.of(licenses.TEMPLATES, 0.8), random.Random(1)
+    for _ in range(30):
+        words = licenses.TEMPLATES[rng.choice(sorted(whole))].split()
+        for _ in range(rng.randrange(12)):
+            words[rng.randrange(len(words))] = "changed"
+        lines, at = ["before this", ""], 0
+        while at < len(words):
+            step = rng.randrange(1, 14)
+            lines += [" ".join(words[at : at + step])] + [""] * rng.randrange(2)
+            at += step
+        lines += lines[3:5] + ["after that"]
+        best = {}
+        for a in range(len(lines)):
+            for b in range(a, len(lines)):
+                for name, score in scanner.unit("\n".join(lines[a : b + 1])):
+                    best[name] = max(best.get(name, 0), score)
+        assert {k: x[0] for k, x in scanner.runs("\n".join(lines)).items()} == best
