@@ -19,6 +19,7 @@ MAX_CELLS = 2048  # of which each has about ten sampled rows at least
 BLOCK_ROWS = 8192  # rows that one task searches at once; larger cells are dealt to several blocks
 LEAF_ROWS = 256
 CHUNK_QUERIES = 4096  # queries that one task searches a block for
+PRODUCTS = 1 << 22  # components that are multiplied at once
 SLACK = 1e-9  # relative; products from different routines differ by less
 
 
@@ -125,7 +126,8 @@ def search_block(
             a, b = np.nonzero((rough + scale >= kth[mine][:, None]) & (ids[rows][None, :] != query_ids[mine][:, None]))
             found.append((mine[a], rows[b]))
         a, b = (np.concatenate(z) for z in zip(*found))
-        score = np.concatenate([(q[a[i : i + 100_000]] * x[b[i : i + 100_000]]).sum(axis=1) for i in range(0, len(a), 100_000)] or [np.empty(0)])
+        several = max(1, PRODUCTS // q.shape[1])
+        score = np.concatenate([(q[a[i : i + several]] * x[b[i : i + several]]).sum(axis=1) for i in range(0, len(a), several)] or [np.empty(0)])
         a, b, score = np.concatenate([top[0], a]), np.concatenate([top[1], b]), np.concatenate([top[2], score])
         order = np.lexsort((ids[b], -score, a))
         a, b, score = a[order], b[order], score[order]
@@ -143,7 +145,7 @@ def _arrays(column, width: int) -> np.ndarray:
 
 def nearest(
     vectors: DataFrame, is_query, k: int = 20, id_col: str = "vec_id", vec_col: str = "embedding",
-    dims: int = 16, confidence: float = 0.95, seed: int = 7,
+    dims: int = 16, confidence: float = 0.95, seed: int = 7, block_rows: int = BLOCK_ROWS, chunk_queries: int = CHUNK_QUERIES,
 ) -> DataFrame:
     """``(query_id, rank, id, score)``: for each row where ``is_query`` holds, its ``k`` best other rows.
 
@@ -151,8 +153,8 @@ def nearest(
     component turns it into a distance, which random normal projections keep up to a chi-square
     factor. Cells of a kd-tree, fitted on ``SAMPLE_ROWS`` projections, hold every row. A query is
     answered from its own block first; its k-th score there rules out cells by the chi-square
-    test, and the blocks of the others are searched with it. Each true neighbour is found with
-    ``confidence`` at least.
+    test, and the blocks of the others are searched with it, each in as many chunks as its own
+    visits need. Each true neighbour is found with ``confidence`` at least.
 
     Vectors that are null, zero, of another length than most, or hold null or non-finite
     components take no part, nor do rows with a null id; rows with the query's id are not its
@@ -194,7 +196,7 @@ def nearest(
     picked = good.withColumn("h", F.xxhash64("id")).where(F.col("h").bitwiseAND(F.lit((1 << 53) - 1)) < share * (1 << 53))
     sample = picked.orderBy("h").limit(SAMPLE_ROWS).select("x", "norm2").toPandas()
     sx = _arrays(sample["x"], width)
-    depth = min(int(math.log2(MAX_CELLS)), max(0, math.ceil(math.log2(n / BLOCK_ROWS))), int(math.log2(max(1, len(sx) / 8))))
+    depth = min(int(math.log2(MAX_CELLS)), max(0, math.ceil(math.log2(n / block_rows))), int(math.log2(max(1, len(sx) / 8))))
     levels = _cuts(projected(sx, np.sqrt(np.maximum(lift - sample["norm2"].to_numpy(), 0))), depth)
     cells = 1 << depth
 
@@ -214,6 +216,8 @@ def nearest(
             np.maximum.at(high, c, p)
             count += np.bincount(c, minlength=cells)
         used = np.flatnonzero(count)
+        if not len(used):  # a task without rows
+            return
         yield pd.DataFrame({"cell": used, "n": count[used], "low": list(low[used]), "high": list(high[used])})
 
     part = rows.select("p", "cell").mapInPandas(boxes, "cell long, n long, low array<double>, high array<double>")
@@ -221,7 +225,7 @@ def nearest(
     box = part.groupBy("cell").agg(F.sum("n").alias("n"), *sides).orderBy("cell").toPandas()  # one row for each cell
     low, high = box[[f"l{i}" for i in range(dims)]].to_numpy(), box[[f"h{i}" for i in range(dims)]].to_numpy()
     salts = np.zeros(cells, np.int64)
-    salts[box["cell"]] = -(-box["n"] // BLOCK_ROWS)
+    salts[box["cell"]] = -(-box["n"] // block_rows)
     first_block = np.concatenate([[0], np.cumsum(salts)])[:-1]
 
     def blocks(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -251,9 +255,8 @@ def nearest(
         return both.applyInPandas(search, "query_id long, id long, score double")
 
     queries = dealt.where("is_query").select(F.col("id").alias("query_id"), F.col("x").alias("q"), "block")
-    chunks = max(1, -(-queries.count() // CHUNK_QUERIES))
-    chunk = F.pmod(F.xxhash64("query_id"), F.lit(chunks)).alias("chunk")
-    home = queries.select("query_id", "q", "block", chunk, F.lit(float("-inf")).alias("bound"))
+    # a block has few queries of its own
+    home = queries.select("query_id", "q", "block", F.lit(0).cast("long").alias("chunk"), F.lit(float("-inf")).alias("bound"))
     near = written(searched(home), "near")
     kth = near.groupBy("query_id").agg(F.when(F.count("*") >= k, F.min("score")).alias("kth"))
 
@@ -271,7 +274,10 @@ def nearest(
             yield out[at != pdf["block"].to_numpy()[a]]
 
     visits = queries.join(kth, "query_id", "left").mapInPandas(visiting, "query_id long, q binary, block long, bound double")
-    far = searched(visits.select("query_id", "q", "block", chunk, "bound"))
+    visits = written(visits, "visits")
+    load = visits.groupBy("block").agg(F.ceil(F.count("*") / F.lit(chunk_queries)).alias("chunks"))
+    chunk = F.pmod(F.xxhash64("query_id"), F.col("chunks")).alias("chunk")
+    far = searched(visits.join(load, "block").select("query_id", "q", "block", chunk, "bound"))
     best = near.union(far).groupBy("query_id").agg(F.collect_list(F.struct((-F.col("score")).alias("s"), "id")).alias("all"))
     top = best.select("query_id", F.posexplode(F.slice(F.array_sort("all"), 1, k)).alias("pos", "c"))
     return top.select("query_id", (F.col("pos") + 1).alias("rank"), F.col("c.id").alias(id_col), (-F.col("c.s")).alias("score"))
