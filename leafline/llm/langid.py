@@ -42,8 +42,8 @@ UNKNOWN = "und"
 CACHE_ENTRIES = 250_000
 #: New words that are scored at once.
 SCORED = 5000
-#: Texts whose words advance together.
-STEP = 2000
+#: Texts whose words advance together: so many at most, and so many bytes of them for each language; a longer text goes alone.
+STEP, TOGETHER = 2000, 1 << 27
 
 
 @lru_cache(maxsize=1 << 16)
@@ -211,6 +211,18 @@ class Model:
     def verdicts(self, texts: pa.Array) -> list[tuple[str, float]]:
         return [self.verdict(*x) for x in self._paths(texts)] if self.langs else [(UNKNOWN, 0.0)] * len(texts)
 
+    def steps(self, texts: pa.Array) -> Iterator[tuple[int, int]]:
+        """Where to cut ``texts``, as starts and lengths, so that the paths of one step fit in memory."""
+        most = TOGETHER // max(1, len(self.langs))
+        start, held = 0, 0
+        for i, size in enumerate(pc.fill_null(pc.binary_length(texts), 0).to_pylist()):
+            if i > start and (i - start == STEP or held + size > most):
+                yield start, i - start
+                start, held = i, 0
+            held += size
+        if len(texts) > start:
+            yield start, len(texts) - start
+
 
 def fit(
     labelled: DataFrame,
@@ -218,24 +230,21 @@ def fit(
     lang_col: str = "lang",
     id_col: str = "doc_id",
     max_docs: int = 500,
-    max_grams: int = 20_000,
-    max_langs: int | None = None,
     longest: int = 3,
     penalty: float = 8.0,
     floor: float = -6.0,
 ) -> Model:
     """Learn from ``max_docs`` documents of each language at most, the first by a hash of their ids.
 
-    The bounds are parameters: so many documents and n-grams of each language make the model, which
-    is all that the driver holds. All languages are learned, unless ``max_langs`` keeps the most frequent.
+    The bound is a parameter: so many documents of each language make the model, which is all that
+    the driver holds. All languages and all n-grams of those documents are learned.
     Rows with a null text or language, or a text without a letter, teach nothing; with no row left
     the model knows no language and calls everything unknown.
     """
     rows = labelled.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()).select(
         F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"), F.xxhash64(F.col(id_col).cast("string")).alias("h")
     )
-    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang")
-    counts = (counts if max_langs is None else counts.limit(max_langs)).collect()
+    counts = rows.groupBy("lang").count().collect()  # a row for each language
     if not counts:
         return Model([], {}, np.empty((1, 0)), {}, longest, penalty, floor)
     langs = sorted(r["lang"] for r in counts)
@@ -260,9 +269,7 @@ def fit(
         yield pd.DataFrame([(lang, g, n) for (lang, g), n in rows.items()], columns=["lang", "gram", "n"])
 
     grams_of = sample.mapInPandas(count, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    by_count = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")
-    kept = grams_of.withColumn("r", F.row_number().over(by_count)).where((F.col("r") <= max_grams) | F.col("gram").startswith("#"))
-    return _model(langs, [(r["lang"], r["gram"], r["n"]) for r in kept.collect()], longest, penalty, floor)
+    return _model(langs, [(r["lang"], r["gram"], r["n"]) for r in grams_of.collect()], longest, penalty, floor)
 
 
 def _model(langs: list[str], rows: list[tuple[str, str, int]], longest: int, penalty: float, floor: float) -> Model:
@@ -297,8 +304,8 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
         release_worker()
         m = shared.value
         for batch in it:
-            for i in range(0, batch.num_rows, STEP):
-                part = batch.slice(i, STEP)
+            for start, n in m.steps(batch.column(1)):
+                part = batch.slice(start, n)
                 said = m.verdicts(part.column(1))
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), pa.array([x[0] for x in said], pa.string()), pa.array([x[1] for x in said], pa.float64())],
@@ -317,21 +324,24 @@ def spans(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    def batches(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release_worker()
         m = shared.value
-        for pdf in it:
-            texts = pa.array([t if isinstance(t, str) else None for t in pdf[text_col]], pa.string())
-            out = []
-            for key, (labels, _, told) in zip(pdf[id_col], m._paths(texts) if m.langs else []):
-                if told.any():
-                    starts = np.flatnonzero(np.diff(labels, prepend=np.int8(-1)))
-                    ends = np.append(starts[1:], len(labels))
-                    out += [(key, i, int(a), int(b - a), m.langs[labels[a]]) for i, (a, b) in enumerate(zip(starts, ends))]
-            yield pd.DataFrame(out, columns=[id_col, "span", "start_word", "n_words", "lang"])
+        for batch in it:
+            for start, n in m.steps(batch.column(1)) if m.langs else ():
+                part = batch.slice(start, n)
+                out: list[tuple] = []
+                for row, (labels, _, told) in enumerate(m._paths(part.column(1))):
+                    if told.any():
+                        firsts = np.flatnonzero(np.concatenate([[True], labels[1:] != labels[:-1]]))
+                        ends = np.append(firsts[1:], len(labels))
+                        out += [(row, i, int(a), int(b - a), m.langs[labels[a]]) for i, (a, b) in enumerate(zip(firsts, ends))]
+                kinds = (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.string())
+                row, *cols = (pa.array([x[k] for x in out], kind) for k, kind in enumerate(kinds))
+                yield pa.RecordBatch.from_arrays([part.column(0).take(row), *cols], names=[id_col, "span", "start_word", "n_words", "lang"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInPandas(batches, f"`{id_col}` {kind}, span int, start_word long, n_words long, lang string")
+    return docs.select(id_col, text_col).mapInArrow(batches, f"`{id_col}` {kind}, span int, start_word long, n_words long, lang string")
 
 
 def held_out(id_col: str = "doc_id", folds: int = 5):
@@ -348,8 +358,8 @@ def accepted(docs: DataFrame, model: Model, min_score: float = 0.5, text_col: st
         release_worker()
         m = shared.value
         for batch in it:
-            for i in range(0, batch.num_rows, STEP):
-                part = batch.slice(i, STEP)
+            for start, n in m.steps(batch.column(at)):
+                part = batch.slice(start, n)
                 said = m.verdicts(part.column(at))
                 yield part.filter(pa.array([lang != UNKNOWN and score >= min_score for lang, score in said], pa.bool_()))
 
