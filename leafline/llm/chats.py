@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .shared import free_name
+
 
 def prefix_hashes(turns: DataFrame, conv_id: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
     """``(conv, pos, n, h1, h2)``: for each turn, the hashes of the conversation up to it.
@@ -47,10 +49,12 @@ def rendered_turn(role: str | Column = "role", text: str | Column = "text") -> C
 def render(turns: DataFrame, conv_id: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
     """``(conv_id, n_turns, chat)`` for each maximal conversation, its turns in order.
 
-    Null roles and texts render as empty. A row holds one conversation, as the result must.
+    Null roles and texts render as empty. Turns with a null id make one conversation; repeated rows
+    are turns like any other. Texts are rendered as they are, end marks within them too. A row
+    holds one conversation, as the result must.
     """
-    keep = maximal(turns, conv_id, turn, role, text)
-    mine = turns.join(keep.withColumnRenamed(conv_id, "_conv"), F.col(conv_id).eqNullSafe(F.col("_conv")), "left_semi")
+    keep, kept = maximal(turns, conv_id, turn, role, text), free_name(turns, "_conv")
+    mine = turns.join(keep.withColumnRenamed(conv_id, kept), F.col(conv_id).eqNullSafe(F.col(kept)), "left_semi")
     one = F.struct(F.col(turn).alias("t"), F.col(role).alias("r"), F.col(text).alias("x"))
     in_order = F.sort_array(F.collect_list(one))
     chats = mine.groupBy(conv_id).agg(F.count("*").alias("n_turns"), in_order.alias("turns"))

@@ -77,6 +77,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, lengthened until no column of ``df`` is called so."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def without_ids(docs: DataFrame, ids: DataFrame, id_col: str) -> DataFrame:
     """``docs`` but for the rows whose id is in ``ids``; null ids stay. ``ids`` should be a written table."""
     ids = ids.select(id_col).distinct()
