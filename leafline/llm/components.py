@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from .shared import written
 
@@ -13,8 +14,9 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
 
     Every round hooks each node's parent below the smallest parent among its neighbours and then
     halves the paths, so chains shrink geometrically. Rounds are written to the shared folder;
-    parents only ever fall, so an unchanged sum means that it is done. Only sums reach the driver.
-    Null ends are ignored; an empty edge table gives an empty result.
+    parents only ever fall, so an unchanged sum (of their hashes, if nodes aren't whole numbers) means
+    that it is done. Only sums reach the driver. Nodes may be of any type that has an order. Null
+    ends are ignored; an empty edge table gives an empty result.
     """
     e = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u is not null and v is not null and u <> v")
     both = written(e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct(), "edges")
@@ -39,4 +41,5 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
 
 
 def _sum(parent: DataFrame):
-    return parent.agg(F.sum(F.col("p").cast("decimal(38,0)"))).first()[0]
+    number = F.col("p") if isinstance(parent.schema["p"].dataType, IntegralType) else F.xxhash64("p")
+    return parent.agg(F.sum(number.cast("decimal(38,0)"))).first()[0]
