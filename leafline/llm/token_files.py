@@ -16,7 +16,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark import TaskContext
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -26,8 +26,8 @@ from .words import WordTable
 LONGEST = 18  # bits of a code at most; the decoding table has 2 ** LONGEST rows
 EVERY = 256  # tokens between two checkpoints
 BLOCK_TOKENS = 1 << 20  # a block ends with the document that reaches so many
-#: Rows that a task works on at once.
-STEP = 1000
+#: Rows that a task tokenizes at once, and codes that it packs at once.
+STEP, PACKED = 1000, 1 << 18
 #: Words that one Python worker keeps the ids of; beyond it starts anew.
 CACHE_ENTRIES = 900_000
 
@@ -204,11 +204,16 @@ def pack_bits(ids: np.ndarray, sizes: np.ndarray, codes: np.ndarray, lengths: np
     starts = np.concatenate([[0], np.cumsum((bits + 7) // 8)])
     at = total[:-1] + np.repeat(8 * starts[:-1] - total[firsts[:-1]], sizes)
     # each code within two 32-bit words; the bits of different codes don't meet, so sums are unions
-    wide = codes[ids] << (64 - (at & 31) - size).astype(np.uint64)
-    word, n = at >> 5, int(starts[-1] // 4 + 2)
-    packed = np.bincount(word, weights=(wide >> np.uint64(32)).astype(np.float64), minlength=n)
-    packed[1:] += np.bincount(word, weights=(wide & np.uint64(0xFFFFFFFF)).astype(np.float64), minlength=n)[: n - 1]
-    return packed.astype(np.uint32).astype(">u4").view(np.uint8)[: starts[-1]], starts, at
+    packed = np.zeros(int(starts[-1] // 4 + 2), np.uint32)
+    for i in range(0, len(ids), PACKED):
+        own = at[i : i + PACKED]
+        wide = codes[ids[i : i + PACKED]] << (64 - (own & 31) - size[i : i + PACKED]).astype(np.uint64)
+        first = int(own[0] >> 5)
+        word, n = (own >> 5) - first, int((own[-1] >> 5) - first + 2)
+        part = np.bincount(word, weights=(wide >> np.uint64(32)).astype(np.float64), minlength=n)
+        part[1:] += np.bincount(word, weights=(wide & np.uint64(0xFFFFFFFF)).astype(np.float64), minlength=n)[: n - 1]
+        packed[first : first + n] += part.astype(np.uint32)
+    return packed.astype(">u4").view(np.uint8)[: starts[-1]], starts, at
 
 
 def unpack_bits(data: bytes, starts: np.ndarray, counts: np.ndarray, table: tuple[np.ndarray, np.ndarray], longest: int) -> np.ndarray:
@@ -244,12 +249,14 @@ def _stretches(sizes: np.ndarray) -> np.ndarray:
 BLOCK = "part int, before long, n_tokens long, doc_ids array<{id}>, sizes array<long>, starts array<int>, checks array<long>, bits binary"
 
 
-def write_files(ids: DataFrame, path: str, id_col: str = "doc_id") -> None:
+def write_files(ids: DataFrame, path: str, id_col: str = "doc_id", block_tokens: int = BLOCK_TOKENS) -> None:
     """Write the table of :func:`token_ids` as token files at ``path``, in ascending order of id.
 
     Counts are over all documents; only they (a row for each token id) and the code pass through
-    the driver. Documents are encoded where they are and then dealt out by ranges of ids. Rows
-    with one id stay together, ordered by their ids' bits; null ids come first.
+    the driver. Ids are dealt out by ranges of document ids and encoded there, a block at a time;
+    ``ids`` should be a written table, as the ranges are found by a scan of its own. Rows with one
+    id stay together, ordered by their tokens; null ids come first; a document without a token is
+    an empty stretch of its block. No row gives no block.
     """
     spark = ids.sparkSession
     rows = token_counts(ids).orderBy("token").collect()
@@ -258,61 +265,48 @@ def write_files(ids: DataFrame, path: str, id_col: str = "doc_id") -> None:
     spark.createDataFrame(pd.DataFrame({"token": tokens, "bits": lengths}), "token long, bits long").coalesce(1).write.parquet(f"{path}/code")
     shared = spark.sparkContext.broadcast(Code(tokens, lengths).of_token())
     kind = ids.schema[id_col].dataType.simpleString()
-
-    def encode(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes, lengths = shared.value
-        for batch in it:
-            for i in range(0, batch.num_rows, STEP):
-                part = batch.slice(i, STEP)
-                sizes = np.array(part.column(1).to_pylist(), np.int64)
-                data, starts, at = pack_bits(_joined(part.column(2).to_pylist(), part.column(3).to_pylist()), sizes, codes, lengths)
-                raw, tops = data.tobytes(), np.concatenate([[0], np.cumsum(sizes)])
-                bits = [raw[a:b] for a, b in zip(starts, starts[1:])]
-                checks = [(at[a:b:EVERY] - 8 * s).tolist() for a, b, s in zip(tops, tops[1:], starts)]
-                cols = [part.column(0), part.column(1), pa.array(checks, pa.list_(pa.int32())), pa.array(bits, pa.binary())]
-                yield pa.RecordBatch.from_arrays(cols, names=[id_col, "n_tokens", "checks", "bits"])
-
-    encoded = ids.where("counts is null").select(id_col, "n_tokens", "lo", "hi").mapInArrow(
-        encode, f"`{id_col}` {kind}, n_tokens long, checks array<int>, bits binary"
-    )
-    dealt = encoded.repartitionByRange(_parts(spark), id_col).sortWithinPartitions(id_col, "n_tokens", "bits")
-    dealt.mapInArrow(_blocks(id_col), BLOCK.format(id=kind)).write.option("compression", "uncompressed").parquet(f"{path}/blocks")
+    each = ids.where("counts is null").select(id_col, "n_tokens", "lo", "hi")
+    dealt = each.repartitionByRange(_parts(spark), id_col).sortWithinPartitions(id_col, "n_tokens", "lo", "hi")
+    blocks = dealt.mapInArrow(_blocks(shared, block_tokens), BLOCK.format(id=kind))
+    blocks.write.option("compression", "uncompressed").parquet(f"{path}/blocks")
 
 
 def _parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def _blocks(id_col: str) -> Callable:
+def _blocks(shared: Broadcast, block_tokens: int) -> Callable:
+    """Encodes rows in their order; only the documents of one block are held."""
+
     def blocks(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
+        codes, lengths = shared.value
         held: list[tuple] = []
-        before, tokens, schema = 0, 0, None
-
-        def block() -> pa.RecordBatch:
-            starts = np.concatenate([[0], np.cumsum([len(b) for *_, b in held])])
-            checks = [8 * int(s) + c for s, (_, _, own, _) in zip(starts, held) for c in own]
-            row = {
-                "part": part, "before": before, "n_tokens": tokens, "doc_ids": [h[0] for h in held], "sizes": [h[1] for h in held],
-                "starts": starts[:-1].tolist(), "checks": checks, "bits": b"".join(h[3] for h in held),
-            }
-            return pa.RecordBatch.from_pylist([row], schema=schema)
+        before, tokens = 0, 0
+
+        def block(key: pa.DataType) -> pa.RecordBatch:
+            doc_ids, sizes, lo, hi = zip(*held)
+            bits, starts, at = pack_bits(_joined(lo, hi), np.array(sizes, np.int64), codes, lengths)
+            tops = np.concatenate([[0], np.cumsum(sizes)]).tolist()
+            checks = np.concatenate([at[a:b:EVERY] for a, b in zip(tops, tops[1:])])
+            cols = [
+                pa.array([part], pa.int32()), pa.array([before], pa.int64()), pa.array([tokens], pa.int64()), pa.array([doc_ids], pa.list_(key)),
+                pa.array([sizes], pa.list_(pa.int64())), pa.array([starts[:-1]], pa.list_(pa.int32())), pa.array([checks], pa.list_(pa.int64())),
+                pa.array([bits.tobytes()], pa.binary()),
+            ]
+            return pa.RecordBatch.from_arrays(cols, names=["part", "before", "n_tokens", "doc_ids", "sizes", "starts", "checks", "bits"])
 
         for batch in it:
             key = batch.schema.field(0).type
-            schema = pa.schema([
-                ("part", pa.int32()), ("before", pa.int64()), ("n_tokens", pa.int64()), ("doc_ids", pa.list_(key)), ("sizes", pa.list_(pa.int64())),
-                ("starts", pa.list_(pa.int32())), ("checks", pa.list_(pa.int64())), ("bits", pa.binary()),
-            ])
-            for held_row in zip(*(c.to_pylist() for c in batch.columns)):
-                held.append(held_row)
-                tokens += held_row[1]
-                if tokens >= BLOCK_TOKENS:
-                    yield block()
+            for row in zip(*(c.to_pylist() for c in batch.columns)):
+                held.append(row)
+                tokens += row[1]
+                if tokens >= block_tokens:
+                    yield block(key)
                     before += tokens
                     held, tokens = [], 0
         if held:
-            yield block()
+            yield block(key)
 
     return blocks
 
@@ -353,7 +347,12 @@ def read_files(spark: SparkSession, path: str, id_col: str = "doc_id") -> DataFr
 
 
 def round_trip(docs: DataFrame, tokenizer_path: str, end_id: int | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Tokenize ``docs``, write them as token files in the shared folder and read those back."""
+    """``(id, start, n_tokens, ids)``: ``docs`` tokenized, written as token files in the shared folder and read back.
+
+    Null counts as empty; without ``end_id`` such a text has no token, and keeps its row. Rows with
+    null or repeated ids stay, as :func:`write_files` orders them. The strings of added tokens
+    become their ids, as by the library's default.
+    """
     spark = docs.sparkSession
     path = f"{shared_folder(spark)}/tokens-{uuid.uuid4().hex}"
     write_files(written(token_ids(docs, tokenizer_path, end_id, id_col, text_col), "token-ids"), path, id_col)
