@@ -25,6 +25,11 @@ def find_peaks(curve: DataFrame, keys: list[str], slot: str = "day_idx", value:
     return peaks.join(values, [*keys, "peak"]).select(*keys, "peak", value)
 
 
+def peaks_by_magnitude(peaks: DataFrame, keys: list[str], value: str = "v") -> DataFrame:
+    """``peaks`` with ``place``: from the smallest value, ties by slot."""
+    return peaks.withColumn("place", F.row_number().over(Window.partitionBy(*keys).orderBy(value, "peak")))
+
+
 def turning_points(x: np.ndarray) -> np.ndarray:
     """The same for one array, from 0, by rising value."""
     code = np.sign(np.diff(x))

@@ -2,17 +2,24 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.scalar import date_from_doy, doy_across_years, shift_point
+
 
 def point_in_extent(points: DataFrame, extents: DataFrame, x: str = "x", y: str = "y") -> DataFrame:
     """Points with each extent ``(x0, x1, y0, y1)`` that holds them.
 
-    Extents must be few (sites, not cells): they are broadcast, and Spark's size limits hold.
+    An equi-join on squares as wide as the widest extent, of which an extent meets four at most, then
+    the exact test. Whether the extents are broadcast is left to Spark, by their size.
     """
+    widest = extents.agg(F.max(F.greatest(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")))).first()[0]
+    side = float(widest or 0) or 1.0
+    at = lambda c: F.floor(F.col(c) / side)
+    squares = extents.withColumn("_bx", F.explode(F.sequence(at("x0"), at("x1")))).withColumn("_by", F.explode(F.sequence(at("y0"), at("y1"))))
     inside = F.col(x).between(F.col("x0"), F.col("x1")) & F.col(y).between(F.col("y0"), F.col("y1"))
-    return points.join(F.broadcast(extents), inside)
+    return points.withColumns({"_bx": at(x), "_by": at(y)}).join(squares, ["_bx", "_by"]).where(inside).drop("_bx", "_by")
 
 
 def in_ring(x: Column, y: Column, ring: Column) -> Column:
@@ -86,15 +93,27 @@ def density_2d(pairs: DataFrame, x: str, y: str, x0: float, x1: float, y0: float
     return inside.groupBy(at(x, x0, x1).alias("bx"), at(y, y0, y1).alias("by")).agg(F.count("*").alias("n"))
 
 
-def sample_n(rows: DataFrame, n: int, key: str, seed: int) -> DataFrame:
-    """``n`` rows without replacement, the same for any partitioning: the first by a seeded hash of the key."""
-    return rows.orderBy(F.xxhash64(F.col(key), F.lit(seed)), key).limit(n)
+def _drawn(*of: Column | str) -> Column:
+    """Hex digits that depend on all the values, and look random."""
+    return F.md5(F.concat_ws("|", *of))
+
+
+def sample_n(rows: DataFrame, n: int, key: str | list[str], seed: int, by: list[str] | None = None) -> DataFrame:
+    """``n`` rows without replacement, of each group of ``by`` if given: the first by a seeded hash of the key.
+
+    So the sample is the same for any partitioning.
+    """
+    keys = [key] if isinstance(key, str) else key
+    order = [_drawn(*keys, F.lit(seed)), *keys]
+    if not by:
+        return rows.orderBy(*order).limit(n)
+    return rows.withColumn("_n", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("_n") <= n).drop("_n")
 
 
-def random_points(extents: DataFrame, n: int, seed: int) -> DataFrame:
-    """``n`` uniform points in each extent, numbered from 0."""
+def random_points(extents: DataFrame, n: int, seed: int, key: str = "site") -> DataFrame:
+    """``n`` uniform points in each extent, numbered from 0; they depend on the extent's key and the seed."""
     each = extents.select("*", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("point"))
-    unit = lambda k: (F.pmod(F.xxhash64(*extents.columns, "point", F.lit(seed + k)), F.lit(1 << 30)) + 0.5) / float(1 << 30)
+    unit = lambda k: F.conv(F.substring(_drawn(key, "point", F.lit(seed + k)), 1, 7), 16, 10).cast("long") / float(1 << 28)
     return each.select(
         *extents.columns, "point",
         (F.col("x0") + unit(0) * (F.col("x1") - F.col("x0"))).alias("x"), (F.col("y0") + unit(1) * (F.col("y1") - F.col("y0"))).alias("y"),
@@ -104,3 +123,46 @@ def random_points(extents: DataFrame, n: int, seed: int) -> DataFrame:
 def series_overlay(series: DataFrame, station: DataFrame, on: list[str]) -> DataFrame:
     """A cell's series beside a station's, on all dates of either."""
     return series.join(station, on, "full")
+
+
+def station_matchup(
+    stations: DataFrame, extents: DataFrame, cells: DataFrame, dates: DataFrame, by: list[str], radius: float = 7.5, days: int = 100, shift: float = 30.0
+) -> DataFrame:
+    """``(by, direction, n, r, rmse, bias)``: transition dates of stations against the product around them.
+
+    ``stations`` has ``station``, ``x``, ``y`` and the columns ``by``; ``extents`` a ``site`` each; ``cells``
+    ``(site, cx, cy, year, direction, value)`` with days of the year; ``dates`` ``(station, direction, seen)``.
+    A station inside a site's extent, moved north by ``shift``, gets the rounded median of the cells around
+    it for each year; that date meets the station's nearest one less than ``days`` away, and the days of
+    the year are compared, those across a turn of the year corrected.
+    """
+    inside = point_in_extent(stations, extents).withColumn("y", shift_point("y", shift))
+    own = ["station", *by, "site", "year", "direction"]
+    around = buffer_extract(inside.select("station", *by, "site", "x", "y"), cells, radius, "value", ["site"], own).where("median_value is not null")
+    told = around.select(*own, date_from_doy("year", "median_value").alias("told"))
+    near = nearest_within(told, dates.select("station", "direction", "seen"), ["station", "direction"], "told", "seen", days)
+    pairs = near.select(*by, "direction", doy_across_years("nearest", F.year("told")).alias("a"), F.dayofyear("told").alias("b"))
+    return agreement(pairs, "a", "b", [*by, "direction"])
+
+
+def grid_matchup(
+    extents: DataFrame, tiles: DataFrame, fine: DataFrame, coarse: DataFrame, n: int = 3000, radius: float = 45.0, sample: int = 100_000, seed: int = 11
+) -> DataFrame:
+    """``(layer, stat, n, r, rmse, bias)``: two products around random points of each site.
+
+    ``fine`` has ``(site, cx, cy, layer, value)``, ``coarse`` ``(tile, cx, cy, layer, value)``. ``n`` points are
+    drawn in each site's extent; a site's tile is the first by name that holds any of them. The rounded
+    medians and means of both products within ``radius`` make a pair where both are known; of each
+    layer's pairs ``sample`` are compared, medians and means apart.
+    """
+    points = random_points(extents, n, seed).select("site", "point", "x", "y")
+    first = point_in_extent(points, tiles).where(in_ring(F.col("x"), F.col("y"), F.col("ring"))).groupBy("site").agg(F.min("name").alias("tile"))
+    own = ["site", "point", "layer"]
+    a = buffer_extract(points, fine, radius, "value", ["site"], own)
+    b = buffer_extract(points.join(first, "site"), coarse, radius, "value", ["tile"], own)
+    both = a.select(*own, F.col("median_value").alias("ma"), F.col("mean_value").alias("aa")).join(
+        b.select(*own, F.col("median_value").alias("mb"), F.col("mean_value").alias("ab")), own
+    )
+    picked = sample_n(both.dropna(), sample, ["site", "point"], seed, ["layer"])
+    stats = picked.select("layer", F.expr("stack(2, 'median', ma, mb, 'mean', aa, ab) as (stat, a, b)"))
+    return agreement(stats, "a", "b", ["layer", "stat"])

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalar import chunk_of
-from .masks import BANDS, apply_qa_mask
+from .masks import BANDS, apply_qa_mask, crop_window, require_four_bands
 
 KEYS = ["site_id", "cell"]
 
@@ -30,6 +30,16 @@ def daily_pipeline(scenes: DataFrame) -> DataFrame:
     return daily_mosaic(apply_qa_mask(scenes))
 
 
+def scene_pipeline(scenes: DataFrame, grid: DataFrame, cx: float, cy: float, half: float = 5000.0, on: str = "cell", date: str = "obs_date") -> DataFrame:
+    """Scenes to a site's gridded days: four-band scenes, masked, inside the window, averaged, on every cell of the window's grid.
+
+    ``scenes`` has ``n_bands`` and each cell's ``x`` and ``y``, as the grid has. Filters come before the one
+    shuffle of the means; the grid's days are few and broadcast.
+    """
+    inside = crop_window(require_four_bands(scenes), cx, cy, half)
+    return align_to_grid(daily_mosaic(apply_qa_mask(inside), keys=[on]), crop_window(grid, cx, cy, half).select(on), on, date)
+
+
 def to_pixel_arrays(daily: DataFrame, bands: tuple[str, ...] = BANDS, keys: list[str] = KEYS, date: str = "obs_date") -> DataFrame:
     """One row for each cell with its series in date order: as many entries as the cell has dates."""
     return daily.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(date, *bands))).alias("series"))
@@ -55,5 +65,6 @@ def grid_extent(images: DataFrame, res: float, x: str = "x", y: str = "y") -> Da
     """The cells of the union of image extents: ``(row, col, x, y)``, rows from the top."""
     e = images.agg(F.min(x).alias("x0"), F.max(x).alias("x1"), F.min(y).alias("y0"), F.max(y).alias("y1"))
     rows = e.select("*", F.explode(F.sequence(F.lit(0), F.round((F.col("y1") - F.col("y0")) / res).cast("int"))).alias("row"))
-    cells = rows.select("*", F.explode(F.sequence(F.lit(0), F.round((F.col("x1") - F.col("x0")) / res).cast("int"))).alias("col"))
+    # one task made the rows; each row's cells are made where it is dealt to
+    cells = rows.repartition("row").select("*", F.explode(F.sequence(F.lit(0), F.round((F.col("x1") - F.col("x0")) / res).cast("int"))).alias("col"))
     return cells.select("row", "col", (F.col("x0") + F.col("col") * res).alias("x"), (F.col("y1") - F.col("row") * res).alias("y"))

@@ -58,10 +58,10 @@ def first_last_valid(obs: DataFrame, value: str = "vi", keys: list[str] = KEYS,
     return obs.groupBy(*keys).agg(F.min(seen).alias("first_valid"), F.max(seen).alias("last_valid"))
 
 
-def three_day_composite(obs: DataFrame, origin: str, end: str, days: int = 3, value: str = "vi", keys: list[str] = KEYS, date: str = "obs_date") -> DataFrame:
+def three_day_composite(obs: DataFrame, origin: str | Column, end: str | Column, days: int = 3, value: str = "vi", keys: list[str] = KEYS, date: str = "obs_date") -> DataFrame:
     """The largest value of every ``days`` days counted from ``origin``, at the middle day; empty bins give no row."""
-    start = F.lit(origin).cast("date")
-    inside = obs.where(F.col(value).isNotNull() & F.col(date).between(start, F.lit(end).cast("date")))
+    start, stop = (F.lit(d).cast("date") for d in (origin, end))
+    inside = obs.where(F.col(value).isNotNull() & F.col(date).between(start, stop))
     b = F.floor(F.datediff(date, start) / days).cast("int")
     return inside.groupBy(*keys, b.alias("_bin")).agg(F.max(value).alias(value)).select(
         *keys, F.date_add(start, F.col("_bin") * days + days // 2).alias(date), value

@@ -62,7 +62,8 @@ def items(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def orders_done(spark: SparkSession, sf_dir: str) -> DataFrame:
-    done = table(spark, sf_dir, "orders").where((F.col("o_orderstatus") == "F") & (F.col("o_custkey") < 500))
+    """Groups that were ordered before: three fifths of them, so that some are left."""
+    done = table(spark, sf_dir, "orders").where((F.col("o_orderstatus") == "F") & (F.col("o_custkey") % 50 < 30))
     return done.select((F.col("o_custkey") % 50).alias("cell_group")).distinct()
 
 
@@ -74,6 +75,28 @@ def stations(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def site_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each site's cells with their centres."""
+    regions = table(spark, sf_dir, "nation").select("n_nationkey", F.col("n_regionkey").alias("site"))
+    own = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("cell"), F.col("s_nationkey").alias("n_nationkey"))
+    cells = grid(spark, sf_dir).select("cell", "row", "col", F.col("x").alias("cx"), F.col("y").alias("cy"))
+    return own.join(regions, "n_nationkey").drop("n_nationkey").join(cells, "cell")
+
+
+def site_extents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(site, x0, x1, y0, y1)`` of the sites' cells, which are 3 m wide."""
+    least, most = (lambda c: F.min(c) - 1.5), (lambda c: F.max(c) + 1.5)
+    return site_cells(spark, sf_dir).groupBy("site").agg(least("cx").alias("x0"), most("cx").alias("x1"), least("cy").alias("y0"), most("cy").alias("y1"))
+
+
+def yearly_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(site, cell, year, layer, value)``: the largest value and the amplitude of each year, in whole ten-thousandths."""
+    s = series(spark, sf_dir).where("vi is not null").groupBy(F.col("site_id").alias("site"), "cell", F.year("obs_date").alias("year"))
+    hi, lo = F.round(F.max("vi") * 10000), F.round(F.min("vi") * 10000)
+    rows = s.agg(hi.alias("hi"), lo.alias("lo")).select("site", "cell", "year", F.expr("stack(2, 'EVImax', hi, 'EVIamp', hi - lo) as (layer, value)"))
+    return rows
+
+
 def curve(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A daily curve that needs no spline: straight lines between observations."""
     return interpolated_curve(series(spark, sf_dir))

@@ -30,6 +30,7 @@ class Params:
     max_despike_passes: int = 50
     mad_factor: float = 2.0
     mad_center: str = "reference"
+    composite_days: int = 0  # 3 for three-day composites, 0 for none
     spline_buffer: int = 185
     spar: float = 0.55
     gap_days: int = 20

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators.cycles import find_segments, peaks_in_year, pheno_dates, qa_class, rank_cycles, segment_metrics, top2_cycles, weak_cycle
 from ..operators.despike import despike
-from ..operators.series import KEYS, floor_dormant, gap_islands, num_obs, water_reject, year_table, year_windows
+from ..operators.series import KEYS, floor_dormant, gap_islands, num_obs, three_day_composite, water_reject, year_table, year_windows
 from ..operators.similarity import gap_fill_refit, refit_points, year_weights
 from ..operators.spline import gathered, smooth
 from .params import LAYER_NAMES, Params
@@ -41,6 +41,9 @@ def cell_years(series: DataFrame, water: DataFrame, p: Params, keys: list[str] =
     """``(keys, year, curve, days, values, num_obs, dormant, occ, is_water)``: all that cycles are looked for in."""
     info = water_reject(series, water, p.negative_share, p.water_low, keys)
     clean = floor_dormant(despike(series, p, keys), p.dormant_from, p.dormant_to, p.dormant_quantile, keys=keys).persist()
+    if p.composite_days:
+        days = [F.date_add(F.lit(f"{y}-01-01").cast("date"), -p.spline_buffer) for y in (min(p.years), max(p.years))]
+        clean = three_day_composite(clean, days[0], F.date_add(days[1], p.slots - 1), p.composite_days, keys=[*keys, "dormant"]).persist()
     windowed = year_windows(clean.where("vi is not null"), p.years, p.spline_buffer).persist()
     gaps = gap_islands(clean, p.gap_days, keys=keys)
     seen = windowed.groupBy(*keys, "year").agg(
@@ -95,15 +98,23 @@ def from_cell_years(rows: DataFrame, p: Params = Params(), keys: list[str] = KEY
     named = [v.cast("double").alias(n) for v, n in zip(values, LAYER_NAMES)]
     good = cycles.where(~bad).select(*by, *named)
 
-    none = live.join(segs.select(*by).distinct(), by, "left_anti")
+    fallback = annual_fallback(live.join(segs.select(*by).distinct(), by, "left_anti"), p, keys)
+    full = good.unionByName(fallback)
+    return full.unionByName(_empty(rows.select(*by).join(full.select(*by), by, "left_anti"), keys))
+
+
+def annual_fallback(none: DataFrame, p: Params = Params(), keys: list[str] = KEYS) -> DataFrame:
+    """``(keys, year, 24 layers)`` of cell-years without a cycle: the values of the calendar year, if they are in range and not too weak.
+
+    ``none`` has ``curve``, ``days``, ``dormant`` and ``occ``.
+    """
+    by = [*keys, "year"]
     inside = F.slice("curve", p.spline_buffer + 1, F.dayofyear(F.make_date("year", F.lit(12), F.lit(31))))
     own_days = F.size(F.filter("days", lambda d: d.between(p.spline_buffer + 1, p.spline_buffer + F.dayofyear(F.make_date("year", F.lit(12), F.lit(31))))))
     flat = none.select(*by, "dormant", "occ", F.array_max(inside).alias("hi"), F.array_min(inside).alias("lo"), F.aggregate(inside, F.lit(0.0), lambda s, v: s + v).alias("s"), own_days.alias("n"))
     flat = flat.withColumn("amp", F.col("hi") - F.col("lo")).where(~F.coalesce(weak_cycle("dormant", "hi", "amp", "occ", p), F.lit(True)))
     annual = {"NumCycles": F.lit(0), "EVImax": F.col("hi") * 10000, "EVIamp": F.col("amp") * 10000, "EVIarea": F.col("s") * 100, "QA": F.lit(4), "QA_2": F.lit(4), "numObs": F.col("n")}
-    fallback = flat.select(*by, *(annual.get(n, F.lit(None)).cast("double").alias(n) for n in LAYER_NAMES))
-    full = good.unionByName(fallback)
-    return full.unionByName(_empty(rows.select(*by).join(full.select(*by), by, "left_anti"), keys))
+    return flat.select(*by, *(annual.get(n, F.lit(None)).cast("double").alias(n) for n in LAYER_NAMES))
 
 
 def phenology(series: DataFrame, water: DataFrame, p: Params = Params(), keys: list[str] = KEYS) -> DataFrame:

@@ -103,14 +103,15 @@ def b5_crop_window(spark, sf):
 
 
 @_query(
-    """select o.scene_id, m.udm from obs o join (select scene_id, any_value(udm) as udm from obs where obs_date < date '1996-01-01' and udm is not null
- group by scene_id having count(*) = 1) m on o.scene_id = m.scene_id where o.obs_date < date '1996-01-01'""",
+    """select o.scene_id, m.udm from obs o left join (select scene_id // 10 as k, any_value(udm) as udm from obs where udm is not null
+ group by 1 having count(*) = 1) m on o.scene_id // 10 = m.k""",
     "obs",
 )
 def c1_join_masks(spark, sf):
-    o = X.obs(spark, sf).where("obs_date < date '1996-01-01'")
-    found = masks.join_masks(o.drop("udm", "udm2"), o.select("scene_id", "udm").where("udm is not null"), "scene_id")
-    return found.where("udm is not null").select("scene_id", "udm")
+    """An order's lines share a key, so that scenes have no mask, one or several."""
+    o = X.obs(spark, sf).withColumn("scene_key", F.floor(F.col("scene_id") / 10))
+    found = masks.join_masks(o.drop("udm", "udm2"), o.select("scene_key", "udm").where("udm is not null"))
+    return found.select("scene_id", "udm")
 
 
 @_query("select site_id, cell, obs_date, round(red,6) as red, round(nir,6) as nir from daily", "daily")
@@ -173,6 +174,20 @@ def d16_grid_extent(spark, sf):
     return mosaic.grid_extent(X.grid(spark, sf), 3.0).select(F.col("row").cast("long").alias("row"), F.col("col").cast("long").alias("col"), "x", "y")
 
 
+@_query(
+    """, inside as (select cell from grid where x between 500013.0 - 9 and 500013.0 + 9 and y between 3999990.0 - 9 and 3999990.0 + 9),
+ days as (select cell, obs_date, avg(case when not bad then red end) as red from flagged join inside using (cell) where not (udm is null and udm2 is null) group by all)
+ select i.cell, d.obs_date, round(m.red, 6) as red from inside i cross join (select distinct obs_date from days) d left join days m on m.cell = i.cell and m.obs_date = d.obs_date""",
+    "flagged", "grid",
+)
+def k18_scene_pipeline(spark, sf):
+    """Scenes without any mask count as those that lack a band."""
+    bands = F.when(F.col("udm").isNull() & F.col("udm2").isNull(), 3).otherwise(4)
+    grid = X.grid(spark, sf).select("cell", "x", "y")
+    scenes = X.obs(spark, sf).withColumn("n_bands", bands).join(grid, "cell")
+    return mosaic.scene_pipeline(scenes, grid, 500013.0, 3999990.0, 9.0).select("cell", "obs_date", *_r6("red"))
+
+
 # series
 
 
@@ -346,8 +361,9 @@ def k9_gap_fill_refit(spark, sf):
 @_query(
     """, s as (select *, case when lead(v) over w > v then 1 when lead(v) over w < v then 2 else 0 end as code from slots window w as (partition by site_id, cell, year order by day_idx)),
  t as (select *, lead(code) over w as nc, lead(day_idx) over w as nd from s where code <> 0 window w as (partition by site_id, cell, year order by day_idx)),
- p as (select site_id, cell, year, day_idx + 1 + cast(round_even((nd-day_idx-1)/2, 0) as bigint) as peak from t where code = 1 and nc = 2)
- select p.site_id, p.cell, p.year, p.peak, s.v from p join slots s on s.site_id=p.site_id and s.cell=p.cell and s.year=p.year and s.day_idx=p.peak""",
+ p as (select site_id, cell, year, day_idx + 1 + cast(round_even((nd-day_idx-1)/2, 0) as bigint) as peak from t where code = 1 and nc = 2),
+ whole as (select site_id, cell, year, min(day_idx) as d0, list(v order by day_idx) as vs from slots group by all)
+ select p.site_id, p.cell, p.year, p.peak, vs[p.peak - d0 + 1] as v from p join whole using (site_id, cell, year)""",
     "slots",
 )
 def k10_find_peaks(spark, sf):
@@ -562,7 +578,7 @@ def c12_nearest_within(spark, sf):
  (select y, dayofyear(d) as a, dayofyear(nearest) + case when year(nearest) < y then -365 when year(nearest) > y then 365 else 0 end as b from m where n = 1) group by y""",
     "years",
 )
-def k20_station_matchup(spark, sf):
+def h7_days_across_years(spark, sf):
     near = c12_nearest_within(spark, sf)
     pairs = near.select("y", F.dayofyear("d").alias("a"), S.doy_across_years("nearest", "y").alias("b"))
     return matchup.agreement(pairs, "a", "b", ["y"]).select("y", "n", *_r6("r", "rmse", "bias"))
@@ -576,19 +592,55 @@ def d14_density_2d(spark, sf):
     return matchup.density_2d(X.table(spark, sf, "lineitem"), "l_quantity", "l_extendedprice", 0.0, 50.0, 0.0, 110000.0, 20)
 
 
-@_query()
+_SITES = """, cells as (select n.n_regionkey as site, s.s_suppkey as cell, g.row, g.col, g.x as cx, g.y as cy from supplier s join nation n on s.s_nationkey = n.n_nationkey join grid g on g.cell = s.s_suppkey),
+ extents as (select site, min(cx) - 1.5 as x0, max(cx) + 1.5 as x1, min(cy) - 1.5 as y0, max(cy) + 1.5 as y1 from cells group by site),
+ drawn as (select site, point, x0 + cast(('0x' || substring(md5(site || '|' || point || '|11'), 1, 7)) as bigint) / 268435456.0::double * (x1 - x0) as x,
+  y0 + cast(('0x' || substring(md5(site || '|' || point || '|12'), 1, 7)) as bigint) / 268435456.0::double * (y1 - y0) as y from extents, lateral (select unnest(range(3000)) as point))"""
+
+
+@_query(_SITES + " select site, point, round(x, 6) as x, round(y, 6) as y from drawn", "grid")
+def f5_random_points(spark, sf):
+    return matchup.random_points(X.site_extents(spark, sf), 3000, 11).select("site", F.col("point").cast("long").alias("point"), *_r6("x", "y"))
+
+
+@_query(
+    _SITES
+    + """, yearly as (select site_id as site, cell, year(obs_date) as year, round(max(vi)*10000, 0) as hi, round(min(vi)*10000, 0) as lo from good group by all),
+ layers as (select site, cell, year || 'EVImax' as layer, hi as value from yearly union all select site, cell, year || 'EVIamp', hi - lo from yearly),
+ fine as (select l.site, c.cx, c.cy, l.layer, l.value from layers l join cells c on c.cell = l.cell),
+ tile as (select site, min(name) as tile from drawn join (select min(x) as west, max(x) as east from grid) on true
+  join (values ('T0', 0), ('T1', 1)) t(name, k) on x between west - 2 + k * 9 and east + 2 - (1 - k) * 9 group by site),
+ coarse as (select name as tile, avg(cx) as cx, avg(cy) as cy, layer, round(avg(value), 0) as value from layers join cells using (cell), (values ('T0'), ('T1')) t(name)
+  group by name, row // 2, col // 2, layer),
+ a as (select d.site, d.point, layer, round_even(median(value), 0) as ma, round_even(avg(value), 0) as aa from drawn d join fine f on f.site = d.site
+  and (d.x-f.cx)*(d.x-f.cx)+(d.y-f.cy)*(d.y-f.cy) <= 4.5*4.5 group by all),
+ b as (select d.site, d.point, layer, round_even(median(value), 0) as mb, round_even(avg(value), 0) as ab from drawn d join tile using (site) join coarse f on f.tile = tile.tile
+  and (d.x-f.cx)*(d.x-f.cx)+(d.y-f.cy)*(d.y-f.cy) <= 4.5*4.5 group by all),
+ p as (select *, row_number() over (partition by layer order by md5(site || '|' || point || '|11'), site, point) as r from a join b using (site, point, layer)),
+ st as (select layer, 'median' as stat, ma as a, mb as b from p where r <= 100000 union all select layer, 'mean', aa, ab from p where r <= 100000)
+ select layer, stat, count(*) as n, round(corr(a, b), 6) as r, round(sqrt(avg((a-b)*(a-b))), 6) as rmse, round(avg(a-b), 6) as bias from st group by all""",
+    "grid", "good",
+)
 def k21_grid_matchup(spark, sf):
-    """Random points of each extent, the median cell of two buffers there, a sample of pairs, and their agreement."""
-    extents = spark.createDataFrame([(0, 500000.0, 500030.0, 3999900.0, 4000003.0)], "site int, x0 double, x1 double, y0 double, y1 double")
-    points = matchup.random_points(extents, 3000, 11).select("point", "x", "y")
-    cells = X.series(spark, sf).groupBy("cell").agg(F.avg("vi").alias("vi")).join(X.grid(spark, sf), "cell").select("vi", F.col("x").alias("cx"), F.col("y").alias("cy"))
-    near = matchup.buffer_pairs(points, cells, 4.5, []).groupBy("point").agg(F.avg("vi").alias("a"))
-    far = matchup.buffer_pairs(points, cells, 9.0, []).groupBy("point").agg(F.avg("vi").alias("b"))
-    pairs = masks.drop_incomplete(near.join(far, "point"), ["a", "b"])
-    return matchup.agreement(matchup.sample_n(pairs, 1000, "point", 5), "a", "b").select("n", *_r6("r", "rmse", "bias"))
+    """A product of cells and one of blocks of four, in two tiles that overlap, around 3000 points of each site."""
+    layers = X.yearly_layers(spark, sf).withColumn("layer", F.concat(F.col("year").cast("string"), "layer")).drop("year")
+    cells = X.site_cells(spark, sf)
+    fine = layers.join(cells.select("cell", "cx", "cy"), "cell").select("site", "cx", "cy", "layer", "value")
+    name = F.explode(F.array(F.lit("T0"), F.lit("T1"))).alias("tile")
+    blocks = layers.drop("site").join(cells, "cell").select(name, F.floor(F.col("row") / 2).alias("br"), F.floor(F.col("col") / 2).alias("bc"), "cx", "cy", "layer", "value")
+    coarse = blocks.groupBy("tile", "br", "bc", "layer").agg(F.avg("cx").alias("cx"), F.avg("cy").alias("cy"), F.round(F.avg("value")).alias("value"))
+    e = X.grid(spark, sf).agg(F.min("x").alias("w"), F.max("x").alias("e"), F.min("y").alias("s"), F.max("y").alias("n"))
+    both = e.select(F.explode(F.array(F.lit(0), F.lit(1))).alias("k"), "*").select(
+        F.concat(F.lit("T"), F.col("k").cast("string")).alias("name"), (F.col("w") - 2 + F.col("k") * 9).alias("x0"), (F.col("e") + 2 - (1 - F.col("k")) * 9).alias("x1"),
+        (F.col("s") - 2).alias("y0"), (F.col("n") + 2).alias("y1"),
+    )
+    corner = lambda a, b: F.struct(F.col(a).alias("x"), F.col(b).alias("y"))
+    tiles = both.withColumn("ring", F.array(corner("x0", "y0"), corner("x1", "y0"), corner("x1", "y1"), corner("x0", "y1"), corner("x0", "y0")))
+    out = matchup.grid_matchup(X.site_extents(spark, sf), tiles, fine, coarse, radius=4.5)
+    return out.select("layer", "stat", "n", *_r6("r", "rmse", "bias"))
 
 
-@_query()
+@_query("select o_orderkey, o_custkey from orders order by md5(o_orderkey || '|456123'), o_orderkey limit 50")
 def f4_sample_n(spark, sf):
     return matchup.sample_n(X.table(spark, sf, "orders").select("o_orderkey", "o_custkey"), 50, "o_orderkey", 456123)
 
@@ -603,6 +655,38 @@ def c16_series_overlay(spark, sf):
     return matchup.series_overlay(a, b, ["d"])
 
 
+@_query(
+    """, cells as (select n.n_regionkey as site, s.s_suppkey as cell, g.x as cx, g.y as cy from supplier s join nation n on s.s_nationkey = n.n_nationkey join grid g on g.cell = s.s_suppkey),
+ extents as (select site, min(cx) - 1.5 as x0, max(cx) + 1.5 as x1, min(cy) - 1.5 - 30 as y0, max(cy) + 1.5 - 30 as y1 from cells group by site),
+ st as (select c_custkey as station, c_mktsegment as veg, 500001.5 + 3*((c_custkey%100)%10) + 1.2 as x, 4000001.5 - 3*((c_custkey%100)//10) - 1.2 - 30 as y from customer),
+ inside as (select station, veg, site, x, y + 30.0 as y from st join extents on x between x0 and x1 and y between y0 and y1),
+ turns as (select site_id as site, cell, cast(year(obs_date) as int) as year, dayofyear(min(obs_date)) as a, dayofyear(max(obs_date)) as b from good group by all),
+ doys as (select site, cell, year, 'rising' as direction, a as value from turns union all select site, cell, year, 'falling', b from turns),
+ around as (select i.station, i.veg, i.site, d.year, d.direction, round_even(median(d.value), 0) as m from inside i join cells c on c.site = i.site
+  and (i.x-c.cx)*(i.x-c.cx)+(i.y-c.cy)*(i.y-c.cy) <= 7.5*7.5 join doys d on d.cell = c.cell and d.site = c.site group by all),
+ told as (select *, cast(make_date(year - 1, 12, 31) + cast(m as int) as date) as told from around),
+ seen as (select distinct o_custkey as station, case when o_orderkey % 2 = 0 then 'rising' else 'falling' end as direction, cast(o_orderdate as date) as seen from orders),
+ near as (select t.*, s.seen, row_number() over (partition by t.station, t.site, t.year, t.direction order by abs(told - seen), seen) as r
+  from told t join seen s on s.station = t.station and s.direction = t.direction and abs(told - seen) < 100),
+ p as (select veg, direction, dayofyear(seen) + case when year(seen) < year(told) then -365 when year(seen) > year(told) then 365 else 0 end as a, dayofyear(told) as b from near where r = 1)
+ select veg, direction, count(*) as n, round(corr(a::double, b::double), 6) as r, round(sqrt(avg((a-b)*(a-b))), 6) as rmse, round(avg(a-b), 6) as bias from p group by all""",
+    "grid", "good",
+)
+def k20_station_matchup(spark, sf):
+    """Stations 30 m south of the cells; first and last clear days of a cell's year stand for its transitions."""
+    low = [(F.col(c) - 30).alias(c) for c in ("y0", "y1")]
+    extents = X.site_extents(spark, sf).select("site", "x0", "x1", *low)
+    veg = X.table(spark, sf, "customer").select(F.col("c_custkey").alias("station"), F.col("c_mktsegment").alias("veg"))
+    stations = X.stations(spark, sf).withColumn("y", F.col("y") - 30).join(veg, "station")
+    turns = X.series(spark, sf).where("vi is not null").groupBy(F.col("site_id").alias("site"), "cell", F.year("obs_date").alias("year")).agg(
+        F.dayofyear(F.min("obs_date")).alias("a"), F.dayofyear(F.max("obs_date")).alias("b")
+    )
+    cells = turns.select("site", "cell", "year", F.expr("stack(2, 'rising', a, 'falling', b) as (direction, value)")).join(X.site_cells(spark, sf).select("cell", "cx", "cy"), "cell")
+    kind = F.when(F.col("o_orderkey") % 2 == 0, "rising").otherwise("falling").alias("direction")
+    dates = X.table(spark, sf, "orders").select(F.col("o_custkey").alias("station"), kind, F.col("o_orderdate").cast("date").alias("seen"))
+    return matchup.station_matchup(stations, extents, cells.drop("cell"), dates, ["veg"]).select("veg", "direction", "n", *_r6("r", "rmse", "bias"))
+
+
 # catalogs
 
 
@@ -616,12 +700,17 @@ def d9_scene_counts(spark, sf):
     return catalog.scene_counts(X.items(spark, sf), ["cell_group"])
 
 
-@_query("select item_id, cell_group, cast(floor((row_number() over (partition by cell_group order by item_id)-1)/40) as int) as batch from items", "items")
+@_query(
+    """select item_id, cell_group, cast(floor((row_number() over (partition by cell_group order by item_id)-1)/4) as int) as batch,
+ ceil(count(*) over (partition by cell_group)/4) > 79 as "over" from items""",
+    "items",
+)
 def e8_id_batches(spark, sf):
-    return catalog.id_batches(X.items(spark, sf), "cell_group", size=40, most=1_000_000).select("item_id", "cell_group", "batch")
+    """Batches so small that some groups need more of them than may be ordered at once, and some don't."""
+    return catalog.id_batches(X.items(spark, sf), "cell_group", size=4).select("item_id", "cell_group", "batch", "over")
 
 
-_DONE = "select distinct o_custkey % 50 as cell_group from orders where o_orderstatus = 'F' and o_custkey < 500"
+_DONE = "select distinct o_custkey % 50 as cell_group from orders where o_orderstatus = 'F' and o_custkey % 50 < 30"
 
 
 @_query(f"select cell_group, count(*) as n from items where cell_group not in ({_DONE}) group by all", "items")
@@ -643,8 +732,8 @@ def d13_download_summary(spark, sf):
 
 
 @_query(
-    f"""select cell_group, cast(floor((r-1)/400) as int) as batch, count(*) as n, printf('%s_%02d_1996_1998', cast(cell_group as varchar), cast(floor((r-1)/400) as int)) as order_name,
- cell_group in ({_DONE}) as existing from (select *, row_number() over (partition by cell_group order by item_id) as r from items where acquired >= date '1996-01-01' and acquired < date '1999-01-01'
+    f"""select cell_group, cast(floor((r-1)/400) as int) as batch, any_value(ceil(n_all/400) > 79) as "over", count(*) as n, printf('%s_%02d_1996_1998', cast(cell_group as varchar), cast(floor((r-1)/400) as int)) as order_name,
+ cell_group in ({_DONE}) as existing from (select *, row_number() over (partition by cell_group order by item_id) as r, count(*) over (partition by cell_group) as n_all from items where acquired >= date '1996-01-01' and acquired < date '1999-01-01'
  and cloud_cover between 0 and 0.5 and quality_category = 'standard' and ground_control) group by cell_group, cast(floor((r-1)/400) as int)""",
     "items",
 )

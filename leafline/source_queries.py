@@ -20,11 +20,11 @@ _ANNUAL = """, a as (select site_id, cell, cast(year(slot_date) as int) as year,
  l as (unpivot a on EVImax, EVIamp, EVIarea into name short_name value val)"""
 
 
-@_query("select cell, count(*) as n, cast(sum(red) as bigint) as sum_red from obs where site_id = 2 group by cell", "obs")
+@_query("select cast(site_id as int) as site_id, cell, count(*) as n, cast(sum(red) as bigint) as sum_red from obs group by site_id, cell", "obs")
 def a1_scan_scene_pixels(spark, sf):
     path = T.scratch_path(spark, "scene-pixels")
     X.obs(spark, sf).write.partitionBy("site_id").parquet(path)
-    return T.scan_scene_pixels(spark, path, F.col("site_id") == 2).groupBy("cell").agg(F.count("*").alias("n"), F.sum("red").alias("sum_red"))
+    return T.scan_scene_pixels(spark, path).groupBy("site_id", "cell").agg(F.count("*").alias("n"), F.sum("red").alias("sum_red"))
 
 
 @_query("select quality_category, ground_control, count(*) as n, min(acquired) as first_day, round(max(cloud_cover),6) as cloudiest from items group by all", "items")
@@ -52,25 +52,24 @@ def c3_join_water(spark, sf):
     return good.join(T.scan_water(spark, path), "cell").groupBy("cell").agg(F.count("*").alias("n"), F.max("occ").alias("occ"))
 
 
-@_query("select cast(site_id as bigint) as site_id, count(*) as n, count(red) as n_red from daily where year(obs_date) = 1998 group by site_id", "daily")
+@_query("select cast(site_id as bigint) as site_id, year(obs_date) as year, count(*) as n, count(red) as n_red from daily group by all", "daily")
 def a10_write_daily(spark, sf):
     path = T.scratch_path(spark, "daily")
     T.write_daily(mosaic.daily_pipeline(X.obs(spark, sf)), path)
-    year = spark.read.parquet(path).where(F.col("year") == 1998)
-    return year.groupBy(F.col("site_id").cast("long").alias("site_id")).agg(F.count("*").alias("n"), F.count("red").alias("n_red"))
+    by = [F.col(c).cast("long").alias(c) for c in ("site_id", "year")]
+    return spark.read.parquet(path).groupBy(*by).agg(F.count("*").alias("n"), F.count("red").alias("n_red"))
 
 
 @_query(
     """select chunk, count(*) as n, count(distinct cell) as n_cells from
- (select *, cast(least(floor((cell-1) / greatest(floor((select count(*) from supplier) / 20), 1)), 19) + 1 as bigint) as chunk from daily) where chunk = 7 group by chunk""",
+ (select *, cast(least(floor((cell-1) / greatest(floor((select count(*) from supplier) / 20), 1)), 19) + 1 as bigint) as chunk from daily) group by chunk""",
     "daily",
 )
 def a11_write_chunks(spark, sf):
     path = T.scratch_path(spark, "chunks")
     n = X.table(spark, sf, "supplier").count()
     T.write_chunks(mosaic.chunked(mosaic.daily_pipeline(X.obs(spark, sf)), 20, n), path)
-    one = T.read_chunk(spark, path, 7)
-    return one.groupBy(F.col("chunk").cast("long").alias("chunk")).agg(F.count("*").alias("n"), F.count_distinct("cell").alias("n_cells"))
+    return spark.read.parquet(path).groupBy(F.col("chunk").cast("long").alias("chunk")).agg(F.count("*").alias("n"), F.count_distinct("cell").alias("n_cells"))
 
 
 def _annual(spark, sf):
@@ -92,13 +91,16 @@ def a12_write_layers(spark, sf):
 @_query(
     _ANNUAL
     + """, k as (select *, cast(trunc(case when val between 0 and case when short_name = 'EVIarea' then 32766 else 10000 end then val else 32767 end) as bigint) as packed from l)
- select year, count(*) as n, cast(sum(packed) as bigint) as total from k group by year""",
+ select year, count(*) as n, cast(sum(packed) as bigint) as total, 23 * count(distinct site_id || '/' || cell) as filled from k where short_name = 'EVImax' group by year""",
     "curve",
 )
 def a13_write_product(spark, sf):
     path = T.scratch_path(spark, "product")
-    T.write_product(product.pack(_annual(spark, sf)).select(*BY, "short_name", "packed"), path, {"fill_value": "32767"})
-    return spark.read.parquet(path).groupBy("year").agg(F.count("*").alias("n"), F.sum("packed").alias("total"))
+    """Of one layer; every other column is filled, as is what is out of range."""
+    T.write_product(product.pack(_annual(spark, sf)).where("short_name = 'EVImax'").select(*BY, "short_name", "packed"), path, {"title": "yearly values"})
+    empty = [c for c in product.LAYER_NAMES if c != "EVImax"]
+    filled = sum(F.count_if(F.col(f"`{c}`") == 32767) for c in empty)
+    return spark.read.parquet(path).groupBy(F.col("year").cast("long").alias("year")).agg(F.count("*").alias("n"), F.sum("EVImax").alias("total"), filled.alias("filled"))
 
 
 @_query(Q._NEAR + " select k, count(*) as n_matched, cast(max(days_apart) as int) as farthest from m where m.n = 1 group by k", "years")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -98,15 +98,20 @@ def scan_site_table(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema("site string, flux_code string, veg string").option("header", True).csv(path)
 
 
+def _dealt(rows: DataFrame, *by: str) -> DataFrame:
+    """Rows of one folder together, but a folder with many rows in several tasks: Spark splits it by size at run time."""
+    return rows.hint("rebalance", *by)
+
+
 def write_daily(daily: DataFrame, path: str) -> None:
-    """Partitioned by site and year; rows of one are sorted by cell, so that statistics prune."""
-    out = daily.withColumn("year", F.year("obs_date")).repartition("site_id", "year").sortWithinPartitions("site_id", "year", "cell")
+    """Partitioned by site and year; rows of one file are sorted by cell, so that statistics prune."""
+    out = _dealt(daily.withColumn("year", F.year("obs_date")), "site_id", "year").sortWithinPartitions("site_id", "year", "cell")
     out.write.partitionBy("site_id", "year").parquet(path)
 
 
 def write_chunks(chunks: DataFrame, path: str) -> None:
     """Partitioned by chunk, so that one chunk is read alone."""
-    chunks.repartition("chunk").write.partitionBy("chunk").parquet(path)
+    _dealt(chunks, "chunk").write.partitionBy("chunk").parquet(path)
 
 
 def read_chunk(spark: SparkSession, path: str, chunk: int) -> DataFrame:
@@ -116,13 +121,29 @@ def read_chunk(spark: SparkSession, path: str, chunk: int) -> DataFrame:
 def write_layers(long: DataFrame, path: str) -> None:
     """One folder for each year and layer, named ``NN_YYYY_NAME``."""
     name = F.format_string("%02d_%d_%s", "product_lyr", "year", "short_name")
-    long.withColumn("layer", name).repartition("year", "product_lyr").write.partitionBy("layer").parquet(path)
+    _dealt(long.withColumn("layer", name), "layer").write.partitionBy("layer").parquet(path)
+
+
+def write_product(packed: DataFrame, path: str, attributes: dict[str, str], keys: list[str] = ["site_id", "cell"]) -> None:  # noqa: B006
+    """A table for each year with a column of packed values for each layer.
+
+    A layer's row of the catalog (units, scale, valid range, fill value and so on) is its column's
+    metadata; ``attributes`` are those of the whole product and stand on the first key. Spark keeps both in
+    every file's footer. Layers without values are filled.
+    """
+    rows = layer_catalog(packed.sparkSession).orderBy("product_lyr").collect()  # 24 rows
+    own = F.first("packed", ignorenulls=True)
+    wide = packed.groupBy(*keys, "year").pivot("short_name", [r["short_name"] for r in rows]).agg(own)
+    for r in rows:
+        info = r.asDict()
+        wide = wide.withColumn(r["short_name"], F.coalesce(f"`{r['short_name']}`", F.lit(r["fill_value"]).cast("short")))
+        wide = wide.withMetadata(r["short_name"], {k: v for k, v in info.items() if v is not None})
+    _dealt(wide.withMetadata(keys[0], attributes), "year").write.partitionBy("year").parquet(path)
 
 
-def write_product(packed: DataFrame, path: str, attributes: dict[str, str]) -> None:
-    """The packed values with their layer's attributes as column metadata."""
-    meta = packed.withMetadata("packed", attributes)
-    meta.repartition("year").write.partitionBy("year").parquet(path)
+def union_all(parts: list[DataFrame]) -> DataFrame:
+    """The rows of all tables, columns by name; a column that a table lacks is null there."""
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 
 
 def write_match(pairs: DataFrame, path: str) -> None:
