@@ -394,3 +394,10 @@ def test_stages_on_odd_tables(spark, small):
         assert out.count() == table.count()
     assert near_copies.keep_one_of_each(odd).where("doc_id is null").count() == 2
     assert sorted(r["doc_id"] for r in near_copies.keep_one_of_each(odd).where("doc_id is not null").collect()) == [1, 1, 2, 4, 6]
+
+
+def test_near_copies_without_broadcasts(spark, small, monkeypatch):
+    docs = spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text")
+    want = {r["doc_id"]: r["component"] for r in near_copies.components(docs).collect()}
+    monkeypatch.setattr(near_copies, "BROADCAST_IDS", 0)
+    assert {r["doc_id"]: r["component"] for r in near_copies.components(docs).collect()} == want and len(set(want.values())) < len(want)
