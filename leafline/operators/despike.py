@@ -1,9 +1,12 @@
-"""Spikes: one pass as window expressions, and the fixpoint as a grouped map."""
+"""Spikes: one pass as window expressions, and the fixpoint over arrays of whole series."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from itertools import pairwise
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -82,15 +85,26 @@ def spike_flags(blue: np.ndarray, red: np.ndarray, vi: np.ndarray, days: np.ndar
 def despike(obs: DataFrame, p: Params = Params(), keys: list[str] = KEYS, date: str = "obs_date") -> DataFrame:
     """``(keys, date, vi)`` with ``vi`` null at spikes; passes repeat until no further spike is found.
 
-    One grouped map: a pass depends on the last one's survivors. A group is one cell's series.
+    A pass depends on the last one's survivors, so a series goes to Python whole: one row with
+    arrays for each cell, many cells in an Arrow batch.
     """
-
-    def clean(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values([date, "vi"], kind="stable")
-        days = pd.to_datetime(pdf[date]).to_numpy().astype("datetime64[D]").astype(np.int64)
-        spikes = spike_flags(*(pdf[c].to_numpy(float) for c in ("blue", "red", "vi")), days, p)
-        return pdf[[*keys, date, "vi"]].assign(vi=np.where(spikes, np.nan, pdf["vi"].to_numpy(float)))
+    one = F.struct(F.col(date).alias("day"), "vi", "blue", "red")
+    rows = obs.groupBy(*keys).agg(F.sort_array(F.collect_list(one)).alias("s"))
+    values = [F.col(f"s.{c}").cast("array<double>").alias(f"s_{c}") for c in ("blue", "red", "vi")]
+    arrays = rows.select(*keys, F.col("s.day").alias("s_day"), *values)
+
+    def clean(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            days, *rest = (batch.column(batch.num_columns - 4 + i) for i in range(4))
+            when = days.flatten().cast(pa.int32()).to_numpy(zero_copy_only=False)
+            blue, red, vi = (c.flatten().to_numpy(zero_copy_only=False) for c in rest)
+            ends = np.concatenate([[0], np.cumsum(days.value_lengths().to_numpy())])
+            out = vi.copy()
+            for a, b in pairwise(ends):
+                out[a:b][spike_flags(blue[a:b], red[a:b], vi[a:b], when[a:b], p)] = np.nan
+            cleaned = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(out, from_pandas=True))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-4], days, cleaned], names=[*keys, "s_day", "s_vi"])
 
     kinds = ", ".join(f"{k} {obs.schema[k].dataType.simpleString()}" for k in keys)
-    out = obs.select(*keys, date, "blue", "red", "vi").groupBy(*keys).applyInPandas(clean, f"{kinds}, {date} date, vi double")
-    return out.withColumn("vi", F.nanvl("vi", F.lit(None).cast("double")))
+    out = arrays.mapInArrow(clean, f"{kinds}, s_day array<date>, s_vi array<double>")
+    return out.select(*keys, F.inline(F.arrays_zip("s_day", "s_vi")).alias(date, "vi"))

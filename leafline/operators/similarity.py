@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.params import Params
@@ -10,6 +10,38 @@ from .series import KEYS
 from .spline import gathered, smooth
 
 
+def slot_values(rows: DataFrame, keys: list[str] = KEYS) -> DataFrame:
+    """``(keys, year, vs)`` from ``(keys, year, day_idx, v)``: the value of each slot from 0 up to the last, null where there is none."""
+    one = F.struct(F.col("day_idx").alias("d"), "v")
+    o = rows.where("v is not null").groupBy(*keys, "year").agg(F.sort_array(F.collect_list(one)).alias("o"))
+    before = lambda i: F.when(i == 0, F.lit(-1)).otherwise(F.get("o.d", i - 1))
+    filled = F.transform("o", lambda r, i: F.concat(F.array_repeat(F.lit(None).cast("double"), r["d"] - before(i) - 1), F.array(r["v"])))
+    return o.select(*keys, "year", F.flatten(filled).alias("vs"))
+
+
+def array_weights(curves: DataFrame, p: Params = Params(), keys: list[str] = KEYS) -> DataFrame:
+    """:func:`year_weights` from ``(keys, year, vs)``, where ``vs`` has a value or null for each slot.
+
+    The few years of a cell meet in one row, and their distances are sums over its arrays: no
+    slot becomes a row, and only the arrays are shuffled, by cell.
+    """
+    total = lambda c: F.aggregate(c, F.lit(0.0), lambda s, x: s + F.coalesce(x, F.lit(0.0)))
+    seen = F.size(F.filter("vs", lambda v: v.isNotNull()))
+    one = F.struct("year", "vs", (total("vs") / F.nullif(seen, F.lit(0))).alias("m"))
+    cells = curves.groupBy(*keys).agg(F.collect_list(one).alias("all"))
+
+    def pair(a, b):
+        far = F.zip_with(a["vs"], b["vs"], lambda x, y: (y - x) * (y - x))
+        flat = F.zip_with(a["vs"], b["vs"], lambda x, y: F.when(y.isNotNull(), (x - a["m"]) * (x - a["m"])))
+        n = F.size(F.filter(far, lambda d: d.isNotNull())).cast("long")
+        return F.struct(a["year"].alias("year"), b["year"].alias("other"), n.alias("n"), F.sqrt(total(far)).alias("far"), F.sqrt(total(flat)).alias("flat"))
+
+    pairs = F.flatten(F.transform("all", lambda a: F.transform("all", lambda b: pair(a, b))))
+    sums = cells.select(*keys, F.inline(pairs)).where("n > 0")
+    like = F.lit(p.max_weight) * F.greatest(F.lit(0.0), 1 - F.try_divide(F.col("far"), F.col("flat")))
+    return sums.select(*keys, "year", "other", "n", F.when((F.col("n") < p.min_common_days) | (F.col("flat") == 0), 0.0).otherwise(like).alias("weight"))
+
+
 def year_weights(curves: DataFrame, p: Params = Params(), keys: list[str] = KEYS) -> DataFrame:
     """``(keys, year, other, n, weight)`` from masked curves ``(keys, year, day_idx, v)``.
 
@@ -17,14 +49,7 @@ def year_weights(curves: DataFrame, p: Params = Params(), keys: list[str] = KEYS
     year's own mean, on common slots, at least 0, times ``max_weight``; 0 with too few common
     slots or where it can't be told.
     """
-    own = curves.where("v is not null").withColumn("m", F.avg("v").over(Window.partitionBy(*keys, "year")))
-    other = curves.where("v is not null").select(*keys, F.col("year").alias("other"), "day_idx", F.col("v").alias("vo"))
-    pairs = own.join(other, [*keys, "day_idx"])
-    sums = pairs.groupBy(*keys, "year", "other").agg(
-        F.count("*").alias("n"), F.sqrt(F.sum(F.pow(F.col("vo") - F.col("v"), 2))).alias("far"), F.sqrt(F.sum(F.pow(F.col("m") - F.col("v"), 2))).alias("flat")
-    )
-    like = F.lit(p.max_weight) * F.greatest(F.lit(0.0), 1 - F.try_divide(F.col("far"), F.col("flat")))
-    return sums.select(*keys, "year", "other", "n", F.when((F.col("n") < p.min_common_days) | (F.col("flat") == 0), 0.0).otherwise(like).alias("weight"))
+    return array_weights(slot_values(curves, keys), p, keys)
 
 
 def refit_points(windowed: DataFrame, gaps: DataFrame, weights: DataFrame, p: Params = Params(), keys: list[str] = KEYS) -> DataFrame:

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.cycles import find_segments, peaks_in_year, pheno_dates, qa_class, rank_cycles, segment_metrics, top2_cycles, weak_cycle
 from ..operators.despike import despike
 from ..operators.series import KEYS, floor_dormant, gap_islands, num_obs, three_day_composite, water_reject, year_table, year_windows
-from ..operators.similarity import gap_fill_refit, refit_points, year_weights
+from ..operators.similarity import array_weights, gap_fill_refit, refit_points
 from ..operators.spline import gathered, smooth
 from .params import LAYER_NAMES, Params
 
@@ -16,21 +16,25 @@ DATES = ["up1", "up2", "up3", "peak", "down1", "down2", "down3"]
 
 
 def masked_curves(curves: DataFrame, windowed: DataFrame, gaps: DataFrame, p: Params, keys: list[str] = KEYS) -> DataFrame:
-    """``(keys, year, day_idx, v)``: curves inside their calendar year, between observations and outside gaps."""
+    """``(keys, year, vs)``: curves from the first day of their calendar year, null outside it, outside observations and in gaps."""
     ends = windowed.groupBy(*keys, "year").agg(F.min("day_idx").alias("lo"), F.max("day_idx").alias("hi"))
     spans = gaps.groupBy(*keys).agg(F.collect_list(F.struct("gap_start", "gap_end")).alias("gaps"))
-    w = F.broadcast(year_table(curves.sparkSession, p.years, p.spline_buffer))
-    rows = curves.where("curve is not null").join(ends, [*keys, "year"]).join(spans, keys, "left").join(w, "year")
-    rows = rows.select(*keys, "year", "lo", "hi", "gaps", "win_start", F.posexplode("curve").alias("pos", "v")).withColumn("day_idx", F.col("pos") + 1)
-    day = F.date_add("win_start", "pos")
-    free = ~F.coalesce(F.exists("gaps", lambda g: (g["gap_start"] <= day) & (day < g["gap_end"])), F.lit(False))
-    return rows.where(F.col("day_idx").between(F.col("lo"), F.col("hi")) & (F.year(day) == F.col("year")) & free).select(*keys, "year", "day_idx", "v")
+    rows = curves.where("curve is not null").join(ends, [*keys, "year"]).join(spans, keys, "left")
+    first = F.make_date("year", F.lit(1), F.lit(1))
+
+    def kept(v: Column, i: Column) -> Column:
+        day = F.date_add("first", i)
+        free = ~F.coalesce(F.exists("gaps", lambda g: (g["gap_start"] <= day) & (day < g["gap_end"])), F.lit(False))
+        return F.when((i + (p.spline_buffer + 1)).between(F.col("lo"), F.col("hi")) & free, v)
+
+    inside = F.slice("curve", p.spline_buffer + 1, F.dayofyear(F.make_date("year", F.lit(12), F.lit(31))))
+    return rows.withColumns({"first": first, "inside": inside}).select(*keys, "year", F.transform("inside", kept).alias("vs"))
 
 
 def _curves(windowed: DataFrame, gaps: DataFrame, p: Params, keys: list[str]) -> DataFrame:
     """``(keys, year, curve)``: a year's own spline, or the refit where its window has a gap."""
     first = smooth(gathered(windowed, [*keys, "year"]), [*keys, "year"], p.slots, p.spar).persist()
-    weights = year_weights(masked_curves(first, windowed, gaps, p, keys), p, keys)
+    weights = array_weights(masked_curves(first, windowed, gaps, p, keys), p, keys)
     points = refit_points(windowed, gaps, weights, p, keys)
     again = gap_fill_refit(points, p, keys).withColumnRenamed("curve", "refit").withColumn("has_gap", F.lit(True))
     both = first.join(again, [*keys, "year"], "full")
