@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from itertools import chain
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.params import VEG_CLASSES
@@ -102,6 +103,19 @@ def round6(c: str | Column) -> Column:
     return F.bround(_c(c), 6)
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, lengthened until no column of ``df`` is called so."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` worked out once for the row, not once for each element of the lambdas in ``use``."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def chunk_of(cell: str | Column, n_chunks: int | Column, n_cells: str | Column) -> Column:
     """The chunk of a cell numbered from 1: equal shares, what is left over goes to the last."""
     n = F.lit(n_chunks) if isinstance(n_chunks, int) else n_chunks

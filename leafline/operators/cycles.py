@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalar import direction_code, round6
+from ..functions.scalar import direction_code, free_name, let, round6
 from ..plans.params import Params
 from .series import KEYS
 
@@ -99,17 +99,22 @@ def pheno_dates(segs: DataFrame, p: Params = Params()) -> DataFrame:
     of the falling limb. Both sides are rounded to six places.
     """
 
-    def reached(limb: Column, base: str, share: float) -> Column:
-        level = round6(_at(base) + (_at("seg_peak") - _at(base)) * F.lit(share))
-        return F.transform(limb, lambda v: round6(v) >= level)
+    def levels(base: str, shares: tuple[float, ...]) -> list[Column]:
+        return [round6(_at(base) + (_at("seg_peak") - _at(base)) * F.lit(s)) for s in shares]
+
+    def first(limb: Column, base: str, shares: tuple[float, ...]) -> Column:
+        """The first place of the limb at each share or more."""
+        at = lambda xs, level: let(level, lambda low: F.array_position(F.transform(xs, lambda x: x >= low), True).cast("int"))
+        return let(F.transform(limb, round6), lambda xs: F.array(*(at(xs, level) for level in levels(base, shares))))
 
     rise, fall = _limb("seg_start", "seg_peak"), _limb("seg_peak", "seg_end")
-    up = {f"up{i}": F.array_position(reached(rise, "seg_start", s), True) + F.col("seg_start") - 1 for i, s in enumerate(p.green_up, 1)}
-    down = {
-        f"down{i}": F.size(fall) - F.array_position(F.reverse(reached(fall, "seg_end", s)), True) + F.col("seg_peak")
-        for i, s in enumerate(p.green_down, 1)
-    }
-    return segs.withColumns({k: v.cast("int") for k, v in (up | down).items()})
+    found = F.struct(
+        first(rise, "seg_start", p.green_up).alias("up"), first(F.reverse(fall), "seg_end", p.green_down).alias("down"), F.size(fall).alias("n")
+    )
+    f = free_name(segs, "_found")
+    up = {f"up{i + 1}": F.col(f)["up"][i] + F.col("seg_start") - 1 for i in range(len(p.green_up))}
+    down = {f"down{i + 1}": F.col(f)["n"] - F.col(f)["down"][i] + F.col("seg_peak") for i in range(len(p.green_down))}
+    return segs.withColumn(f, found).withColumns(up | down).drop(f)
 
 
 def segment_metrics(segs: DataFrame) -> DataFrame:
@@ -119,25 +124,29 @@ def segment_metrics(segs: DataFrame) -> DataFrame:
     either limb all are null; a fit is null where the observations don't vary.
     """
 
-    def limb(a: str, b: str, name: str) -> dict[str, Column]:
+    def limb(a: str, b: str) -> Column:
         seen = F.filter(F.arrays_zip(F.col("days").alias("d"), F.col("values").alias("v")), lambda o: o["d"].between(F.col(a), F.col(b)))
-        n = F.size(seen)
-        total = F.aggregate(seen, F.lit(0.0), lambda s, o: s + o["v"])
-        mean = F.try_divide(total, n)
-        sse = F.aggregate(seen, F.lit(0.0), lambda s, o: s + F.pow(o["v"] - F.element_at("curve", o["d"]), 2))
-        sst = F.aggregate(seen, F.lit(0.0), lambda s, o: s + F.pow(o["v"] - mean, 2))
-        stops = F.concat(F.array(F.col(a)), F.transform(seen, lambda o: o["d"]), F.array(F.col(b)))
-        gaps = F.zip_with(F.slice(stops, 2, n + 1), F.slice(stops, 1, n + 1), lambda later, sooner: later - sooner)
-        return {f"{name}_r2": F.when(sst != 0, 1 - sse / sst), f"{name}_n": n, f"{name}_gap": F.array_max(gaps)}
+
+        def fit(obs: Column) -> Column:
+            mean = F.try_divide(F.aggregate(obs, F.lit(0.0), lambda s, o: s + o["v"]), F.size(obs))
+            sse = F.aggregate(obs, F.lit(0.0), lambda s, o: s + F.pow(o["v"] - F.element_at("curve", o["d"]), 2))
+            sst = let(mean, lambda m: F.aggregate(obs, F.lit(0.0), lambda s, o: s + F.pow(o["v"] - m, 2)))
+            return let(sst, lambda all_: F.when(all_ != 0, 1 - sse / all_))
+
+        def gap(obs: Column) -> Column:
+            stops = F.concat(F.array(F.col(a)), F.transform(obs, lambda o: o["d"]), F.array(F.col(b)))
+            n = F.size(obs)
+            return let(stops, lambda at: F.array_max(F.zip_with(F.slice(at, 2, n + 1), F.slice(at, 1, n + 1), lambda later, sooner: later - sooner)))
+
+        return let(seen, lambda obs: F.struct(fit(obs).alias("r2"), F.size(obs).alias("n"), gap(obs).alias("gap")))
 
     whole = _limb("seg_start", "seg_end")
-    cols = {
-        "amp": F.array_max(whole) - F.array_min(whole), "peak_value": F.array_max(whole), "area": F.aggregate(whole, F.lit(0.0), lambda s, v: s + v),
-        **limb("seg_start", "seg_peak", "up"), **limb("seg_peak", "seg_end", "down"),
-    }
-    out = segs.withColumns(cols)
-    both = (F.col("up_n") > 0) & (F.col("down_n") > 0)
-    return out.withColumns({c: F.when(both, F.col(c)) for c in cols})
+    cols = {"amp": F.array_max(whole) - F.array_min(whole), "peak_value": F.array_max(whole), "area": F.aggregate(whole, F.lit(0.0), lambda s, v: s + v)}
+    f = free_name(segs, "_limbs")
+    limbs = F.struct(limb("seg_start", "seg_peak").alias("up"), limb("seg_peak", "seg_end").alias("down"))
+    cols |= {f"{side}_{c}": F.col(f)[side][c] for side in ("up", "down") for c in ("r2", "n", "gap")}
+    both = (F.col(f)["up"]["n"] > 0) & (F.col(f)["down"]["n"] > 0)
+    return segs.withColumn(f, limbs).withColumns({k: F.when(both, c) for k, c in cols.items()}).drop(f)
 
 
 def qa_class(up_r2: str, down_r2: str, up_gap: str, down_gap: str, p: Params = Params()) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.scalar import let
 from ..plans.params import Params
 from .series import KEYS
 from .spline import gathered, smooth
@@ -33,11 +34,12 @@ def array_weights(curves: DataFrame, p: Params = Params(), keys: list[str] = KEY
     def pair(a, b):
         far = F.zip_with(a["vs"], b["vs"], lambda x, y: (y - x) * (y - x))
         flat = F.zip_with(a["vs"], b["vs"], lambda x, y: F.when(y.isNotNull(), (x - a["m"]) * (x - a["m"])))
-        n = F.size(F.filter(far, lambda d: d.isNotNull())).cast("long")
-        return F.struct(a["year"].alias("year"), b["year"].alias("other"), n.alias("n"), F.sqrt(total(far)).alias("far"), F.sqrt(total(flat)).alias("flat"))
+        n = lambda ds: F.size(F.filter(ds, lambda d: d.isNotNull())).cast("long")
+        apart = let(far, lambda ds: F.struct(n(ds).alias("n"), F.sqrt(total(ds)).alias("far")))
+        return F.struct(a["year"].alias("year"), b["year"].alias("other"), apart.alias("apart"), F.sqrt(total(flat)).alias("flat"))
 
     pairs = F.flatten(F.transform("all", lambda a: F.transform("all", lambda b: pair(a, b))))
-    sums = cells.select(*keys, F.inline(pairs)).where("n > 0")
+    sums = cells.select(*keys, F.inline(pairs)).select(*keys, "year", "other", "apart.n", "apart.far", "flat").where("n > 0")
     like = F.lit(p.max_weight) * F.greatest(F.lit(0.0), 1 - F.try_divide(F.col("far"), F.col("flat")))
     return sums.select(*keys, "year", "other", "n", F.when((F.col("n") < p.min_common_days) | (F.col("flat") == 0), 0.0).otherwise(like).alias("weight"))
 

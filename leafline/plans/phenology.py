@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.scalar import let
 from ..operators.cycles import find_segments, peaks_in_year, pheno_dates, qa_class, rank_cycles, segment_metrics, top2_cycles, weak_cycle
 from ..operators.despike import despike
 from ..operators.series import KEYS, floor_dormant, gap_islands, num_obs, three_day_composite, water_reject, year_table, year_windows
@@ -20,15 +21,17 @@ def masked_curves(curves: DataFrame, windowed: DataFrame, gaps: DataFrame, p: Pa
     ends = windowed.groupBy(*keys, "year").agg(F.min("day_idx").alias("lo"), F.max("day_idx").alias("hi"))
     spans = gaps.groupBy(*keys).agg(F.collect_list(F.struct("gap_start", "gap_end")).alias("gaps"))
     rows = curves.where("curve is not null").join(ends, [*keys, "year"]).join(spans, keys, "left")
-    first = F.make_date("year", F.lit(1), F.lit(1))
+    first, last = F.make_date("year", F.lit(1), F.lit(1)), F.make_date("year", F.lit(12), F.lit(31))
+    own = F.filter(F.coalesce("gaps", F.array()), lambda g: (g["gap_start"] <= last) & (g["gap_end"] > first))
+    own = F.transform(own, lambda g: F.struct(F.datediff(g["gap_start"], first).alias("a"), F.datediff(g["gap_end"], first).alias("b")))
+    inside = F.slice("curve", p.spline_buffer + 1, F.dayofyear(last))
 
-    def kept(v: Column, i: Column) -> Column:
-        day = F.date_add("first", i)
-        free = ~F.coalesce(F.exists("gaps", lambda g: (g["gap_start"] <= day) & (day < g["gap_end"])), F.lit(False))
-        return F.when((i + (p.spline_buffer + 1)).between(F.col("lo"), F.col("hi")) & free, v)
+    def kept(of: Column) -> Column:
+        seen = lambda i: (i + (p.spline_buffer + 1)).between(F.col("lo"), F.col("hi"))
+        free = lambda i: ~F.exists(of, lambda g: (g["a"] <= i) & (i < g["b"]))
+        return F.transform(inside, lambda v, i: F.when(seen(i) & free(i), v))
 
-    inside = F.slice("curve", p.spline_buffer + 1, F.dayofyear(F.make_date("year", F.lit(12), F.lit(31))))
-    return rows.withColumns({"first": first, "inside": inside}).select(*keys, "year", F.transform("inside", kept).alias("vs"))
+    return rows.select(*keys, "year", let(own, kept).alias("vs"))
 
 
 def _curves(windowed: DataFrame, gaps: DataFrame, p: Params, keys: list[str]) -> DataFrame:
