@@ -96,7 +96,7 @@ def water_reject(obs: DataFrame, water: DataFrame, share: float = 0.5, occurrenc
 
 def year_table(spark: SparkSession, years: tuple[int, ...], buffer: int = 185) -> DataFrame:
     """``(year, win_start, win_end)``: a row for each product year, always few."""
-    y = spark.createDataFrame([(y,) for y in years], "year int")
+    y = spark.range(1).select(F.explode(F.array(*map(F.lit, years))).alias("year"))
     start = F.date_add(F.make_date("year", F.lit(1), F.lit(1)), -buffer)
     return y.select("year", start.alias("win_start"), F.date_add(start, 364 + 2 * buffer).alias("win_end"))
 

@@ -17,7 +17,10 @@ def slot_values(rows: DataFrame, keys: list[str] = KEYS) -> DataFrame:
     o = rows.where("v is not null").groupBy(*keys, "year").agg(F.sort_array(F.collect_list(one)).alias("o"))
     before = lambda i: F.when(i == 0, F.lit(-1)).otherwise(F.get("o.d", i - 1))
     filled = F.transform("o", lambda r, i: F.concat(F.array_repeat(F.lit(None).cast("double"), r["d"] - before(i) - 1), F.array(r["v"])))
-    return o.select(*keys, "year", F.flatten(filled).alias("vs"))
+    start = F.get("o.d", F.lit(0))
+    whole = F.element_at("o.d", -1) - start + 1 == F.size("o")
+    lead = F.array_repeat(F.lit(None).cast("double"), start)
+    return o.select(*keys, "year", F.when(whole, F.concat(lead, F.col("o.v"))).otherwise(F.flatten(filled)).alias("vs"))
 
 
 def array_weights(curves: DataFrame, p: Params = Params(), keys: list[str] = KEYS) -> DataFrame:
