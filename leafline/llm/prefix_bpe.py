@@ -2,7 +2,7 @@
 
 Every prefix of a byte string has one valid last token: the token that ends the encoding of that
 prefix. Storing it for each prefix makes an append exact (only new prefixes are worked out) and
-lets an edit keep all prefixes before it.
+lets an edit keep all prefixes but those near it.
 """
 
 from __future__ import annotations
@@ -82,23 +82,38 @@ class Prefixes:
 
     def append(self, more: bytes) -> Prefixes:
         """Add bytes; what is stored for earlier prefixes stays as it is."""
+        return self._extend(more, [])
+
+    def edit(self, start: int, stop: int, new: bytes) -> Prefixes:
+        """Replace ``data[start:stop]``; only prefixes near the edit are worked out again.
+
+        What holds for a prefix follows from the bytes and the stored tokens within the longest
+        token's length before it. So once that many in a row, past the edit, are as they were, all
+        later ones are too.
+        """
+        tail, known = self.data[stop:], self.last[stop:]
+        self.data, self.last = self.data[:start], self.last[:start]
+        return self._extend(new + tail, known)
+
+    def _extend(self, more: bytes, known: list[int]) -> Prefixes:
+        """Add bytes, of which the last ended in the tokens ``known`` in another text."""
         last, stands, fit = self.last, self.ranks.stands, self.ranks.fit
         start, self.data = len(last), self.data + more
         text = self.data.decode("latin-1")
+        since, same = len(text) - len(known), 0
         for at, (token, size) in self.ranks.ends.iter(text, max(0, start - self.ranks.longest + 1)) if more else ():
             # the first token that holds is the only one that can
             if at == len(last) and stands(token) and (size > at or fit(last[at - size], token)):
                 last.append(token)
+                if at >= since:
+                    same = same + 1 if token == known[at - since] else 0
+                    if same == self.ranks.longest:
+                        last += known[at - since + 1 :]
+                        break
         if len(last) < len(text):
             raise ValueError(f"no token ends the prefix of {len(last) + 1} bytes; the ranks lack a single byte")
         return self
 
-    def edit(self, start: int, stop: int, new: bytes) -> Prefixes:
-        """Replace ``data[start:stop]``; only prefixes past ``start`` are worked out again."""
-        tail = self.data[stop:]
-        self.data, self.last = self.data[:start], self.last[:start]
-        return self.append(new + tail)
-
     def tokens(self) -> list[int]:
         out, end = [], len(self.data)
         while end:

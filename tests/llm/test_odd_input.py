@@ -56,6 +56,24 @@ def test_edits_equal_encoding_anew():
         assert edited.data == data[:a] + new + data[b:] and edited.last == prefix_bpe.Prefixes(ranks, edited.data).last
 
 
+def test_edits_work_out_near_prefixes_only(monkeypatch):
+    """Long pieces, edited anywhere, equal encoding anew, and most of what follows an edit is taken over."""
+    ranks = prefix_bpe.Ranks.from_file(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+    rng, asked = random.Random(3), []
+    plain = ranks.fit
+    monkeypatch.setattr(ranks, "fit", lambda *pair: asked.append(pair) or plain(*pair))
+    data = bytes(rng.choice(b"aeinrstlo ") for _ in range(6000))
+    whole = prefix_bpe.Prefixes(ranks, data)
+    anew = len(asked)
+    for a, b, new in [(0, 3, b""), (5, 5, b"zz"), (40, 900, b"in"), (3000, 3001, b"q"), (5990, 6000, b"end"), (6000, 6000, b"more"), (0, 6000, b"x")]:
+        edited = prefix_bpe.Prefixes(ranks)
+        edited.data, edited.last = data, list(whole.last)
+        asked.clear()
+        edited.edit(a, b, new)
+        assert len(asked) < anew / 4
+        assert edited.data == data[:a] + new + data[b:] and edited.last == prefix_bpe.Prefixes(ranks, edited.data).last
+
+
 @pytest.mark.parametrize("chunk", [3, 4096])
 def test_nearest_over_many_cells(spark, chunk):
     """Clustered vectors in over twenty cells, read by tasks of which some are empty: recall, exact scores and whole results."""
@@ -83,7 +101,7 @@ def test_nearest_without_columns_to_clash(spark):
 
 
 def test_licenses_of_repeated_and_null_ids(spark):
-    text = f"Some lines before the notice, of a longer text.\n{licenses.TEMPLATES['MIT']}.\nAnd some other lines after it, as well."
+    text = f"Some lines before the notice, of a longer text.\n{licenses.TEMPLATES['MIT'][0]}.\nAnd some other lines after it, as well."
     docs = spark.createDataFrame([(1, text), (1, text), (None, text), (2, None), (3, "")], "doc_id long, text string").withColumn("license", F.lit("x"))
     got = [(r["doc_id"], r["n_units"]) for r in licenses.scan(docs).collect()]
     assert sorted(got, key=str) == [(1, 1), (1, 1), (None, 1)]
