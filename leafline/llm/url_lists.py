@@ -5,20 +5,26 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .shared import written
+
 #: A key with more captures than a thousandth of all (and than this) is dealt to several tasks.
 HOT_ROWS = 20_000
 
 
 def host_of(url: str | Column) -> Column:
-    """The lower-case host of a URL, without user, port or a trailing dot; null if there is none."""
+    """The lower-case host of a URL, without user, port or a trailing dot; null if there is none.
+
+    An address in brackets keeps them.
+    """
     url = F.col(url) if isinstance(url, str) else url
-    host = F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1))
+    host = F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?(\[[^/?#\]]*\]|[^/?#:]+)", 1))
     return F.nullif(F.rtrim(host, F.lit(".")), F.lit(""))
 
 
 def host_suffixes(host: str | Column) -> Column:
-    """The host and its parent domains of two labels at least."""
-    labels = F.split(host, r"\.")
+    """The host and its parent domains of two labels at least; an address has no parents."""
+    host = F.col(host) if isinstance(host, str) else host
+    labels = F.when(host.rlike(r"^\[|^[0-9.]+$"), F.array(host)).otherwise(F.split(host, r"\."))
     n = F.size(labels)
     starts = F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1)))
     return F.transform(starts, lambda i: F.array_join(F.slice(labels, i, n), "."))
@@ -52,7 +58,7 @@ def judge(
     each = captures.select(F.col(id_col).alias("_id"), host_of(url).alias("_host"), F.col(fetched).alias("_at"))
     meets = each.where(F.col("_host").isNotNull() & F.col("_at").isNotNull())
     meets = meets.select("_id", "_at", F.explode(host_suffixes("_host")).alias("_key"))
-    sizes = meets.groupBy("_key").agg(F.count("*").alias("n"))
+    sizes = written(meets.groupBy("_key").agg(F.count("*").alias("n")), "url-keys")
     total = sizes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     limit = max(HOT_ROWS, total // 1000)
     hot = sizes.where(F.col("n") > limit).select("_key", F.ceil(F.col("n") / limit).cast("int").alias("salts"))
