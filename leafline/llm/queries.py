@@ -50,7 +50,7 @@ def captures(pages: DataFrame) -> DataFrame:
 
 def list_changes(pages: DataFrame) -> DataFrame:
     """A dated block list, from the hosts of all pages: each host is added and removed in turn, twice."""
-    host = F.regexp_extract("url", r"^[a-z]+://([^/?#:]+)", 1)
+    host = F.regexp_extract("url", r"^[a-z]+://(\[[^/?#\]]*\]|[^/?#:]+)", 1)
     hosts = pages.select(host.alias("domain")).where("domain <> ''").distinct()
     n = F.length("domain") * 29 + F.ascii(F.substring("domain", 5, 1)) * 13 + F.ascii(F.substring("domain", 8, 1)) * 7
     turns = F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(i % 2 == 0).alias("listed")) for i in range(4)))).alias("t")
@@ -96,7 +96,7 @@ def _literal(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
 
-_TEMPLATES = ", ".join(f"({_literal(k)}, {_literal(v)})" for k, v in licenses.TEMPLATES.items())
+_TEMPLATES = ", ".join(f"({_literal(k)}, {_literal(v)})" for k, forms in licenses.TEMPLATES.items() for v in forms)
 
 ORACLE_SQL = {
     "op4_license_scan": f"""
@@ -111,9 +111,9 @@ units as (
 cut as (select doc_id, unit, regexp_extract_all(lower(unit), '[a-z0-9]+') as w from units),
 pairs as (select doc_id, unit, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) as b from cut where len(w) > 1),
 scored as (
-  select p.doc_id, o.license, 2.0 * len(list_intersect(p.b, o.b)) / (len(p.b) + len(o.b)) as dice
+  select p.doc_id, p.unit, o.license, 2.0 * len(list_intersect(p.b, o.b)) / (len(p.b) + len(o.b)) as dice
   from pairs p join own o on len(p.b) * 1.5 + 1 >= len(o.b) and len(o.b) * 1.5 + 1 >= len(p.b))
-select doc_id, license, round(max(dice), 6) as dice, count(*) as n_units from scored where dice >= 0.8 - 1e-12 group by doc_id, license
+select doc_id, license, round(max(dice), 6) as dice, count(distinct unit) as n_units from scored where dice >= 0.8 - 1e-12 group by doc_id, license
 """,
     "op6_chat_formatting": """
 with turns as (
@@ -124,7 +124,7 @@ select conv_id, n_turns, chat from firsts a
 where not exists (select 1 from firsts b where b.n_turns > a.n_turns and starts_with(b.chat, a.chat))
 """,
     "op7_url_lists": r"""
-with hosts as (select distinct regexp_extract(url, '^[a-z]+://([^/?#:]+)', 1) as domain from pages),
+with hosts as (select distinct regexp_extract(url, '^[a-z]+://(\[[^/?#\]]*\]|[^/?#:]+)', 1) as domain from pages),
 numbered as (
   select domain, length(domain) * 29 + ascii(substring(domain, 5, 1)) * 13 + ascii(substring(domain, 8, 1)) * 7 as n from hosts where domain <> ''),
 changes as (
@@ -132,13 +132,13 @@ changes as (
   from numbered, (values (0), (1), (2), (3)) t(i)),
 daily as (select domain, listed_on, bool_and(listed) as listed from changes group by domain, listed_on),
 caps as (
-  select page_id, lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)', 1)) as host,
+  select page_id, lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?(\[[^/?#\]]*\]|[^/?#:]+)', 1)) as host,
     date '2023-01-01' + cast((page_id * 37 + length(url) * 11) % 730 as integer) as fetched_on
   from pages),
 pairs as (
   select c.page_id, c.fetched_on, d.domain, d.listed,
     row_number() over (partition by c.page_id, d.domain order by d.listed_on desc) as r
-  from caps c join daily d on (c.host = d.domain or ends_with(c.host, '.' || d.domain)) and d.listed_on <= c.fetched_on),
+  from caps c join daily d on (c.host = d.domain or ends_with(c.host, '.' || d.domain) and not regexp_matches(c.host, '^\[|^[0-9.]+$')) and d.listed_on <= c.fetched_on),
 active as (select page_id, domain from pairs where r = 1 and listed)
 select c.page_id, count(a.domain) > 0 as blocked, count(a.domain) as n_entries, arg_max(a.domain, length(a.domain)) as matched
 from caps c left join active a on a.page_id = c.page_id group by c.page_id

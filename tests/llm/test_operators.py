@@ -114,10 +114,15 @@ def test_chi_square_quantile():
 
 
 def test_licenses(spark, odd, none):
-    rows = [(100, "Text.\nReleased under the MIT License.\nMore."), (101, licenses.TEMPLATES["ISC"]), (102, "Released MIT"), (103, "Nothing here at all")]
+    rows = [(100, "Text.\nReleased under the MIT License.\nMore."), (101, licenses.TEMPLATES["ISC"][0]), (102, "Released MIT"), (103, "Nothing here at all")]
     docs = odd.union(spark.createDataFrame([(i, t, "", "", "", "") for i, t in rows], DOCS))
     got = {(r["doc_id"], r["license"]): r["dice"] for r in licenses.scan(docs).collect()}
     assert got == {(100, "MIT"): 1.0, (101, "ISC"): 1.0}
+    forms = [(name, text) for name, own in licenses.TEMPLATES.items() for text in own]
+    docs = spark.createDataFrame([(i, text) for i, (_, text) in enumerate(forms)], "doc_id long, text string")
+    got = {(r["doc_id"], r["license"]): r["dice"] for r in licenses.scan(docs).collect()}
+    assert all(got[i, name] == 1.0 for i, (name, _) in enumerate(forms))
+    assert {i for i, name in got if name != forms[i][0] and got[i, name] == 1.0} == set()
     assert licenses.scan(none).count() == 0
 
 
@@ -170,6 +175,10 @@ def test_url_lists(spark):
     ).select("domain", F.to_date("d").alias("listed_on"), "listed")
     got = {r["page_id"]: (r["blocked"], r["n_entries"], r["matched"]) for r in url_lists.judge(caps, changes).collect()}
     assert got == {1: (True, 1, "b.com"), 2: (True, 1, "a.b.com"), 3: (True, 1, "b.com"), 4: (False, 0, None), 5: (False, 0, None)}
+    address = spark.createDataFrame([(1, "http://10.0.0.1/x"), (2, "http://10.0.0.1:80/"), (3, "http://[2001:DB8::1]:80/x")], "page_id long, url string")
+    address = address.withColumn("fetched_on", F.to_date(F.lit("2023-01-05")))
+    listed = spark.createDataFrame([("0.1",), ("[2001:db8::1]",)], "domain string").withColumn("listed_on", F.to_date(F.lit("2023-01-01"))).withColumn("listed", F.lit(True))
+    assert {r["page_id"] for r in url_lists.judge(address, listed).where("blocked").collect()} == {3}
     assert url_lists.judge(caps.where("false"), changes).count() == 0
     assert url_lists.judge(caps, changes.where("false")).where("blocked").count() == 0
 
@@ -339,7 +348,7 @@ def test_licenses_over_several_lines(spark):
     import textwrap
 
     def laid_out(name, *cuts):
-        text, parts = licenses.TEMPLATES[name], []
+        text, parts = licenses.TEMPLATES[name][-1], []
         for c in cuts:
             head, text = text.split(c, 1)
             parts.append(head)
@@ -348,9 +357,11 @@ def test_licenses_over_several_lines(spark):
 
     around = "\n".join(f"line {i} of some longer document about thing {i * i}" for i in range(40))
     whole = {
-        "MIT-text": laid_out("MIT-text", "The above copyright", "THE SOFTWARE IS"),
-        "Apache-2.0-header": laid_out("Apache-2.0-header", "You may obtain", "Unless required"),
-        "GPL-3.0-header": laid_out("GPL-3.0-header", "This program is distributed"),
+        "MIT": laid_out("MIT", "The above copyright", "THE SOFTWARE IS"),
+        "Apache-2.0": laid_out("Apache-2.0", "You may obtain", "Unless required"),
+        "GPL-3.0": laid_out("GPL-3.0", "This program is distributed"),
+        "Zlib": laid_out("Zlib", "Permission is granted", "1. The", "2. Altered", "3. This"),
+        "BSL-1.0": laid_out("BSL-1.0", "The copyright notices", "THE SOFTWARE IS"),
         "BSD-3-Clause": "Use of this source code is governed by a BSD-style\nlicense that can be found in the LICENSE file",
     }
     rows = [(name, end) for name in whole for end in ("\n", "\r\n", "\r")]
@@ -361,7 +372,7 @@ def test_licenses_over_several_lines(spark):
     assert all(got[i, name] == (1.0, 1) for i, (name, _) in enumerate(rows))
     scanner, rng = licenses.Scanner.of(licenses.TEMPLATES, 0.8), random.Random(1)
     for _ in range(30):
-        words = licenses.TEMPLATES[rng.choice(sorted(whole))].split()
+        words = rng.choice(licenses.TEMPLATES[rng.choice(sorted(whole))]).split()
         for _ in range(rng.randrange(12)):
             words[rng.randrange(len(words))] = "changed"
         lines, at = ["before this", ""], 0
@@ -373,6 +384,7 @@ def test_licenses_over_several_lines(spark):
         best = {}
         for a in range(len(lines)):
             for b in range(a, len(lines)):
-                for name, score in scanner.unit("\n".join(lines[a : b + 1])):
+                for k, score in scanner.unit("\n".join(lines[a : b + 1])).items():
+                    name = scanner.templates[k][0]
                     best[name] = max(best.get(name, 0), score)
         assert {k: x[0] for k, x in scanner.runs("\n".join(lines)).items()} == best
