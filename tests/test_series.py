@@ -176,6 +176,28 @@ def test_two_digit_scene_dates(spark):
     assert [r[0] for r in df.select(S.scene_date("p", 3)).collect()] == [date(2017, 3, 5), None]
 
 
+def test_batches_over_many_ranges(spark):
+    """Numbers go on from range to range, in groups of any size, with repeated items and null groups."""
+    from pyspark.sql import Window
+    from pyspark.sql import functions as F
+
+    from leafline.operators import catalog
+
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        items = spark.range(5000).select(
+            F.when(F.col("id") % 7 < 5, F.lit(1)).when(F.col("id") % 7 < 6, F.col("id") % 30).alias("g"), (F.col("id") * 7919 % 2500).cast("string").alias("item_id")
+        )
+        w = Window.partitionBy("g")
+        want = items.select("g", "item_id", F.floor((F.row_number().over(w.orderBy("item_id")) - 1) / 9).cast("int").alias("batch"), (F.ceil(F.count("*").over(w) / 9) > 20).alias("over"))
+        got = catalog.id_batches(items, "g", size=9, most=20)
+        assert got.columns == want.columns
+        assert got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty()
+        assert catalog.id_batches(items.where("false"), "g").isEmpty()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+
+
 def test_chain_gives_a_row_for_each_cell_and_year(spark, small):
     from leafline import queries
 
