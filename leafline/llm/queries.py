@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, chats, decontaminate, html_text, langid, licenses, prefix_bpe, simhash, token_files, url_lists
+from . import ann, chats, decontaminate, html_text, langid, licenses, prefix_bpe, simhash, token_files, url_lists, vector_codes
 from .shared import table
 
 
@@ -77,6 +77,10 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compress(table(spark, sf_dir, "embeddings"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -87,11 +91,46 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_token_files, op2_prefix_bpe, op3_nearest_vectors, op4_license_scan, op5_language_id, op6_chat_formatting, op7_url_lists,
-        op8_decontamination, op9_html_text, op10_simhash, pipeline,
+        op8_decontamination, op9_html_text, op10_simhash, op13_vector_codes, pipeline,
     )
 }
 
 
+def _vector_codes_sql(parts: int = 8, entries: int = 16, rounds: int = 6) -> str:
+    """Rounds as common table expressions one after another; a row for each component."""
+    steps = [
+        """with kept as (
+  select vec_id, label, list_transform(embedding, lambda x: cast(floor(4096 * cast(x as double)) as bigint)) as v from embeddings
+  where embedding is not null and len(embedding) = len(list_filter(embedding, lambda x: x is not null and isfinite(x))))""",
+        f"""x as materialized (select vec_id, (i - 1) * {parts} // len(v) as part, i as pos, v[i] as x
+  from (select vec_id, v, unnest(range(1, len(v) + 1)) as i from kept))""",
+        f"""starts as (select vec_id, row_number() over (order by vec_id) - 1 as entry from kept order by vec_id limit {entries})""",
+        "book0 as materialized (select part, entry, pos, x as e from x join starts using (vec_id))",
+    ]
+    for r in range(rounds + 1):
+        steps.append(
+            f"""code{r} as materialized (
+  select vec_id, part, min(d * {entries} + entry) % {entries} as entry, min(d) as d
+  from (select vec_id, x.part, entry, sum((x - e) * (x - e)) as d from x join book{r} b on b.part = x.part and b.pos = x.pos group by vec_id, x.part, entry)
+  group by vec_id, part)"""
+        )
+        if r < rounds:
+            steps.append(
+                f"""book{r + 1} as materialized (
+  select b.part, b.entry, b.pos, coalesce(m.e, b.e) as e from book{r} b left join (
+    select part, entry, pos, (sum(x) - ((sum(x) % count(*)) + count(*)) % count(*)) // count(*) as e
+    from x join code{r} using (vec_id, part) group by part, entry, pos) m using (part, entry, pos))"""
+            )
+    steps.append(
+        f"""coded as (select vec_id, string_agg(printf('%02x', cast(entry as integer)), '' order by part) as code, cast(sum(d) as bigint) as error
+  from code{rounds} group by vec_id)"""
+    )
+    return ", ".join(steps) + f"""
+select vec_id, code, error, cast(sum(error) over (partition by label) as bigint) as label_error,
+  (select sha256(string_agg(cast(e as varchar), ',' order by part, entry, pos)) from book{rounds}) as codebooks_sha256
+from coded join kept using (vec_id)"""
+
+
 def _literal(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
@@ -143,6 +182,7 @@ active as (select page_id, domain from pairs where r = 1 and listed)
 select c.page_id, count(a.domain) > 0 as blocked, count(a.domain) as n_entries, arg_max(a.domain, length(a.domain)) as matched
 from caps c left join active a on a.page_id = c.page_id group by c.page_id
 """,
+    "op13_vector_codes": _vector_codes_sql(),
     "op8_decontamination": r"""
 with item_words as (select item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') as w from benchmark),
 item_grams as (
