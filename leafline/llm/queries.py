@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, chats, decontaminate, html_text, langid, licenses, prefix_bpe, simhash, token_files, url_lists, vector_codes
+from . import ann, chats, decontaminate, html_text, langid, licenses, minhash, prefix_bpe, simhash, token_files, url_lists, vector_codes
 from .shared import table
 
 
@@ -77,6 +77,10 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op12_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), width=2)
+
+
 def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_codes.compress(table(spark, sf_dir, "embeddings"))
 
@@ -91,7 +95,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_token_files, op2_prefix_bpe, op3_nearest_vectors, op4_license_scan, op5_language_id, op6_chat_formatting, op7_url_lists,
-        op8_decontamination, op9_html_text, op10_simhash, op13_vector_codes, pipeline,
+        op8_decontamination, op9_html_text, op10_simhash, op12_minhash, op13_vector_codes, pipeline,
     )
 }
 
@@ -181,6 +185,27 @@ pairs as (
 active as (select page_id, domain from pairs where r = 1 and listed)
 select c.page_id, count(a.domain) > 0 as blocked, count(a.domain) as n_entries, arg_max(a.domain, length(a.domain)) as matched
 from caps c left join active a on a.page_id = c.page_id group by c.page_id
+""",
+    "op12_minhash": r"""
+with recursive words as (
+  select doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents),
+sets as (
+  select doc_id, case when len(w) > 1 then list_sort(list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) when len(w) = 1 then w else [] end as s
+  from words),
+own as materialized (select doc_id, s, len(s) as n from sets),
+kinds as materialized (select s, n, min(doc_id) as rep from own where n > 0 group by s, n),
+grams as materialized (select rep, n, unnest(s) as g from kinds),
+rare as (select rep, n, g, row_number() over (partition by rep order by c, g) as i from grams join (select g, count(*) as c from grams group by g) using (g)),
+prefix as materialized (select rep, n, g from rare where i <= n - cast(ceil(0.8 * n - 1e-9) as bigint) + 1),
+cands as materialized (select distinct a.rep as a, b.rep as b from prefix a join prefix b on a.g = b.g and a.rep < b.rep and 5 * a.n >= 4 * b.n and 5 * b.n >= 4 * a.n),
+links as (
+  select a, b from (select c.a, c.b, x.n + y.n as total, len(list_intersect(x.s, y.s)) as same from cands c join kinds x on x.rep = c.a join kinds y on y.rep = c.b)
+  where 100 * same >= 80 * (total - same)),
+edges as materialized (select a, b from links union all select b, a from links),
+reach(node, low) as (select rep, rep from kinds union select b.b, r.low from reach r join edges b on b.a = r.node where r.low < b.b),
+comps as (select node, min(low) as low from reach group by node)
+select o.doc_id, cast(o.n as bigint) as n_shingles, coalesce(c.low, o.doc_id) as component_id, coalesce(c.low, o.doc_id) = o.doc_id as kept
+from own o left join kinds k on o.s = k.s left join comps c on c.node = k.rep
 """,
     "op13_vector_codes": _vector_codes_sql(),
     "op8_decontamination": r"""
