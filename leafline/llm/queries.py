@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, chats, decontaminate, html_text, langid, licenses, minhash, prefix_bpe, simhash, token_files, url_lists, vector_codes
+from . import ann, chats, collocations, decontaminate, html_text, langid, licenses, minhash, prefix_bpe, simhash, token_files, url_lists, vector_codes
 from .shared import table
 
 
@@ -77,6 +77,10 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 def op12_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), width=2)
 
@@ -95,7 +99,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_token_files, op2_prefix_bpe, op3_nearest_vectors, op4_license_scan, op5_language_id, op6_chat_formatting, op7_url_lists,
-        op8_decontamination, op9_html_text, op10_simhash, op12_minhash, op13_vector_codes, pipeline,
+        op8_decontamination, op9_html_text, op10_simhash, op11_collocations, op12_minhash, op13_vector_codes, pipeline,
     )
 }
 
@@ -185,6 +189,29 @@ pairs as (
 active as (select page_id, domain from pairs where r = 1 and listed)
 select c.page_id, count(a.domain) > 0 as blocked, count(a.domain) as n_entries, arg_max(a.domain, length(a.domain)) as matched
 from caps c left join active a on a.page_id = c.page_id group by c.page_id
+""",
+    "op11_collocations": r"""
+with low as (select coalesce(lang, 'und') as lang, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as t from documents),
+pieces as (select lang, unnest(regexp_extract_all(t, '[^.,;:!?\x0A-\x0D]+')) as piece from low),
+words as materialized (select lang, regexp_extract_all(piece, '[^\x20\x09]+') as w from pieces),
+total as (select lang, cast(sum(len(w)) as bigint) as n from words group by lang),
+grams as (
+  select lang, m, unnest(list_transform(range(1, len(w) - m + 2), lambda i: array_to_string(w[i:i + m - 1], ' '))) as phrase
+  from words, (values (1), (2), (3), (4)) k(m) where len(w) >= m),
+f as materialized (select lang, m, phrase, count(*) as f from grams group by all having count(*) >= 30),
+cands as materialized (select lang, m, phrase, f as a, string_split(phrase, ' ') as w from f where m > 1),
+cuts as (
+  select c.lang, c.phrase, c.m, c.a, c.w, k, x.f as l, y.f as r, cast(2000000 * cast(c.a as hugeint) // (x.f + y.f) as bigint) as score
+  from (select *, unnest(range(1, m)) as k from cands) c
+  join f x on x.lang = c.lang and x.phrase = array_to_string(c.w[1:k], ' ') join f y on y.lang = c.lang and y.phrase = array_to_string(c.w[k + 1:], ' ')),
+best as (select * from cuts qualify row_number() over (partition by lang, phrase order by score, k) = 1),
+subs as (
+  select lang, a as longer, array_to_string(w[i:i + s - 1], ' ') as phrase
+  from (select *, unnest(range(1, m - s + 2)) as i from (select *, unnest(range(2, m)) as s from cands where m > 2))),
+gone as (select lang, phrase, max(longer) as longer from subs group by lang, phrase),
+kept as (select b.* from best b left join gone g using (lang, phrase) where g.longer is null or 100 * g.longer < 80 * b.a),
+ranked as (select *, row_number() over (partition by lang order by score desc, a desc, phrase) as rank from kept)
+select lang, rank, phrase, a, l, r, n, score from ranked join total using (lang) where rank <= 2000
 """,
     "op12_minhash": r"""
 with recursive words as (

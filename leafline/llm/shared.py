@@ -77,9 +77,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def table_or_shuffle(small: DataFrame) -> DataFrame:
-    """``small``, a written table, told to be broadcast if it has at most ``BROADCAST_IDS`` rows; left to shuffle beyond."""
-    return F.broadcast(small) if small.count() <= BROADCAST_IDS else small
+def table_or_shuffle(small: DataFrame, rows: int | None = None) -> DataFrame:
+    """``small``, a written table, told to be broadcast if it has at most ``rows`` (``BROADCAST_IDS``) rows; left to shuffle beyond."""
+    return F.broadcast(small) if small.count() <= (BROADCAST_IDS if rows is None else rows) else small
 
 
 def free_name(df: DataFrame, name: str) -> str:
