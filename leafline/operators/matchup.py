@@ -6,37 +6,18 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import date_from_doy, doy_across_years, shift_point
+from .geometry import box_of, in_polygon, points_in_boxes
 
 
 def point_in_extent(points: DataFrame, extents: DataFrame, x: str = "x", y: str = "y") -> DataFrame:
-    """Points with each extent ``(x0, x1, y0, y1)`` that holds them.
-
-    An equi-join on squares as wide as the widest extent, of which an extent meets four at most, then
-    the exact test. Whether the extents are broadcast is left to Spark, by their size.
-    """
-    widest = extents.agg(F.max(F.greatest(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")))).first()[0]
-    side = float(widest or 0) or 1.0
-    at = lambda c: F.floor(F.col(c) / side)
-    squares = extents.withColumn("_bx", F.explode(F.sequence(at("x0"), at("x1")))).withColumn("_by", F.explode(F.sequence(at("y0"), at("y1"))))
-    inside = F.col(x).between(F.col("x0"), F.col("x1")) & F.col(y).between(F.col("y0"), F.col("y1"))
-    return points.withColumns({"_bx": at(x), "_by": at(y)}).join(squares, ["_bx", "_by"]).where(inside).drop("_bx", "_by")
-
-
-def in_ring(x: Column, y: Column, ring: Column) -> Column:
-    """Whether a point is inside a closed ring of ``(x, y)`` structs, by the crossing rule."""
-    edges = F.zip_with(F.slice(ring, 1, F.size(ring) - 1), F.slice(ring, 2, F.size(ring) - 1), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
-
-    def crossed(e: Column) -> Column:
-        a, b = e["a"], e["b"]
-        at = a["x"] + F.try_divide((y - a["y"]) * (b["x"] - a["x"]), b["y"] - a["y"])
-        return ((a["y"] > y) != (b["y"] > y)) & (x < at)
-
-    return F.size(F.filter(edges, crossed)) % 2 == 1
+    """Points with each extent ``(x0, x1, y0, y1)`` that holds them, whatever the extents' sizes."""
+    return points_in_boxes(points, extents, x, y)
 
 
 def point_in_tile(points: DataFrame, tiles: DataFrame, point_id: str = "point_id") -> DataFrame:
-    """Each point's first tile by name; tiles have ``name``, an extent and a ``ring``, and are few."""
-    near = point_in_extent(points, tiles).where(in_ring(F.col("x"), F.col("y"), F.col("ring")))
+    """Each point's first tile by name; tiles have a ``name`` and ``rings``: a polygon that may have holes and parts."""
+    boxed = tiles.select("name", "rings").withColumns(box_of(F.col("rings")))
+    near = point_in_extent(points, boxed).where(in_polygon(F.col("x"), F.col("y"), F.col("rings")))
     return near.groupBy(point_id).agg(F.min("name").alias("tile"))
 
 
@@ -156,7 +137,9 @@ def grid_matchup(
     layer's pairs ``sample`` are compared, medians and means apart.
     """
     points = random_points(extents, n, seed).select("site", "point", "x", "y")
-    first = point_in_extent(points, tiles).where(in_ring(F.col("x"), F.col("y"), F.col("ring"))).groupBy("site").agg(F.min("name").alias("tile"))
+    boxed = tiles.select("name", "rings").withColumns(box_of(F.col("rings")))
+    held = point_in_extent(points, boxed).where(in_polygon(F.col("x"), F.col("y"), F.col("rings")))
+    first = held.groupBy("site").agg(F.min("name").alias("tile"))
     own = ["site", "point", "layer"]
     a = buffer_extract(points, fine, radius, "value", ["site"], own)
     b = buffer_extract(points.join(first, "site"), coarse, radius, "value", ["tile"], own)

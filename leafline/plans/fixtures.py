@@ -11,6 +11,10 @@ from .params import Params
 
 PARAMS = Params(years=(1996, 1997, 1998, 1999, 2000), dormant_from="1996-01-01", dormant_to="2000-12-31")
 
+#: Rings of two polygons: a square whose east side is notched to its middle; a square with a hole, and a triangle apart from it.
+NOTCHED = [[(0, 0), (6, 0), (3, 3), (6, 6), (0, 6), (0, 0)]]
+RINGED = [[(0, 0), (5, 0), (5, 5), (0, 5), (0, 0)], [(1, 1), (1, 4), (4, 4), (4, 1), (1, 1)], [(7, 0), (9, 0), (9, 3), (7, 0)]]
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -68,13 +72,29 @@ def orders_done(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Customers as stations, each 1.2 m beside the centre of a grid cell."""
-    k = F.col("c_custkey") % 100
+    """Customers as stations, each 1.2 m beside the centre of a grid cell; they are spread over all cells."""
+    k = F.col("c_custkey") % table(spark, sf_dir, "supplier").count()
     return table(spark, sf_dir, "customer").select(
         F.col("c_custkey").alias("station"), (500001.5 + 3 * (k % 10) + 1.2).alias("x"), (4000001.5 - 3 * F.floor(k / 10) - 1.2).alias("y")
     )
 
 
+def footprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Items with a footprint of whole coordinates: a square with a notch, or one with a hole and a triangle beside it."""
+    o, size = F.col("item_id"), F.col("item_id") % 5 + 1
+    at = lambda p: F.struct((o * 37 % 1009 + p[0] * size).cast("double").alias("x"), (o * 91 % 1013 + p[1] * size).cast("double").alias("y"))
+    shape = lambda rings: F.array(*(F.array(*map(at, r)) for r in rings))
+    return items(spark, sf_dir).withColumn("rings", F.when(o % 3 == 0, shape(RINGED)).otherwise(shape(NOTCHED)))
+
+
+def site_polygons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(site, rings)``: polygons of suppliers, from a few metres to the whole area, with holes of their own size."""
+    s, size = F.col("s_suppkey"), F.when(F.col("s_suppkey") % 25 == 0, 150).otherwise(F.col("s_suppkey") % 7 + 1)
+    at = lambda p: F.struct((s * 53 % 1009 + p[0] * size).cast("double").alias("x"), (s * 71 % 1013 + p[1] * size).cast("double").alias("y"))
+    shape = lambda rings: F.array(*(F.array(*map(at, r)) for r in rings))
+    return table(spark, sf_dir, "supplier").select(s.alias("site"), F.when(s % 2 == 0, shape(RINGED)).otherwise(shape(NOTCHED)).alias("rings"))
+
+
 def site_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each site's cells with their centres."""
     regions = table(spark, sf_dir, "nation").select("n_nationkey", F.col("n_regionkey").alias("site"))

@@ -523,7 +523,7 @@ def k14_qa_class(spark, sf):
 
 @_query(
     """select p.c_custkey as station, count(*) as n_cells, cast(round_even(median(g.cell),0) as double) as median_value from
- (select c_custkey, 500001.5 + 3*((c_custkey%100)%10) + 1.2 as px, 4000001.5 - 3*((c_custkey%100)//10) - 1.2 as py from customer) p
+ (select c_custkey, 500001.5 + 3*((c_custkey%(select count(*) from supplier))%10) + 1.2 as px, 4000001.5 - 3*((c_custkey%(select count(*) from supplier))//10) - 1.2 as py from customer) p
  join grid g on (p.px-g.x)*(p.px-g.x)+(p.py-g.y)*(p.py-g.y) <= 7.5*7.5 group by p.c_custkey""",
     "grid",
 )
@@ -533,26 +533,45 @@ def c11_buffer_extract(spark, sf):
     return out.select("station", "n_cells", F.col("median_value").cast("double").alias("median_value"))
 
 
-_EXTENTS = [(0, 500000.0, 500015.0, 3999980.0, 4000002.0), (1, 500012.0, 500040.0, 3999990.0, 4000002.0)]
+_SHAPES = """, shapes(kind, ring, i, px, py) as (values (0,0,0,0,0),(0,0,1,6,0),(0,0,2,3,3),(0,0,3,6,6),(0,0,4,0,6),(0,0,5,0,0),(1,0,0,0,0),(1,0,1,5,0),(1,0,2,5,5),(1,0,3,0,5),(1,0,4,0,0),
+  (1,1,0,1,1),(1,1,1,1,4),(1,1,2,4,4),(1,1,3,4,1),(1,1,4,1,1),(1,2,0,7,0),(1,2,1,9,0),(1,2,2,9,3),(1,2,3,7,0)),
+ borders as (select a.kind, a.ring, a.i, a.px as ax, a.py as ay, b.px as qx, b.py as qy from shapes a join shapes b on a.kind = b.kind and a.ring = b.ring and b.i = a.i + 1),
+ areas as (select s_suppkey as site, s_suppkey * 53 % 1009 as ox, s_suppkey * 71 % 1013 as oy, case when s_suppkey % 25 = 0 then 150 else s_suppkey % 7 + 1 end as size, 1 - s_suppkey % 2 as kind from supplier),
+ site_edges as (select site, ring, i, ox + ax*size as ax, oy + ay*size as ay, ox + qx*size as qx, oy + qy*size as qy from areas join borders using (kind))"""
+
+#: Extents of 10 m to 1000 km, one around another.
+_SCALES = [(k, 500000.0 - w, 500000.0 + w, 4000000.0 - w, 4000000.0 + w / 2) for k, w in enumerate((10.0, 100.0, 3000.0, 100000.0, 1000000.0))]
 
 
 @_query(
-    """select c_custkey as station, site from (select c_custkey, 500001.5 + 3*((c_custkey%100)%10) + 1.2 as x, 4000001.5 - 3*((c_custkey%100)//10) - 1.2 as y from customer)
- join (values (0, 500000.0, 500015.0, 3999980.0, 4000002.0), (1, 500012.0, 500040.0, 3999990.0, 4000002.0)) e(site, x0, x1, y0, y1) on x between x0 and x1 and y between y0 and y1"""
+    f"""select c_custkey as station, site from (select c_custkey, 500001.5 + 3*((c_custkey%(select count(*) from supplier))%10) + 1.2 as x, 4000001.5 - 3*((c_custkey%(select count(*) from supplier))//10) - 1.2 as y from customer)
+ join (values {", ".join(map(str, _SCALES))}) e(site, x0, x1, y0, y1) on x between x0 and x1 and y between y0 and y1
+ union all select c_custkey, 100 + s_suppkey from customer, (select s_suppkey, 500000.0 + 3*(s_suppkey%10) as w, 4000000.0 - 3*(s_suppkey//10) as n from supplier)
+ where 500001.5 + 3*((c_custkey%(select count(*) from supplier))%10) + 1.2 between w and w + 3 + s_suppkey%4 and 4000001.5 - 3*((c_custkey%(select count(*) from supplier))//10) - 1.2 between n - s_suppkey%5 and n + 1"""
 )
 def c9_point_in_extent(spark, sf):
-    extents = spark.createDataFrame(_EXTENTS, "site int, x0 double, x1 double, y0 double, y1 double")
-    return matchup.point_in_extent(X.stations(spark, sf), extents).select("station", "site")
+    """Stations in extents of cells, and in some of up to 1000 km that hold many or all of them."""
+    wide = spark.createDataFrame(_SCALES, "site long, x0 double, x1 double, y0 double, y1 double")
+    k = F.col("s_suppkey")
+    w, n = 500000.0 + 3 * (k % 10), 4000000.0 - 3 * F.floor(k / 10)
+    own = X.table(spark, sf, "supplier").select((k + 100).alias("site"), w.alias("x0"), (w + 3 + k % 4).alias("x1"), (n - k % 5).alias("y0"), (n + 1).alias("y1"))
+    return matchup.point_in_extent(X.stations(spark, sf), wide.union(own)).select("station", "site")
 
 
 @_query(
-    """select c_custkey as station, min(name) as tile from (select c_custkey, 500001.5 + 3*((c_custkey%100)%10) + 1.2 as x, 4000001.5 - 3*((c_custkey%100)//10) - 1.2 as y from customer)
- join (values ('T0', 500000.0, 500015.0, 3999980.0, 4000002.0), ('T1', 500012.0, 500040.0, 3999990.0, 4000002.0)) e(name, x0, x1, y0, y1) on x between x0 and x1 and y between y0 and y1 group by c_custkey"""
+    _SHAPES
+    + """, points as (select o_orderkey as point, o_orderkey * 13 % 1009 + 0.5 as x, o_orderkey * 29 % 1013 + 0.25 as y from orders)
+ select point, min(lpad(site::varchar, 6, '0')) as tile from (
+  select point, site from points join areas on x between ox and ox + 9*size and y between oy and oy + 6*size join site_edges using (site)
+  group by point, site having count(*) filter ((ay > y) <> (qy > y) and x < ax + (y - ay) * (qx - ax) / (qy - ay)) % 2 = 1) group by point""",
+    "years",
 )
 def c10_point_in_tile(spark, sf):
-    rows = [(f"T{k}", a, b, c, d, [(a, c), (b, c), (b, d), (a, d), (a, c)]) for k, a, b, c, d in _EXTENTS]
-    tiles = spark.createDataFrame(rows, "name string, x0 double, x1 double, y0 double, y1 double, ring array<struct<x: double, y: double>>")
-    return matchup.point_in_tile(X.stations(spark, sf), tiles, "station")
+    """Points of orders in suppliers' polygons: notched, or with a hole and a second part."""
+    o = F.col("o_orderkey")
+    points = X.table(spark, sf, "orders").select(o.alias("point"), (o * 13 % 1009 + 0.5).alias("x"), (o * 29 % 1013 + 0.25).alias("y"))
+    tiles = X.site_polygons(spark, sf).select(F.lpad(F.col("site").cast("string"), 6, "0").alias("name"), "rings")
+    return matchup.point_in_tile(points, tiles, "point")
 
 
 def _event_dates(spark, sf):
@@ -635,7 +654,8 @@ def k21_grid_matchup(spark, sf):
         (F.col("s") - 2).alias("y0"), (F.col("n") + 2).alias("y1"),
     )
     corner = lambda a, b: F.struct(F.col(a).alias("x"), F.col(b).alias("y"))
-    tiles = both.withColumn("ring", F.array(corner("x0", "y0"), corner("x1", "y0"), corner("x1", "y1"), corner("x0", "y1"), corner("x0", "y0")))
+    ring = F.array(corner("x0", "y0"), corner("x1", "y0"), corner("x1", "y1"), corner("x0", "y1"), corner("x0", "y0"))
+    tiles = both.withColumn("rings", F.array(ring))
     out = matchup.grid_matchup(X.site_extents(spark, sf), tiles, fine, coarse, radius=4.5)
     return out.select("layer", "stat", "n", *_r6("r", "rmse", "bias"))
 
@@ -658,7 +678,7 @@ def c16_series_overlay(spark, sf):
 @_query(
     """, cells as (select n.n_regionkey as site, s.s_suppkey as cell, g.x as cx, g.y as cy from supplier s join nation n on s.s_nationkey = n.n_nationkey join grid g on g.cell = s.s_suppkey),
  extents as (select site, min(cx) - 1.5 as x0, max(cx) + 1.5 as x1, min(cy) - 1.5 - 30 as y0, max(cy) + 1.5 - 30 as y1 from cells group by site),
- st as (select c_custkey as station, c_mktsegment as veg, 500001.5 + 3*((c_custkey%100)%10) + 1.2 as x, 4000001.5 - 3*((c_custkey%100)//10) - 1.2 - 30 as y from customer),
+ st as (select c_custkey as station, c_mktsegment as veg, 500001.5 + 3*((c_custkey%(select count(*) from supplier))%10) + 1.2 as x, 4000001.5 - 3*((c_custkey%(select count(*) from supplier))//10) - 1.2 - 30 as y from customer),
  inside as (select station, veg, site, x, y + 30.0 as y from st join extents on x between x0 and x1 and y between y0 and y1),
  turns as (select site_id as site, cell, cast(year(obs_date) as int) as year, dayofyear(min(obs_date)) as a, dayofyear(max(obs_date)) as b from good group by all),
  doys as (select site, cell, year, 'rising' as direction, a as value from turns union all select site, cell, year, 'falling', b from turns),
@@ -695,6 +715,45 @@ def b6_scene_filter(spark, sf):
     return catalog.scene_filter(X.items(spark, sf), "1996-01-01", "1999-01-01").select("item_id", "acquired", "cloud_cover")
 
 
+_MEET = """, foot as (select item_id, item_id * 37 % 1009 as ox, item_id * 91 % 1013 as oy, item_id % 5 + 1 as size, case when item_id % 3 = 0 then 1 else 0 end as kind from items
+  where acquired >= date '1996-01-01' and acquired < date '1999-01-01' and cloud_cover between 0 and 0.5 and quality_category = 'standard' and ground_control),
+ foot_edges as (select item_id, ring, i, ox + ax*size as ax, oy + ay*size as ay, ox + qx*size as qx, oy + qy*size as qy from foot join borders using (kind)),
+ near as (select f.item_id, a.site from foot f join areas a on f.ox <= a.ox + 9*a.size and a.ox <= f.ox + 9*f.size and f.oy <= a.oy + 6*a.size and a.oy <= f.oy + 6*f.size),
+ turns as (select item_id, site, e.ax as eax, e.ay as eay, e.qx as ebx, e.qy as eby, f.ax as fax, f.ay as fay, f.qx as fbx, f.qy as fby,
+  sign((f.qx-f.ax)*(e.ay-f.ay) - (f.qy-f.ay)*(e.ax-f.ax)) as t1, sign((f.qx-f.ax)*(e.qy-f.ay) - (f.qy-f.ay)*(e.qx-f.ax)) as t2,
+  sign((e.qx-e.ax)*(f.ay-e.ay) - (e.qy-e.ay)*(f.ax-e.ax)) as t3, sign((e.qx-e.ax)*(f.qy-e.ay) - (e.qy-e.ay)*(f.qx-e.ax)) as t4
+  from near join foot_edges e using (item_id) join site_edges f using (site)),
+ touch as (select distinct item_id, site from turns where (t1*t2 < 0 and t3*t4 < 0)
+  or (t1 = 0 and eax between least(fax,fbx) and greatest(fax,fbx) and eay between least(fay,fby) and greatest(fay,fby))
+  or (t2 = 0 and ebx between least(fax,fbx) and greatest(fax,fbx) and eby between least(fay,fby) and greatest(fay,fby))
+  or (t3 = 0 and fax between least(eax,ebx) and greatest(eax,ebx) and fay between least(eay,eby) and greatest(eay,eby))
+  or (t4 = 0 and fbx between least(eax,ebx) and greatest(eax,ebx) and fby between least(eay,eby) and greatest(eay,eby))),
+ a_in_b as (select item_id, site from near join foot_edges p using (item_id) join site_edges e using (site) where p.i = 0
+  group by item_id, site, p.ring having count(*) filter ((e.ay > p.ay) <> (e.qy > p.ay) and p.ax < e.ax + (p.ay - e.ay) * (e.qx - e.ax)::double / (e.qy - e.ay)) % 2 = 1),
+ b_in_a as (select item_id, site from near join site_edges p using (site) join foot_edges e using (item_id) where p.i = 0
+  group by item_id, site, p.ring having count(*) filter ((e.ay > p.ay) <> (e.qy > p.ay) and p.ax < e.ax + (p.ay - e.ay) * (e.qx - e.ax)::double / (e.qy - e.ay)) % 2 = 1)"""
+
+
+@_query(_SHAPES + _MEET + " select * from touch union select * from a_in_b union select * from b_in_a", "items")
+def b6_scenes_of_sites(spark, sf):
+    """Footprints against all sites' polygons: crossing, touching, nested, within holes."""
+    scenes = catalog.scene_filter(X.footprints(spark, sf), "1996-01-01", "1999-01-01")
+    return catalog.scenes_of_sites(scenes, X.site_polygons(spark, sf)).select("item_id", "site")
+
+
+@_query(
+    _SHAPES
+    + _MEET.replace("from foot f join areas a on", "from foot f join (select -1 as site, 300 as ox, 300 as oy, 40 as size, 1 as kind) a on")
+    .replace("join site_edges", "join (select -1 as site, ring, i, 300 + ax*40 as ax, 300 + ay*40 as ay, 300 + qx*40 as qx, 300 + qy*40 as qy from borders where kind = 1)")
+    + " select item_id from touch union select item_id from a_in_b union select item_id from b_in_a",
+    "items",
+)
+def b6_scenes_by_polygon(spark, sf):
+    """Footprints that share a point with one polygon of a hole and two parts."""
+    area = [[(300.0 + 40 * x, 300.0 + 40 * y) for x, y in ring] for ring in X.RINGED]
+    return catalog.scene_filter(X.footprints(spark, sf), "1996-01-01", "1999-01-01", geometry=area).select("item_id")
+
+
 @_query("select cell_group, cast(date_trunc('year', acquired) as date) as period, count(*) as n from items group by all", "items")
 def d9_scene_counts(spark, sf):
     return catalog.scene_counts(X.items(spark, sf), ["cell_group"])

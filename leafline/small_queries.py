@@ -75,7 +75,7 @@ def d10_agreement(spark, sf):
 
 @_query(
     """select p.c_custkey as station, count(*) as n_cells, round_even(avg(g.cell), 0) as mean_value, round_even(median(g.cell), 0) as median_value from
- (select c_custkey, 500001.5 + 3*((c_custkey%100)%10) + 1.2 as px, 4000001.5 - 3*((c_custkey%100)//10) - 1.2 as py from customer) p
+ (select c_custkey, 500001.5 + 3*((c_custkey%(select count(*) from supplier))%10) + 1.2 as px, 4000001.5 - 3*((c_custkey%(select count(*) from supplier))//10) - 1.2 as py from customer) p
  join grid g on (p.px-g.x)*(p.px-g.x)+(p.py-g.y)*(p.py-g.y) <= 4.5*4.5 group by p.c_custkey""",
     "grid",
 )
