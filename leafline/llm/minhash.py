@@ -20,7 +20,8 @@ BANDS, ROWS = 32, 5  # at similarity 0.8 all bands miss with probability 3e-6, a
 BATCH = 64  # bits of the signature that are compared at a time: a long
 MISS = 1e-6
 WORDS_KEPT = 500_000  # word hashes that a Python worker keeps
-STAR_ROUNDS = 3
+STAR_ROUNDS = 2
+BLOCK_BYTES, BLOCK_SETS = 1 << 21, 512  # of the sets of a key that are compared with another such block at once
 SEED = 42
 
 _rng = np.random.default_rng(12)
@@ -133,13 +134,8 @@ def _prints(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFram
     return docs.select(id_col, text_col).mapInArrow(batches, f"id {kind}, n long, set_key binary, sig array<long>, bands array<long>")
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str, width: int, least: float) -> DataFrame:
-    """Those of the written ``pairs`` ``(a, b)`` whose whole sets reach ``least``, tested in whole numbers of hundredths.
-
-    ``nodes`` is ``(node, set_key, rep)``. Only texts of documents that stand for a set of a pair are cut again.
-    """
-    ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    wanted = written(nodes.join(table_or_shuffle(written(ends, "pair-ends")), "node", "left_semi"), "candidates")
+def _sets_of(wanted: DataFrame, docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
+    """``(node, raw)`` for a written table of ``(node, set_key, rep)``; only texts that stand for one of its sets are cut again."""
 
     def sets(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = set()
@@ -150,28 +146,92 @@ def confirmed(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, id_col: str,
             seen.update(out)
             yield pa.RecordBatch.from_arrays([pa.array(out.keys(), pa.binary()), pa.array(out.values(), pa.binary())], names=["set_key", "raw"])
 
+    hint = F.broadcast if wanted.count() <= BROADCAST_IDS else lambda df: df
+    texts = docs.join(hint(wanted.select(F.col("rep").alias("_rep")).distinct()), F.col(id_col).eqNullSafe(F.col("_rep")), "left_semi").select(text_col)
+    cut = texts.mapInArrow(sets, "set_key binary, raw binary").join(hint(wanted.select("set_key", "node")), "set_key")
+    return written(cut.groupBy("node").agg(F.first("raw").alias("raw")), "shingle-sets")
+
+
+def _close(x: bytes, y: bytes, percent: int) -> bool:
+    both = np.frombuffer(x + y, np.uint64).copy()
+    both.sort()
+    same = int((both[1:] == both[:-1]).sum())
+    return 100 * same >= percent * (len(both) - same)
+
+
+def _confirmed(pairs: DataFrame, known: DataFrame, least: float) -> DataFrame:
+    """Those of the pairs ``(a, b)`` whose whole sets reach ``least``, tested in whole numbers of hundredths."""
     percent = round(least * 100)
 
     def close(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
-            kept = []
-            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                both = np.frombuffer(x + y, np.uint64).copy()
-                both.sort()
-                same = int((both[1:] == both[:-1]).sum())
-                kept.append(100 * same >= percent * (len(both) - same))
+            kept = [_close(x, y, percent) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
             yield batch.select([0, 1]).filter(pa.array(kept, pa.bool_()))
 
-    small = wanted.count() <= BROADCAST_IDS
-    hint = F.broadcast if small else lambda df: df
-    texts = docs.join(hint(wanted.select(F.col("rep").alias("_rep")).distinct()), F.col(id_col).eqNullSafe(F.col("_rep")), "left_semi").select(text_col)
-    cut = texts.mapInArrow(sets, "set_key binary, raw binary").join(hint(wanted.select("set_key", "node")), "set_key")
-    known = written(cut.groupBy("node").agg(F.first("raw").alias("raw")), "shingle-sets")
     both = pairs.join(known.select(F.col("node").alias("a"), F.col("raw").alias("ra")), "a")
     both = both.join(known.select(F.col("node").alias("b"), F.col("raw").alias("rb")), "b").select("a", "b", "ra", "rb")
     return written(both.mapInArrow(close, "a long, b long"), "near-links")
 
 
+def links_of_blocks(rows: pa.Table, least: float, need: list[int]) -> list[tuple[int, int]]:
+    """Links between sets of two blocks of a key (or within one) that join components which nothing joins yet.
+
+    Sizes and signature batches prune all pairs at once, in arrays; each pair counts under its first
+    common band only, and two components are compared until one link between them is found.
+    """
+    column = lambda c: rows.column(c).to_numpy()
+    node, n, block, key = column("node"), column("n"), column("block"), rows.column("key")[0].as_py()
+    _, comp = np.unique(column("comp"), return_inverse=True)
+    sig = np.stack([column(f"s{i}") for i in range(len(need))], axis=1).view(np.uint64)  # else of negative ones the bits of the absolute value count
+    bands = rows.column("bands").combine_chunks().flatten().to_numpy().reshape(len(node), -1)
+    a, b = np.flatnonzero(block == column("lo")), np.flatnonzero(block == column("hi"))
+    ok = (comp[a][:, None] != comp[b][None]) & (n[a][:, None] >= least * n[b][None] - 1e-9) & (n[b][None] >= least * n[a][:, None] - 1e-9)
+    if column("lo")[0] == column("hi")[0]:
+        ok &= np.arange(len(a))[:, None] < np.arange(len(b))[None]
+    i, j = np.nonzero(ok)
+    i, j, apart = a[i], b[j], np.zeros(len(i), np.int64)
+    for k, m in enumerate(need):
+        apart = apart + np.bitwise_count(sig[i, k] ^ sig[j, k])
+        stay = apart <= BATCH * (k + 1) - m
+        i, j, apart = i[stay], j[stay], apart[stay]
+    for at in range(0, len(i), 1 << 16):  # of a band in common, the first
+        part = slice(at, at + (1 << 16))
+        first = (bands[i[part]] == bands[j[part]]).argmax(axis=1)
+        i[part] = np.where(bands[i[part], first] == key, i[part], -1)
+    i, j = i[i >= 0], j[i >= 0]
+    raw, root, percent, out = rows.column("raw"), list(range(comp.max(initial=0) + 1)), round(least * 100), []
+
+    def find(c: int) -> int:
+        while root[c] != c:
+            root[c] = c = root[root[c]]
+        return c
+
+    raw = raw.to_pylist()
+    for x, y in zip(i.tolist(), j.tolist()):
+        cx, cy = find(comp[x]), find(comp[y])
+        if cx != cy and _close(raw[x], raw[y], percent):
+            root[cx] = cy
+            out.append((int(node[x]), int(node[y])))
+    return out
+
+
+def _links_between(held: DataFrame, bands: DataFrame, known: DataFrame, least: float, miss: float) -> DataFrame:
+    """Links between components that share a key: its sets are dealt to blocks of bounded size, and any two blocks meet in one group."""
+    need = fewest_matches(least, miss)
+    share = lambda c, of: F.ceil(F.sum(c) / F.lit(of))
+    sizes = held.groupBy("key").agg(F.greatest(share(F.col("n") * 8, BLOCK_BYTES), share(F.lit(1), BLOCK_SETS)).alias("blocks"))
+    placed = held.join(table_or_shuffle(written(sizes, "key-blocks")), "key").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
+    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
+    met = placed.withColumn("other", other).withColumns({"lo": F.least("block", "other"), "hi": F.greatest("block", "other")}).drop("other", "blocks")
+
+    def linked(rows: pa.Table) -> pa.Table:
+        found = links_of_blocks(rows, least, need)
+        return pa.table({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([y for _, y in found], pa.int64())})
+
+    full = met.join(known.join(bands, "node"), "node")
+    return written(full.groupBy("key", "lo", "hi").applyInArrow(linked, "a long, b long"), "block-links")
+
+
 def _side(held: DataFrame, side: str) -> DataFrame:
     sig = [F.col(f"s{i}").alias(f"{side}{i}") for i in range(HASHES // BATCH)]
     return held.select("key", F.col("node").alias(side), F.col("n").alias(f"n{side}"), F.col("comp").alias(f"c{side}"), *sig)
@@ -184,17 +244,23 @@ def _links(nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str, width:
     often = written(tokens.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key"), "shared-keys")
     held = written(tokens.join(table_or_shuffle(often), "key", "left_semi").withColumn("comp", F.col("node")), "shared-bands")
     close = may_link(least, miss) & (F.col("ca") != F.col("cb"))
+
+    def sets_of(wanted: DataFrame) -> DataFrame:
+        wanted = table_or_shuffle(written(wanted.distinct(), "wanted"))
+        own = written(nodes.select("node", "set_key", "rep").join(wanted, "node", "left_semi"), "wanted-sets")
+        return _sets_of(own, docs, id_col, text_col, width)
+
     links = comps = None
     for turn in range(STAR_ROUNDS + 1):
-        if turn < STAR_ROUNDS:  # each is compared with one of its group, another in each turn
+        if turn < STAR_ROUNDS:  # each set is compared with one of its group, in each turn with another
             order = F.xxhash64("node", F.lit(turn))
             stars = held.groupBy("key").agg(F.min(order).alias("first"))
             stars = _side(held.join(stars, (held["key"] == stars["key"]) & (order == F.col("first"))).select(held["*"]), "a")
-            pairs = stars.join(_side(held, "b"), "key").where(close)
+            pairs = stars.join(_side(held, "b"), "key").where(close).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+            pairs = written(pairs.distinct(), "star-pairs")
+            more = _confirmed(pairs, sets_of(pairs.select(F.col("a").alias("node")).union(pairs.select("b"))), least)
         else:  # then all that are not in one component yet
-            pairs = _side(held, "a").join(_side(held, "b"), "key").where(close & (F.col("a") < F.col("b")))
-        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        more = confirmed(written(pairs, "pairs"), docs, nodes.select("node", "set_key", "rep"), id_col, text_col, width, least)
+            more = _links_between(held, nodes.select("node", "bands"), sets_of(held.select("node")), least, miss)
         if not more.isEmpty():
             links = more if links is None else links.union(more)
             comps = written(connected_components(links), "minhash-comps")
@@ -216,8 +282,9 @@ def components(
     when its sizes rule it out or, after a batch of 64 signature bits, its posterior chance of
     reaching ``least`` is under ``miss``; all that remain are confirmed on their whole sets. A large
     group of near copies isn't expanded into pairs: its members are compared with one of them, then
-    those of keys with several components with another and a third; at last all pairs of such keys
-    that are still apart, within the join's condition, so that the pairs pruned there make no rows.
+    those of keys with several components with another. What such keys still hold is dealt to blocks
+    of bounded size, and each two blocks of a key are compared in arrays, until a link between two
+    components is found; so only links become rows, and no key is one task.
 
     A text of fewer words than ``width`` is one shingle; a null, empty or blank one has no shingle
     and links with nothing. Rows come back as often as they are there. Rows that share an id are
