@@ -162,31 +162,45 @@ def direction_code(d: str | Column) -> Column:
     return F.when(d > 0, 1).when(d < 0, 2).otherwise(0)
 
 
-def lonlat_to_utm(lon: str | Column, lat: str | Column, zone: int) -> tuple[Column, Column]:
-    """WGS84 degrees to UTM metres (north), by the usual series in the third flattening."""
+def utm_zone(lon: str | Column, lat: str | Column) -> Column:
+    """The UTM zone of a place, 1 to 60, negative in the south; zones are six degrees wide everywhere."""
+    zone = F.when(_c(lon) == 180, 60).otherwise(F.floor((_c(lon) + 180) / 6).cast("int") + 1)
+    return F.when(_c(lat) < 0, -zone).otherwise(zone)
+
+
+def _zone(zone: int | str | Column) -> tuple[Column, Column]:
+    """A zone's central meridian in degrees, and the northing of the equator."""
+    z = F.lit(zone) if isinstance(zone, int) else _c(zone)
+    return F.abs(z) * 6.0 - 183, F.when(z < 0, 1e7).otherwise(0.0)
+
+
+def lonlat_to_utm(lon: str | Column, lat: str | Column, zone: int | str | Column) -> tuple[Column, Column]:
+    """WGS84 degrees to UTM metres, by the usual series in the third flattening; negative zones are southern."""
     a, f, k0 = 6378137.0, 1 / 298.257223563, 0.9996
     n = f / (2 - f)
     radius = a / (1 + n) * (1 + n**2 / 4 + n**4 / 64)
     alpha = [n / 2 - 2 * n**2 / 3 + 5 * n**3 / 16, 13 * n**2 / 48 - 3 * n**3 / 5, 61 * n**3 / 240]
     e = 2 * n**0.5 / (1 + n)
-    phi, lam = F.radians(_c(lat)), F.radians(_c(lon) - F.lit(6.0 * zone - 183))
+    middle, equator = _zone(zone)
+    phi, lam = F.radians(_c(lat)), F.radians(_c(lon) - middle)
     t = F.sinh(F.atanh(F.sin(phi)) - F.lit(e) * F.atanh(F.lit(e) * F.sin(phi)))
     xi, eta = F.atan2(t, F.cos(lam)), F.atanh(F.sin(lam) / F.sqrt(1 + t * t))
     east = eta + sum(c * F.cos(2 * j * xi) * F.sinh(2 * j * eta) for j, c in enumerate(alpha, 1))
     north = xi + sum(c * F.sin(2 * j * xi) * F.cosh(2 * j * eta) for j, c in enumerate(alpha, 1))
-    return F.lit(500000.0) + F.lit(k0 * radius) * east, F.lit(k0 * radius) * north
+    return F.lit(500000.0) + F.lit(k0 * radius) * east, equator + F.lit(k0 * radius) * north
 
 
-def utm_to_lonlat(x: str | Column, y: str | Column, zone: int) -> tuple[Column, Column]:
+def utm_to_lonlat(x: str | Column, y: str | Column, zone: int | str | Column) -> tuple[Column, Column]:
     """The inverse of :func:`lonlat_to_utm`."""
     a, f, k0 = 6378137.0, 1 / 298.257223563, 0.9996
     n = f / (2 - f)
     radius = a / (1 + n) * (1 + n**2 / 4 + n**4 / 64)
     beta = [n / 2 - 2 * n**2 / 3 + 37 * n**3 / 96, n**2 / 48 + n**3 / 15, 17 * n**3 / 480]
     delta = [2 * n - 2 * n**2 / 3 - 2 * n**3, 7 * n**2 / 3 - 8 * n**3 / 5, 56 * n**3 / 15]
-    xi, eta = _c(y) / F.lit(k0 * radius), (_c(x) - F.lit(500000.0)) / F.lit(k0 * radius)
+    middle, equator = _zone(zone)
+    xi, eta = (_c(y) - equator) / F.lit(k0 * radius), (_c(x) - F.lit(500000.0)) / F.lit(k0 * radius)
     xi1 = xi - sum(c * F.sin(2 * j * xi) * F.cosh(2 * j * eta) for j, c in enumerate(beta, 1))
     eta1 = eta - sum(c * F.cos(2 * j * xi) * F.sinh(2 * j * eta) for j, c in enumerate(beta, 1))
     chi = F.asin(F.sin(xi1) / F.cosh(eta1))
     phi = chi + sum(c * F.sin(2 * j * chi) for j, c in enumerate(delta, 1))
-    return F.lit(6.0 * zone - 183) + F.degrees(F.atan2(F.sinh(eta1), F.cos(xi1))), F.degrees(phi)
+    return middle + F.degrees(F.atan2(F.sinh(eta1), F.cos(xi1))), F.degrees(phi)

@@ -16,13 +16,15 @@ def daily_mosaic(scenes: DataFrame, bands: tuple[str, ...] = BANDS, keys: list[s
     return scenes.groupBy(*keys, date).agg(*(F.avg(b).alias(b) for b in bands))
 
 
-def align_to_grid(daily: DataFrame, grid: DataFrame, on: str = "cell", date: str = "obs_date") -> DataFrame:
-    """Every cell of the grid on every date that has a mosaic, null where nothing was seen.
+def align_to_grid(daily: DataFrame, grid: DataFrame, on: list[str] = KEYS, date: str = "obs_date") -> DataFrame:
+    """Every cell of a site's grid on every date that the site has a mosaic for, null where nothing was seen.
 
-    The dates are a few thousand days at most, so their list is broadcast.
+    The last of ``on`` is the cell, those before it the site; cells of different sites may share numbers.
+    A site's dates are a few thousand at most.
     """
-    dates = daily.select(date).distinct()
-    return grid.crossJoin(F.broadcast(dates)).join(daily, [on, date], "left")
+    dates = daily.select(*on[:-1], date).distinct()
+    every = grid.join(dates, on[:-1]) if on[:-1] else grid.crossJoin(F.broadcast(dates))
+    return every.join(daily, [*on, date], "left")
 
 
 def daily_pipeline(scenes: DataFrame) -> DataFrame:
@@ -37,7 +39,7 @@ def scene_pipeline(scenes: DataFrame, grid: DataFrame, cx: float, cy: float, hal
     shuffle of the means; the grid's days are few and broadcast.
     """
     inside = crop_window(require_four_bands(scenes), cx, cy, half)
-    return align_to_grid(daily_mosaic(apply_qa_mask(inside), keys=[on]), crop_window(grid, cx, cy, half).select(on), on, date)
+    return align_to_grid(daily_mosaic(apply_qa_mask(inside), keys=[on]), crop_window(grid, cx, cy, half).select(on), [on], date)
 
 
 def to_pixel_arrays(daily: DataFrame, bands: tuple[str, ...] = BANDS, keys: list[str] = KEYS, date: str = "obs_date") -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import scalar as S
-from .operators import catalog, cycles, despike, masks, matchup, mosaic, product, series, similarity, spline
+from .operators import catalog, cycles, despike, masks, matchup, mosaic, product, resample, series, similarity, spline
 from .plans import fixtures as X
 from .plans import phenology as P
 from .plans.fixtures import PARAMS
@@ -145,13 +145,47 @@ def k19_pixel_arrays(spark, sf):
 
 
 @_query(
-    """select d.obs_date, count(*) as n_cells, count(m.red) as n_seen from grid g cross join (select distinct obs_date from daily) d
- left join daily m on m.cell = g.cell and m.obs_date = d.obs_date group by d.obs_date""",
-    "daily", "grid",
-)
+    """, cells as (select n.n_regionkey as site_id, s.s_suppkey as cell from supplier s join nation n on s.s_nationkey = n.n_nationkey)
+ select d.site_id, d.obs_date, count(*) as n_cells, count(m.red) as n_seen from cells g join (select distinct site_id, obs_date from daily) d using (site_id)
+ left join daily m on m.site_id = d.site_id and m.cell = g.cell and m.obs_date = d.obs_date group by all""",
+    "daily",
+)
 def c2_align_to_grid(spark, sf):
-    aligned = mosaic.align_to_grid(mosaic.daily_pipeline(X.obs(spark, sf)), X.grid(spark, sf).select("cell"))
-    return aligned.groupBy("obs_date").agg(F.count("*").alias("n_cells"), F.count("red").alias("n_seen"))
+    grid = X.site_cells(spark, sf).select(F.col("site").alias("site_id"), "cell")
+    aligned = mosaic.align_to_grid(mosaic.daily_pipeline(X.obs(spark, sf)), grid)
+    return aligned.groupBy("site_id", "obs_date").agg(F.count("*").alias("n_cells"), F.count("red").alias("n_seen"))
+
+
+@_query(
+    """with images as (select s_suppkey as scene_id, n_regionkey as site_id, 500000.0 + s_suppkey % 7 * 0.9 - 4 as ox, 4000000.0 - s_suppkey % 5 * 1.3 as oy, case when s_suppkey % 3 = 0 then 3.0 else 3.7 end as res
+  from supplier join nation on s_nationkey = n_nationkey),
+ pixels as (select l_suppkey as scene_id, l_orderkey % 12 as row, l_linenumber * 2 + l_orderkey // 12 % 2 as col, avg(l_quantity) as red, avg(case when l_quantity > 10 then l_tax end) as nir from lineitem group by all),
+ cells as (select r as row, c as col, 500000.0 + (c + 0.5) * 3.0 as x, 4000000.0 - (r + 0.5) * 3.0 as y from range(15) a(r), range(16) b(c)),
+ near as (select i.scene_id, i.site_id, row * 16 + col + 1 as cell, (x - ox) / res - 0.5 as u, (oy - y) / res - 0.5 as v from images i, cells),
+ four as (select *, floor(u) + du as pc, floor(v) + dv as pr, (case when du = 0 then 1 - (u - floor(u)) else u - floor(u) end) * (case when dv = 0 then 1 - (v - floor(v)) else v - floor(v) end) as w
+  from near, (values (0), (1)) a(du), (values (0), (1)) b(dv)),
+ found as (select f.site_id, f.scene_id, f.cell, sum(w * red) / sum(w) filter (red is not null) as red, sum(w * nir) / sum(w) filter (nir is not null) as nir
+  from four f join pixels p on p.scene_id = f.scene_id and p.row = f.pr and p.col = f.pc where w > 1e-12 group by all)
+ select site_id, scene_id, count(*) as n_cells, count(nir) as n_nir, sum(cell)::bigint as cells, round(sum(red), 4) as red, round(max(red), 6) as top, round(sum(nir), 6) as nir from found group by all"""
+)
+def c2_resample(spark, sf):
+    """Images of 3 and 3.7 m, shifted against a base grid of 3 m; some pixels are missing, some bands null."""
+    s, l, o = F.col("s_suppkey"), F.col("l_linenumber"), F.col("l_orderkey")
+    regions = X.table(spark, sf, "nation").select(F.col("n_nationkey").alias("s_nationkey"), F.col("n_regionkey").alias("site_id"))
+    images = X.table(spark, sf, "supplier").join(regions, "s_nationkey").select(
+        s.alias("scene_id"), "site_id", (500000.0 + s % 7 * 0.9 - 4).alias("ox"), (4000000.0 - s % 5 * 1.3).alias("oy"),
+        F.when(s % 3 == 0, 3.0).otherwise(3.7).alias("res"), F.lit(19).alias("zone"),
+    )
+    by = (F.col("l_suppkey").alias("scene_id"), (o % 12).alias("row"), (l * 2 + F.floor(o / 12) % 2).alias("col"))
+    pixels = X.table(spark, sf, "lineitem").groupBy(*by).agg(F.avg("l_quantity").alias("red"), F.avg(F.when(F.col("l_quantity") > 10, F.col("l_tax"))).alias("nir"))
+    bases = X.table(spark, sf, "nation").select(F.col("n_regionkey").alias("site_id")).distinct().select(
+        "site_id", F.lit(500000.0).alias("bx"), F.lit(4000000.0).alias("by"), F.lit(3.0).alias("bres"), F.lit(19).alias("bzone"), F.lit(15).alias("n_rows"), F.lit(16).alias("n_cols")
+    )
+    out = resample.resample(pixels, images, bases, ("red", "nir")).groupBy("site_id", "scene_id")
+    return out.agg(
+        F.count("*").alias("n_cells"), F.count("nir").alias("n_nir"), F.sum("cell").alias("cells"), F.round(F.sum("red"), 4).alias("red"),
+        F.round(F.max("red"), 6).alias("top"), F.round(F.sum("nir"), 6).alias("nir"),
+    )
 
 
 @_query(
