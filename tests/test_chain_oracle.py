@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from leafline.operators.spline import smoothing_spline
+from leafline.operators.spline import smoothing_spline, smoothing_splines
 from leafline.plans import fixtures as X
 from leafline.plans import phenology as P
 from leafline.plans.fixtures import PARAMS
@@ -85,6 +85,27 @@ def test_spline_equals_an_independent_solver():
         assert np.allclose(smoothing_spline(x, y, w, at), plain_spline(x, y, w, at), atol=1e-6)
 
 
+def test_curves_solved_together_equal_single_ones():
+    """Curves of 2 to 735 points, some weights zero, repeated days, in any order of points."""
+    rng = np.random.default_rng(4)
+    at = np.arange(1, 736, dtype=float)
+    own = []
+    for n in [2, 3, 4, 5, 7, 20, 49, 50, 90, 200, 735, *rng.integers(4, 150, 60)]:
+        x = np.sort(rng.choice(735, n, replace=False) + 1.0)
+        x = np.concatenate([x, x[: n % 3]])
+        own.append((x, rng.random(len(x)), np.where(rng.random(len(x)) < 0.1, 0.0, rng.choice([0.3, 1.0], len(x)))))
+    curve = np.repeat(np.arange(len(own)), [len(x) for x, _, _ in own])
+    mixed = rng.permutation(len(curve))
+    got = smoothing_splines(curve[mixed], *(np.concatenate(c)[mixed] for c in zip(*own)), len(own), at)
+    for (x, y, w), out in zip(own, got):
+        if len(np.unique(x[w > 0])) < 4:
+            assert np.isnan(out).all()
+        else:
+            assert np.allclose(out, plain_spline(x[w > 0], y[w > 0], w[w > 0], at), atol=1e-6)
+    assert np.isnan(smoothing_splines(np.empty(0, int), np.empty(0), np.empty(0), np.empty(0), 2, at)).all()
+
+
+
 # The chain.
 
 
