@@ -41,6 +41,9 @@ AROUND = frozenset(
     "widgets footer masthead toolbar share sharing social related recommended newsletter subscribe subscription signup login "
     "search skip complementary contentinfo".split()
 )
+#: Those of them that no points overrule, unless the element holds the page's heading or main element; and such elements at all.
+FIXED = frozenset("footer contentinfo nav navbar navigation menu breadcrumb breadcrumbs pagination pager".split())
+NEVER = frozenset("nav footer dialog".split())
 READERS = frozenset("comment comments respond reply replies disqus discussion".split())
 #: Elements that hold points; and those that mark the article itself.
 KEPT_WHOLE = frozenset("html body article main".split())
@@ -60,13 +63,15 @@ class Node:
 
     def __init__(self, tag: str, parent: Node | None, drop: bool, mark: str = ""):
         self.tag, self.parent, self.drop = tag, parent, drop
-        self.mark = mark  # "around", "readers" or none
+        self.mark = mark  # "around", "fixed", "never", "readers" or none
         self.title = False  # whether it holds the page's heading or its main element
         self.children: list[Node | str] = []
         self.score, self.chars, self.linked = 0.0, 0, 0
 
 
 def _marked(tag: str, attrs: list[tuple[str, str | None]], inside_article: bool) -> str:
+    if tag in NEVER:
+        return "never"
     if tag in OUTER or tag == "header" and not inside_article:
         return "around"
     if tag in KEPT_WHOLE:
@@ -78,9 +83,9 @@ def _marked(tag: str, attrs: list[tuple[str, str | None]], inside_article: bool)
             if words & READERS:
                 return "readers"
             if words & AROUND:
-                found = "around"
+                found = "fixed" if words & FIXED else found or "around"
         if name in ("hidden", "aria-hidden") and value != "false" or name == "style" and HIDDEN.search(value or ""):
-            found = "around"
+            found = found or "around"
     return found
 
 
@@ -223,40 +228,45 @@ def _without_surroundings(root: Node, blocks: list[tuple[Node, str, int]]) -> li
     """The blocks outside of marked elements, but for marks that the points overrule.
 
     A mark may sit on the page's own frame. An element whose points outside of marks within it are
-    ``OVERRULED`` times those of all that is unmarked counts as unmarked, with those around it; what
-    readers say does so only if it holds the page's heading or main element.
+    ``OVERRULED`` times those of all that is unmarked counts as unmarked, with those around it. What
+    readers say does so only if it holds the page's heading or main element, or if no good paragraph
+    stands outside of readers' marks, and this mark isn't within another one of them and has
+    ``OVERRULED`` times the points of all others. Footers and menus never do, but for elements that are only
+    called so and hold that heading.
     """
     under: dict[int, Node | None] = {}  # the innermost mark that each element stands in
+    said: dict[int, int] = {}  # of each mark, how many of it and those around it are of readers
+    fixed: dict[int, bool] = {}
     for node in _parents_first(root):
-        if node is not root:
-            under[id(node)] = node if node.mark else under[id(node.parent)]
-        else:
-            under[id(root)] = None
+        above = under[id(node.parent)] if node is not root else None
+        under[id(node)] = node if node.mark else above
+        if node.mark:
+            said[id(node)] = (node.mark == "readers" and not node.title) + (said[id(above)] if above is not None else 0)
+            fixed[id(node)] = node.mark == "never" or node.mark == "fixed" and not node.title or above is not None and fixed[id(above)]
     held: dict[int, float] = {}
     marks: dict[int, Node] = {}
-    free = 0.0
+    free, good = 0.0, False
     for owner, text, linked in blocks:
         mark = under[id(owner)]
         points = _points(owner, text, linked)
+        if mark is None or not (said[id(mark)] or fixed[id(mark)]):
+            good = good or bool(points) and len(text) > 80 and 4 * linked < len(text)
         if mark is None:
             free += points
         else:
             marks[id(mark)] = mark
             held[id(mark)] = held.get(id(mark), 0.0) + points
+    talk = sum(points for key, points in held.items() if said[key])
     for key in sorted(held, key=lambda k: -held[k]):
         mark: Node | None = marks[key]
         if held[key] <= OVERRULED * free:
             break
-        chain = []
-        while mark is not None:
-            chain.append(mark)
-            mark = under[id(mark.parent)] if mark.parent is not None else None
-        if any(m.mark == "readers" and not m.title for m in chain):
+        if fixed[key] or said[key] and (good or said[key] > 1 or held[key] <= OVERRULED * (talk - held[key])):
             continue
-        for m in chain:
-            if m.mark:
-                m.mark = ""
-                free += held.get(id(m), 0.0)
+        while mark is not None and mark.mark:  # those around one that gave way did, too
+            mark.mark = ""
+            free += held.get(id(mark), 0.0)
+            mark = under[id(mark.parent)] if mark.parent is not None else None
     out_of = {id(root): False}
     for node in _parents_first(root)[1:]:
         out_of[id(node)] = bool(node.mark) or out_of[id(node.parent)]

@@ -15,7 +15,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import release_worker
+from .shared import release_worker, table_or_shuffle, written
 
 # First code points of Unicode blocks, by script.
 SCRIPTS = {
@@ -199,12 +199,15 @@ class Model:
     def verdict(self, labels: np.ndarray, letters: np.ndarray, told: np.ndarray) -> tuple[str, float]:
         """The language of most letters, the first of equals, and its share of all letters.
 
-        Letters in a script of no language count for none; unknown if there are no others.
+        Letters in a script of no language count for none; a text of only such letters gets the language
+        of most words on its path, with score 0. Unknown without any letter.
         """
         total = int(letters.sum())
-        if not told.any() or not self.langs:
+        if not total or not self.langs:
             return UNKNOWN, 0.0
         by = np.bincount(labels, weights=told, minlength=len(self.langs))
+        if not by.any():
+            return self.langs[int(np.bincount(labels, weights=letters, minlength=len(self.langs)).argmax())], 0.0
         best = int(by.argmax())
         return self.langs[best], float(by[best] / total)
 
@@ -244,16 +247,15 @@ def fit(
     rows = labelled.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()).select(
         F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"), F.xxhash64(F.col(id_col).cast("string")).alias("h")
     )
-    counts = rows.groupBy("lang").count().collect()  # a row for each language
-    if not counts:
+    counts = written(rows.groupBy("lang").count(), "docs-of-languages")
+    n_langs = counts.count()
+    if not n_langs:
         return Model([], {}, np.empty((1, 0)), {}, longest, penalty, floor)
-    langs = sorted(r["lang"] for r in counts)
     # a first cut by hash leaves about three times the bound, then the first of each language are taken
-    cut = {r["lang"]: min(1.0, 3.0 * max_docs / r["count"]) for r in counts}
-    share = F.create_map(*(x for lang, c in cut.items() for x in (F.lit(lang), F.lit(c))))
-    few = rows.where((F.col("h").bitwiseAND(F.lit((1 << 53) - 1)) / F.lit(float(1 << 53))) < F.element_at(share, F.col("lang")))
+    share = 3.0 * max_docs / F.col("count")
+    few = rows.join(table_or_shuffle(counts), "lang").where((F.col("h").bitwiseAND(F.lit((1 << 53) - 1)) / F.lit(float(1 << 53))) < share)
     first = few.select("lang", "h", "text").withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("h", "text")))
-    sample = first.where(F.col("n") <= max_docs).select("lang", "text").repartition(max(1, 4 * len(langs)))
+    sample = first.where(F.col("n") <= max_docs).select("lang", "text").repartition(4 * n_langs)
 
     def count(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen: dict[str, Counter] = {}
@@ -269,6 +271,7 @@ def fit(
         yield pd.DataFrame([(lang, g, n) for (lang, g), n in rows.items()], columns=["lang", "gram", "n"])
 
     grams_of = sample.mapInPandas(count, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    langs = sorted(r["lang"] for r in counts.select("lang").collect())  # the model has scores of each
     return _model(langs, [(r["lang"], r["gram"], r["n"]) for r in grams_of.collect()], longest, penalty, floor)
 
 
@@ -295,8 +298,9 @@ def _model(langs: list[str], rows: list[tuple[str, str, int]], longest: int, pen
 def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(id, lang_pred, score)`` per row: the language of most letters on the Viterbi path, and its share.
 
-    ``und`` with score 0 if the text is null or has no letter in a script of the model's languages. Whole texts are read, whatever their
-    length; the model's size is bounded, so it goes to every executor.
+    ``und`` with score 0 if the text is null or has no letter; a text whose letters are all in scripts
+    of no known language gets one of them, with score 0. Whole texts are read, whatever their length;
+    the model's size is bounded, so it goes to every executor.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 

@@ -4,6 +4,7 @@ import base64
 import itertools
 import random
 import re
+import time
 import xml.etree.ElementTree as ET
 
 import numpy as np
@@ -299,6 +300,34 @@ def test_html_drops_what_readers_say_even_if_it_is_longer():
     assert html_text.main_text(f"<body><section id=comments>{many}</section></body>") == ""
 
 
+@pytest.mark.parametrize("name", ["discussion", "post comments-open", "reply", "respond"])
+@pytest.mark.parametrize("end", ["<div class=footer>{}</div>", "<footer>{}</footer>", "<div class='site-footer menu'>{}</div>", "<nav>{}</nav>"])
+@pytest.mark.parametrize("words", ["Imprint, contact, and so on", "All rights, in words and pictures, are ours, in all countries, for all time, and may not be passed on by anyone."])
+def test_html_articles_in_containers_named_after_readers(name, end, words):
+    text = "".join(f"<p>{line}</p>" for line in ARTICLE)
+    page = f"<body><div class='{name}'>{text}</div>{end.format(words)}</body>"
+    assert html_text.main_text(page) == "\n".join(ARTICLE)
+
+
+def test_html_never_gives_a_footer():
+    words = "All rights, in words and pictures, are ours, in all countries, for all time, and may not be passed on by anyone."
+    for end in ("<div class=footer>{}</div>", "<footer>{}</footer>", "<nav><p>{}</p></nav>"):
+        assert html_text.main_text(f"<body>{end.format(words)}</body>") == ""
+    few = "".join(f"<div class=comment><p>Comment, number {i}, which is long, and says, again, a lot, to all who read.</p></div>" for i in range(6))
+    assert html_text.main_text(f"<body>{few}<footer>{words}</footer></body>") == ""
+
+
+def test_html_time_on_nested_marks():
+    """Sixteen times the depth takes some sixteen times as long, not 256 times."""
+    took = []
+    for n in (1000, 16_000):
+        page = "<div class=comment>" * n + "<p>one, two, three</p>" * 3 + "</div>" * n
+        began = time.process_time()
+        html_text.main_text(page)
+        took.append(time.process_time() - began)
+    assert took[1] < 60 * took[0] + 0.5
+
+
 def test_html_of_any_markup(spark):
     odd = ["<![foo[ a ]]><p>x y</p>", "<![CDATA[ a", "<!", "<!-- open", "<p>a<!--", "<?pi", "</", "<a href='", "&#xZZ; &amp &nbsp;", "<p>" * 50, "<table><td><p>a<div>b", "\x00<p>\x00", "<" * 200, "<script>var a = '<p>b'", "</p></div></body>"]
     pages = spark.createDataFrame([(i, None, h) for i, h in enumerate(odd)] + [(None, "u", "<p>a</p>"), (1, "u", "<p>a</p>")], "page_id long, url string, html string").withColumn("text", F.lit(1))

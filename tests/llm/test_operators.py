@@ -326,7 +326,7 @@ def test_scripts_of_no_language_are_no_evidence(spark, small):
     texts = [russian, "日本語 テキスト", f"{russian} " * 20 + de, f"{de} {russian}"]
     new = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     said = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in langid.predict(new, model).collect()}
-    assert said[0] == said[1] == ("und", 0.0) and said[2][1] < 0.5 and said[3][0] == "de" and 0.5 < said[3][1] < 1
+    assert all(said[i][0] in model.langs and said[i][1] == 0.0 for i in (0, 1)) and said[2][1] < 0.5 and said[3][0] == "de" and 0.5 < said[3][1] < 1
     assert {r["doc_id"] for r in langid.accepted(new, model).collect()} == {3}
     assert {r["doc_id"] for r in langid.spans(new, model).collect()} == {2, 3}
 
