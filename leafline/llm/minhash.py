@@ -13,13 +13,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .shared import BROADCAST_IDS, held_by_worker, table_or_shuffle, without_ids, written
+from .shared import BROADCAST_IDS, held_by_worker, small_batches, table_or_shuffle, without_ids, written
 
 HASHES = 256  # minhashes of a signature
 BANDS, ROWS = 32, 5  # at similarity 0.8 all bands miss with probability 3e-6, at 0.85 with 2e-8
 BATCH = 64  # bits of the signature that are compared at a time: a long
 MISS = 1e-6
-WORDS_KEPT = 500_000  # word hashes that a Python worker keeps
+WORDS_KEPT = 200_000  # word hashes that a Python worker keeps
 STAR_ROUNDS = 2
 BLOCK_BYTES, BLOCK_SETS = 1 << 21, 512  # of the sets of a key that are compared with another such block at once
 SEED = 42
@@ -119,7 +119,7 @@ def _prints(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFram
     """``(id, n, set_key, sig, bands)``: no key, signature or bands for an empty set."""
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in it:
+        for batch in small_batches(it):
             known = _word_hashes()
             sets = [shingle_set(t, width, known) for t in batch.column(1).to_pylist()]
             mins = np.array([minhashes(s) for s in sets if len(s)], np.uint32).reshape(-1, HASHES)
@@ -139,7 +139,7 @@ def _sets_of(wanted: DataFrame, docs: DataFrame, id_col: str, text_col: str, wid
 
     def sets(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = set()
-        for batch in it:
+        for batch in small_batches(it):
             known = _word_hashes()
             raw = [shingle_set(t, width, known).tobytes() for t in batch.column(0).to_pylist()]
             out = {k: r for r in raw if (k := xxhash.xxh3_128_digest(r)) not in seen}
@@ -164,7 +164,7 @@ def _confirmed(pairs: DataFrame, known: DataFrame, least: float) -> DataFrame:
     percent = round(least * 100)
 
     def close(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in it:
+        for batch in small_batches(it):
             kept = [_close(x, y, percent) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
             yield batch.select([0, 1]).filter(pa.array(kept, pa.bool_()))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import gc
 import tempfile
 import uuid
-from collections.abc import Callable, Hashable
+from collections.abc import Callable, Hashable, Iterator
 from functools import lru_cache
 from typing import Any
 
@@ -29,6 +29,15 @@ def release_worker() -> None:
         pa.default_memory_pool().release_unused()
 
 
+def small_batches(it: Iterator[pa.RecordBatch], rows: int = 1024) -> Iterator[pa.RecordBatch]:
+    """The batches in slices, so that what Python makes of one stays small beside the batch; freed memory goes back after each batch."""
+    for batch in it:
+        for i in range(0, batch.num_rows, rows):
+            yield batch.slice(i, rows)
+        del batch
+        pa.default_memory_pool().release_unused()
+
+
 def held_by_worker(key: Hashable, make: Callable[[], Any]) -> Any:
     """The value of ``key``, made once in a Python worker and kept for its next tasks.
 
