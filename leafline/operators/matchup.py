@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from math import exp, pi, sqrt
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -74,6 +76,31 @@ def density_2d(pairs: DataFrame, x: str, y: str, x0: float, x1: float, y0: float
     return inside.groupBy(at(x, x0, x1).alias("bx"), at(y, y0, y1).alias("by")).agg(F.count("*").alias("n"))
 
 
+def bandwidth(c: str, share: float = 25.0) -> Column:
+    """The width of a smoothing kernel: the span of the middle nine tenths of the values, divided by ``share``."""
+    return (F.percentile(c, F.lit(0.95)) - F.percentile(c, F.lit(0.05))) / F.lit(share)
+
+
+def smoothed_density(counts: DataFrame, wx: float, wy: float, hx: float, hy: float, bins: int = 850, reach: float = 3.4) -> DataFrame:
+    """``(bx, by, density)`` of the bins of :func:`density_2d`, which are ``wx`` by ``wy``: smoothed by normal kernels of widths ``hx`` and ``hy``.
+
+    A kernel ends at ``reach`` widths, and at the grid's edge. As it is a product, the bins are shifted and
+    summed along one axis and then along the other; rows stay as many as bins that get anything.
+    """
+    total = counts.agg(F.sum("n")).first()[0]
+
+    def along(df: DataFrame, axis: str, width: float, h: float) -> DataFrame:
+        r = min(int(reach * h / width), bins - 1)
+        weight = [exp(-0.5 * (k * width / h) ** 2) / (h * sqrt(2 * pi)) for k in range(-r, r + 1)]
+        shifts = F.explode(F.array(*(F.struct(F.lit(k).alias("k"), F.lit(w).alias("w")) for k, w in zip(range(-r, r + 1), weight)))).alias("s")
+        other = "by" if axis == "bx" else "bx"
+        moved = df.select(axis, other, "v", shifts).select((F.col(axis) + F.col("s.k")).alias(axis), other, (F.col("v") * F.col("s.w")).alias("v"))
+        return moved.where(F.col(axis).between(0, bins - 1)).groupBy("bx", "by").agg(F.sum("v").alias("v"))
+
+    start = counts.select("bx", "by", (F.col("n") / F.lit(float(total or 1))).alias("v"))
+    return along(along(start, "bx", wx, hx), "by", wy, hy).withColumnRenamed("v", "density")
+
+
 def _drawn(*of: Column | str) -> Column:
     """Hex digits that depend on all the values, and look random."""
     return F.md5(F.concat_ws("|", *of))

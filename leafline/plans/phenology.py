@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalar import let
@@ -11,6 +11,7 @@ from ..operators.despike import despike
 from ..operators.series import KEYS, floor_dormant, gap_islands, num_obs, three_day_composite, water_reject, year_table, year_windows
 from ..operators.similarity import array_weights, gap_fill_refit, refit_points
 from ..operators.spline import gathered, smooth
+from ..sources.tables import read_cells
 from .params import LAYER_NAMES, Params
 
 DATES = ["up1", "up2", "up3", "peak", "down1", "down2", "down3"]
@@ -136,3 +137,11 @@ def explain_pixel(series: DataFrame, water: DataFrame, where: Column, p: Params
     """
     rows = cell_years(series.where(where), water, p, keys).persist()
     return from_cell_years(rows, p, keys).join(rows.select(*keys, "year", "curve", "days", "values"), [*keys, "year"], "left")
+
+
+def explain_stored(
+    spark: SparkSession, path: str, water: DataFrame, cells: list[int], n_chunks: int, n_cells: int, p: Params = Params(), keys: list[str] = KEYS
+) -> DataFrame:
+    """:func:`explain_pixel` for some cells of a stored table of daily observations in chunks: no other chunk is read."""
+    rows = read_cells(spark, path, cells, n_chunks, n_cells, keys[-1]).drop("chunk")
+    return explain_pixel(rows, water.where(F.col(keys[-1]).isin(sorted(cells))), F.lit(True), p, keys)

@@ -6,8 +6,10 @@ import tempfile
 import uuid
 from functools import lru_cache, reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from ..operators.product import layer_catalog
 
@@ -70,10 +72,21 @@ def scan_layer_catalog(spark: SparkSession, path: str) -> DataFrame:
 
 
 def scan_csv_skip(spark: SparkSession, path: str, skip: int, schema: str) -> DataFrame:
-    """Rows of many CSV files after ``skip`` lines each, with the file's path; one file is one task's text."""
-    text = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
-    lines = text.select("path", F.posexplode(F.split("value", "\r?\n")).alias("pos", "line")).where((F.col("pos") >= skip) & (F.col("line") != ""))
-    return lines.select("path", F.from_csv("line", schema).alias("r")).select("path", "r.*")
+    """Rows of many CSV files after ``skip`` lines each, with the file's path; large files are read in several splits.
+
+    A line's number is its place within its split plus the lines of the file's splits before it, of
+    which there is one small row each. Values may not hold line ends; empty lines are no rows.
+    """
+    text = spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("_split"), F.monotonically_increasing_id().alias("_id"), "value"
+    )
+    kept = scratch_path(spark, "csv-splits")
+    text.groupBy("path", "_split").agg(F.min("_id").alias("_first"), F.count("*").alias("_n")).write.parquet(kept)
+    splits = spark.read.parquet(kept)
+    before = F.sum("_n").over(Window.partitionBy("path").orderBy("_split")) - F.col("_n")
+    splits = splits.select("path", "_split", (before - F.col("_first")).alias("_shift"))
+    lines = text.join(splits, ["path", "_split"]).where((F.col("_id") + F.col("_shift") >= skip) & (F.col("value") != ""))
+    return lines.select("path", F.from_csv("value", schema).alias("r")).select("path", "r.*")
 
 
 def scan_station_meta(spark: SparkSession, path: str) -> DataFrame:
@@ -90,6 +103,12 @@ def scan_catalog(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def scan_pages(spark: SparkSession, path: str) -> DataFrame:
+    """``(page, next, items)``: stored search-result pages by their own link, with the link to the next one and how many items they hold."""
+    f = spark.read.schema(f"_links struct<_self: string, _next: string>, {FEATURES}").json(path)
+    return f.select(F.col("_links._self").alias("page"), F.col("_links._next").alias("next"), F.coalesce(F.size("features"), F.lit(0)).alias("items"))
+
+
 def scan_water(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema("cell long, occ double").parquet(path)
 
@@ -109,15 +128,62 @@ def write_daily(daily: DataFrame, path: str) -> None:
     out.write.partitionBy("site_id", "year").parquet(path)
 
 
-def write_chunks(chunks: DataFrame, path: str) -> None:
-    """Partitioned by chunk, so that one chunk is read alone."""
-    _dealt(chunks, "chunk").write.partitionBy("chunk").parquet(path)
+def write_chunks(chunks: DataFrame, path: str, cell: str = "cell") -> None:
+    """Partitioned by chunk, so that one chunk is read alone; files are sorted by cell and have Bloom filters of the cells."""
+    out = _dealt(chunks, "chunk").sortWithinPartitions("chunk", cell).write
+    out.option(f"parquet.bloom.filter.enabled#{cell}", "true").partitionBy("chunk").parquet(path)
 
 
 def read_chunk(spark: SparkSession, path: str, chunk: int) -> DataFrame:
     return spark.read.parquet(path).where(F.col("chunk") == chunk)
 
 
+def read_cells(spark: SparkSession, path: str, cells: list[int], n_chunks: int, n_cells: int, cell: str = "cell") -> DataFrame:
+    """Rows of some cells from stored chunks: only their chunks' folders are listed, and of those files the parts that may hold them are read."""
+    own = sorted({min((c - 1) // max(n_cells // n_chunks, 1), n_chunks - 1) + 1 for c in cells})
+    return spark.read.parquet(path).where(F.col("chunk").isin(own) & F.col(cell).isin(sorted(cells)))
+
+
+def stored(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    """What is stored at a path; no rows if there is nothing, and none of files that are broken or gone."""
+    try:
+        return spark.read.schema(schema).option("ignoreCorruptFiles", True).option("ignoreMissingFiles", True).parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
+
+
+def resume_chunks(chunks: DataFrame, path: str, date: str = "obs_date") -> DataFrame:
+    """Write the chunks that a store lacks or holds in part; ``(chunk, state, n_rows)`` says which were ``kept`` and ``written``.
+
+    Beside the chunks, in ``_complete``, a run leaves what each chunk that it wrote should hold: rows,
+    dates and a sum over hashes of its rows. A chunk is complete if that is what the source gives
+    now, and the files hold as many rows, which their footers tell. Other chunks replace their
+    folder alone (dynamic overwrite), and are told complete only once they are written; so a run that
+    breaks off is taken up by the next. Chunks that the source lacks are left alone.
+    """
+    spark, told = chunks.sparkSession, f"{path}/_complete"
+    schema = StructType([StructField("chunk", chunks.schema["chunk"].dataType), *(StructField(n, LongType()) for n in ("n_rows", "n_dates", "total"))])
+    row = F.xxhash64(*(c for c in chunks.columns if c != "chunk"))
+    own = chunks.groupBy("chunk").agg(F.count("*").alias("n_rows"), F.count_distinct(date).alias("n_dates"), F.sum(F.shiftright(row, 24)).alias("total"))
+    kept = scratch_path(spark, "chunks-wanted")
+    own.write.parquet(kept)
+    wanted = spark.read.parquet(kept)
+    held = stored(spark, path, chunks.schema).groupBy("chunk").agg(F.count("*").alias("n_rows"))
+    complete = wanted.join(stored(spark, told, schema).distinct(), ["chunk", "n_rows", "n_dates", "total"], "left_semi").join(held, ["chunk", "n_rows"], "left_semi")
+    kept = scratch_path(spark, "chunks-complete")
+    complete.select("chunk").write.parquet(kept)
+    complete = spark.read.parquet(kept)
+    missing = wanted.join(complete, "chunk", "left_anti")
+    if not missing.isEmpty():
+        out = _dealt(chunks.join(missing.select("chunk"), "chunk", "left_semi"), "chunk").sortWithinPartitions("chunk").write
+        out.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("chunk").parquet(path)
+        missing.select(*schema.names).write.mode("append").parquet(told)
+    state = F.when(F.col("_kept").isNotNull(), "kept").otherwise("written")
+    return wanted.join(complete.withColumn("_kept", F.lit(True)), "chunk", "left").select("chunk", state.alias("state"), "n_rows")
+
+
 def write_layers(long: DataFrame, path: str) -> None:
     """One folder for each year and layer, named ``NN_YYYY_NAME``."""
     name = F.format_string("%02d_%d_%s", "product_lyr", "year", "short_name")
