@@ -19,7 +19,7 @@ MAX_CELLS = 2048  # of which each has about ten sampled rows at least
 BLOCK_ROWS = 8192  # rows that one task searches at once; larger cells are dealt to several blocks
 LEAF_ROWS = 256
 CHUNK_QUERIES = 4096  # queries that one task searches a block for
-PRODUCTS = 1 << 22  # components that are multiplied at once
+PAIRS = 4096  # that are verified at once
 SLACK = 1e-9  # relative; products from different routines differ by less
 
 
@@ -95,40 +95,45 @@ def _outside(points: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarra
 def search_block(
     ids: np.ndarray, x: np.ndarray, p: np.ndarray, query_ids: np.ndarray, q: np.ndarray, qp: np.ndarray, bound: np.ndarray,
     k: int, reach: float, lift: float,
-) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each query its ``k`` best rows of a block that score ``bound`` at least: query number, row number, score.
-
-    Leaves of a kd-tree over the projections come nearest first. A query stops when its next leaf
-    is so far in projection that a row there is, with the wanted confidence, farther than its
-    k-th best so far: projected over true squared distance is chi-square distributed.
+) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """For each query its ``k`` best rows of a block that score ``bound`` at least: query number, row number, score; and how many rows were verified.
+
+    Leaves of a kd-tree over the projections come nearest first. Of a leaf, only rows are verified,
+    with the exact product, whose own projection is so near that they may be nearer than the k-th
+    best so far: projected over true squared distance is chi-square distributed, so a row beyond
+    ``reach`` times the k-th distance is farther with the wanted confidence. A query stops when that
+    holds for all that its next leaf could hold.
     """
     leaves = [x_ for x_ in _split(p, LEAF_ROWS, max(1, len(ids))) if len(x_)]
     low, high = np.array([p[v].min(0) for v in leaves]), np.array([p[v].max(0) for v in leaves])
     away = _outside(qp, low, high)
     turn = np.argsort(away, axis=1, kind="stable")
-    own = (q * q).sum(axis=1)
+    own, p2, qp2 = (q * q).sum(axis=1), (p * p).sum(axis=1), (qp * qp).sum(axis=1)
     kth = bound.copy()  # the score that a row must reach
     top = (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))
-    active = np.arange(len(q))
+    active, verified = np.arange(len(q)), 0
+
+    def farthest(of: np.ndarray) -> np.ndarray:
+        with np.errstate(invalid="ignore"):
+            return reach * np.maximum(own[of] + lift - 2 * kth[of], 0) * (1 + SLACK) + SLACK
+
     for step in range(len(leaves)):
         nearest = turn[active, step]
-        with np.errstate(invalid="ignore"):
-            farthest = reach * np.maximum(own[active] + lift - 2 * kth[active], 0)
-        go = away[active, nearest] <= farthest
+        go = away[active, nearest] <= farthest(active)
         active, nearest = active[go], nearest[go]
         if not len(active):
             break
         found = []
         for leaf in np.unique(nearest):
             mine, rows = active[nearest == leaf], leaves[leaf]
-            rough = q[mine] @ x[rows].T
-            scale = SLACK * (1 + np.abs(rough))
-            a, b = np.nonzero((rough + scale >= kth[mine][:, None]) & (ids[rows][None, :] != query_ids[mine][:, None]))
+            apart = qp2[mine][:, None] + p2[rows][None] - 2 * (qp[mine] @ p[rows].T)
+            a, b = np.nonzero((apart <= farthest(mine)[:, None]) & (ids[rows][None, :] != query_ids[mine][:, None]))
             found.append((mine[a], rows[b]))
         a, b = (np.concatenate(z) for z in zip(*found))
-        several = max(1, PRODUCTS // q.shape[1])
-        score = np.concatenate([(q[a[i : i + several]] * x[b[i : i + several]]).sum(axis=1) for i in range(0, len(a), several)] or [np.empty(0)])
-        a, b, score = np.concatenate([top[0], a]), np.concatenate([top[1], b]), np.concatenate([top[2], score])
+        verified += len(a)
+        score = np.concatenate([(q[a[i : i + PAIRS]] * x[b[i : i + PAIRS]]).sum(axis=1) for i in range(0, len(a), PAIRS)] or [np.empty(0)])
+        may = score >= kth[a]
+        a, b, score = np.concatenate([top[0], a[may]]), np.concatenate([top[1], b[may]]), np.concatenate([top[2], score[may]])
         order = np.lexsort((ids[b], -score, a))
         a, b, score = a[order], b[order], score[order]
         rank = np.arange(len(a)) - np.searchsorted(a, a)
@@ -136,7 +141,7 @@ def search_block(
         top = (a[few], b[few], score[few])
         full = few & (rank == k - 1)
         kth[a[full]] = np.maximum(kth[a[full]], score[full])
-    return top
+    return *top, verified
 
 
 def _arrays(column, width: int) -> np.ndarray:
@@ -145,7 +150,7 @@ def _arrays(column, width: int) -> np.ndarray:
 
 def nearest(
     vectors: DataFrame, is_query, k: int = 20, id_col: str = "vec_id", vec_col: str = "embedding",
-    dims: int = 16, confidence: float = 0.95, seed: int = 7, block_rows: int = BLOCK_ROWS, chunk_queries: int = CHUNK_QUERIES,
+    dims: int = 16, confidence: float = 0.85, seed: int = 7, block_rows: int = BLOCK_ROWS, chunk_queries: int = CHUNK_QUERIES,
 ) -> DataFrame:
     """``(query_id, rank, id, score)``: for each row where ``is_query`` holds, its ``k`` best other rows.
 
@@ -154,7 +159,8 @@ def nearest(
     factor. Cells of a kd-tree, fitted on ``SAMPLE_ROWS`` projections, hold every row. A query is
     answered from its own block first; its k-th score there rules out cells by the chi-square
     test, and the blocks of the others are searched with it, each in as many chunks as its own
-    visits need. Each true neighbour is found with ``confidence`` at least.
+    visits need; within a block, the test is made for each row by its own projection before the
+    exact product. Each true neighbour is found with ``confidence`` at least.
 
     Vectors that are null, zero, of another length than most, or hold null or non-finite
     components take no part, nor do rows with a null id; rows with the query's id are not its
@@ -242,7 +248,7 @@ def nearest(
             return pd.DataFrame({"query_id": [], "id": [], "score": []})
         q = _arrays(visits["q"], width)
         ids, query_ids = own["own_id"].to_numpy(), visits["query_id"].to_numpy()
-        a, b, score = search_block(
+        a, b, score, _ = search_block(
             ids, _arrays(own["x"], width), _arrays(own["p"], dims), query_ids, q, projected(q, None), visits["bound"].to_numpy(), k, reach, lift
         )
         return pd.DataFrame({"query_id": query_ids[a], "id": ids[b], "score": score})
@@ -278,6 +284,9 @@ def nearest(
     load = visits.groupBy("block").agg(F.ceil(F.count("*") / F.lit(chunk_queries)).alias("chunks"))
     chunk = F.pmod(F.xxhash64("query_id"), F.col("chunks")).alias("chunk")
     far = searched(visits.join(load, "block").select("query_id", "q", "block", chunk, "bound"))
-    best = near.union(far).groupBy("query_id").agg(F.collect_list(F.struct((-F.col("score")).alias("s"), "id")).alias("all"))
+    # the best of some blocks at a time first, so that a query of many blocks isn't one long list
+    one = F.struct((-F.col("score")).alias("s"), "id")
+    parts = near.union(far).groupBy("query_id", F.pmod(F.xxhash64("id"), F.lit(64)).alias("part")).agg(F.slice(F.array_sort(F.collect_list(one)), 1, k).alias("all"))
+    best = parts.groupBy("query_id").agg(F.flatten(F.collect_list("all")).alias("all"))
     top = best.select("query_id", F.posexplode(F.slice(F.array_sort("all"), 1, k)).alias("pos", "c"))
     return top.select("query_id", (F.col("pos") + 1).alias("rank"), F.col("c.id").alias(id_col), (-F.col("c.s")).alias("score"))
