@@ -6,8 +6,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
 from ..functions.scalar import direction_code, free_name, let, round6
 from ..plans.params import Params
@@ -84,6 +86,23 @@ def find_segments(curves: DataFrame, keys: list[str], p: Params = Params()) -> D
     return out.select(*keys, "curve", zipped.alias("segs"))
 
 
+def with_segments(rows: DataFrame, p: Params = Params()) -> DataFrame:
+    """``rows`` with ``segs``, the cycles of each row's ``curve`` as :func:`find_segments` tells them; no other column is touched."""
+
+    def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            curves = batch.column("curve")
+            found = [segments(c.values.to_numpy(), p) if c.is_valid else [] for c in curves]
+            ends = np.concatenate([[0], np.cumsum([len(x) for x in found])]).astype(np.int32)
+            flat = [s for x in found for s in x]
+            cols = [pa.array([s[k] for s in flat], pa.int32()) for k in range(3)]
+            segs = pa.ListArray.from_arrays(ends, pa.StructArray.from_arrays(cols, names=["seg_start", "seg_peak", "seg_end"]))
+            yield pa.RecordBatch.from_arrays([*batch.columns, segs], names=[*batch.schema.names, "segs"])
+
+    segs = ArrayType(StructType([StructField(n, IntegerType()) for n in ("seg_start", "seg_peak", "seg_end")]))
+    return rows.mapInArrow(batches, StructType([*rows.schema.fields, StructField("segs", segs)]))
+
+
 def _at(slot: str | Column) -> Column:
     return F.element_at("curve", F.col(slot) if isinstance(slot, str) else slot)
 

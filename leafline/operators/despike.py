@@ -7,7 +7,7 @@ from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.params import Params
@@ -82,16 +82,17 @@ def spike_flags(blue: np.ndarray, red: np.ndarray, vi: np.ndarray, days: np.ndar
     return out
 
 
-def despike(obs: DataFrame, p: Params = Params(), keys: list[str] = KEYS, date: str = "obs_date") -> DataFrame:
-    """``(keys, date, vi)`` with ``vi`` null at spikes; passes repeat until no further spike is found.
+def despiked_arrays(obs: DataFrame, p: Params = Params(), keys: list[str] = KEYS, date: str = "obs_date", **more: Column) -> DataFrame:
+    """``(keys, more, s_day, s_vi)``: one row for each series, its days in order and their values, null at spikes.
 
-    A pass depends on the last one's survivors, so a series goes to Python whole: one row with
-    arrays for each cell, many cells in an Arrow batch.
+    Passes repeat until no further spike is found. A pass depends on the last one's survivors, so a
+    series goes to Python whole: one row with arrays for each cell, many cells in an Arrow batch.
+    ``more`` are aggregates of the same shuffle.
     """
     one = F.struct(F.col(date).alias("day"), "vi", "blue", "red")
-    rows = obs.groupBy(*keys).agg(F.sort_array(F.collect_list(one)).alias("s"))
+    rows = obs.groupBy(*keys).agg(F.sort_array(F.collect_list(one)).alias("s"), *(c.alias(n) for n, c in more.items()))
     values = [F.col(f"s.{c}").cast("array<double>").alias(f"s_{c}") for c in ("blue", "red", "vi")]
-    arrays = rows.select(*keys, F.col("s.day").alias("s_day"), *values)
+    arrays = rows.select(*keys, *more, F.col("s.day").alias("s_day"), *values)
 
     def clean(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
@@ -103,8 +104,13 @@ def despike(obs: DataFrame, p: Params = Params(), keys: list[str] = KEYS, date:
             for a, b in pairwise(ends):
                 out[a:b][spike_flags(blue[a:b], red[a:b], vi[a:b], when[a:b], p)] = np.nan
             cleaned = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(out, from_pandas=True))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-4], days, cleaned], names=[*keys, "s_day", "s_vi"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-4], days, cleaned], names=[*batch.schema.names[:-3], "s_vi"])
+
+    kinds = ", ".join(f"{k} {rows.schema[k].dataType.simpleString()}" for k in [*keys, *more])
+    return arrays.mapInArrow(clean, f"{kinds}, s_day array<date>, s_vi array<double>")
 
-    kinds = ", ".join(f"{k} {obs.schema[k].dataType.simpleString()}" for k in keys)
-    out = arrays.mapInArrow(clean, f"{kinds}, s_day array<date>, s_vi array<double>")
+
+def despike(obs: DataFrame, p: Params = Params(), keys: list[str] = KEYS, date: str = "obs_date") -> DataFrame:
+    """``(keys, date, vi)`` with ``vi`` null at spikes: the rows of :func:`despiked_arrays`."""
+    out = despiked_arrays(obs, p, keys, date)
     return out.select(*keys, F.inline(F.arrays_zip("s_day", "s_vi")).alias(date, "vi"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalar import let
@@ -23,28 +23,42 @@ def slot_values(rows: DataFrame, keys: list[str] = KEYS) -> DataFrame:
     return o.select(*keys, "year", F.when(whole, F.concat(lead, F.col("o.v"))).otherwise(F.flatten(filled)).alias("vs"))
 
 
-def array_weights(curves: DataFrame, p: Params = Params(), keys: list[str] = KEYS) -> DataFrame:
-    """:func:`year_weights` from ``(keys, year, vs)``, where ``vs`` has a value or null for each slot.
+def _total(c: Column | str) -> Column:
+    return F.aggregate(c, F.lit(0.0), lambda s, x: s + F.coalesce(x, F.lit(0.0)))
 
-    The few years of a cell meet in one row, and their distances are sums over its arrays: no
-    slot becomes a row, and only the arrays are shuffled, by cell.
-    """
-    total = lambda c: F.aggregate(c, F.lit(0.0), lambda s, x: s + F.coalesce(x, F.lit(0.0)))
-    seen = F.size(F.filter("vs", lambda v: v.isNotNull()))
-    one = F.struct("year", "vs", (total("vs") / F.nullif(seen, F.lit(0))).alias("m"))
-    cells = curves.groupBy(*keys).agg(F.collect_list(one).alias("all"))
 
-    def pair(a, b):
+def masked_year(year: Column, vs: Column) -> Column:
+    """A year's masked curve as :func:`year_pairs` takes it, with its mean."""
+    return F.struct(year.alias("year"), vs.alias("vs"), (_total(vs) / F.nullif(F.size(F.filter(vs, lambda v: v.isNotNull())), F.lit(0))).alias("m"))
+
+
+def year_pairs(every: Column | str, p: Params = Params()) -> Column:
+    """``(year, other, n, weight)`` of all pairs of an array of :func:`masked_year` that have a slot in common."""
+
+    def pair(a: Column, b: Column) -> Column:
         far = F.zip_with(a["vs"], b["vs"], lambda x, y: (y - x) * (y - x))
         flat = F.zip_with(a["vs"], b["vs"], lambda x, y: F.when(y.isNotNull(), (x - a["m"]) * (x - a["m"])))
         n = lambda ds: F.size(F.filter(ds, lambda d: d.isNotNull())).cast("long")
-        apart = let(far, lambda ds: F.struct(n(ds).alias("n"), F.sqrt(total(ds)).alias("far")))
-        return F.struct(a["year"].alias("year"), b["year"].alias("other"), apart.alias("apart"), F.sqrt(total(flat)).alias("flat"))
+        apart = let(far, lambda ds: F.struct(n(ds).alias("n"), F.sqrt(_total(ds)).alias("far")))
+        return F.struct(a["year"].alias("year"), b["year"].alias("other"), apart.alias("apart"), F.sqrt(_total(flat)).alias("flat"))
+
+    def weighed(s: Column) -> Column:
+        n, flat = s["apart"]["n"], s["flat"]
+        like = F.lit(p.max_weight) * F.greatest(F.lit(0.0), 1 - F.try_divide(s["apart"]["far"], flat))
+        return F.struct(s["year"].alias("year"), s["other"].alias("other"), n.alias("n"), F.when((n < p.min_common_days) | (flat == 0), 0.0).otherwise(like).alias("weight"))
 
-    pairs = F.flatten(F.transform("all", lambda a: F.transform("all", lambda b: pair(a, b))))
-    sums = cells.select(*keys, F.inline(pairs)).select(*keys, "year", "other", "apart.n", "apart.far", "flat").where("n > 0")
-    like = F.lit(p.max_weight) * F.greatest(F.lit(0.0), 1 - F.try_divide(F.col("far"), F.col("flat")))
-    return sums.select(*keys, "year", "other", "n", F.when((F.col("n") < p.min_common_days) | (F.col("flat") == 0), 0.0).otherwise(like).alias("weight"))
+    pairs = F.flatten(F.transform(every, lambda a: F.transform(every, lambda b: pair(a, b))))
+    return F.transform(F.filter(pairs, lambda s: s["apart"]["n"] > 0), weighed)
+
+
+def array_weights(curves: DataFrame, p: Params = Params(), keys: list[str] = KEYS) -> DataFrame:
+    """:func:`year_weights` from ``(keys, year, vs)``, where ``vs`` has a value or null for each slot.
+
+    The few years of a cell meet in one row, and their distances are sums over its arrays: no
+    slot becomes a row, and only the arrays are shuffled, by cell.
+    """
+    cells = curves.groupBy(*keys).agg(F.collect_list(masked_year(F.col("year"), F.col("vs"))).alias("all"))
+    return cells.select(*keys, F.inline(year_pairs("all", p)))
 
 
 def year_weights(curves: DataFrame, p: Params = Params(), keys: list[str] = KEYS) -> DataFrame:

@@ -6,68 +6,145 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalar import let
-from ..operators.cycles import find_segments, peaks_in_year, pheno_dates, qa_class, rank_cycles, segment_metrics, top2_cycles, weak_cycle
-from ..operators.despike import despike
-from ..operators.series import KEYS, floor_dormant, gap_islands, num_obs, three_day_composite, water_reject, year_table, year_windows
-from ..operators.similarity import array_weights, gap_fill_refit, refit_points
-from ..operators.spline import gathered, smooth
-from ..sources.tables import read_cells
+from ..operators.cycles import pheno_dates, qa_class, rank_cycles, segment_metrics, weak_cycle, with_segments
+from ..operators.despike import despiked_arrays
+from ..operators.series import KEYS
+from ..operators.similarity import masked_year, year_pairs
+from ..operators.spline import smooth_each
+from ..sources.tables import read_cells, scratch_path
 from .params import LAYER_NAMES, Params
 
 DATES = ["up1", "up2", "up3", "peak", "down1", "down2", "down3"]
 
 
-def masked_curves(curves: DataFrame, windowed: DataFrame, gaps: DataFrame, p: Params, keys: list[str] = KEYS) -> DataFrame:
-    """``(keys, year, vs)``: curves from the first day of their calendar year, null outside it, outside observations and in gaps."""
-    ends = windowed.groupBy(*keys, "year").agg(F.min("day_idx").alias("lo"), F.max("day_idx").alias("hi"))
-    spans = gaps.groupBy(*keys).agg(F.collect_list(F.struct("gap_start", "gap_end")).alias("gaps"))
-    rows = curves.where("curve is not null").join(ends, [*keys, "year"]).join(spans, keys, "left")
-    first, last = F.make_date("year", F.lit(1), F.lit(1)), F.make_date("year", F.lit(12), F.lit(31))
-    own = F.filter(F.coalesce("gaps", F.array()), lambda g: (g["gap_start"] <= last) & (g["gap_end"] > first))
+def _window(year: int, p: Params) -> tuple[Column, Column]:
+    """First and last day of a year's window."""
+    first = F.date_add(F.lit(f"{year}-01-01").cast("date"), -p.spline_buffer)
+    return first, F.date_add(first, p.slots - 1)
+
+
+def _masked(year: Column, curve: Column, lo: Column, hi: Column, gaps: Column, p: Params) -> Column:
+    """A curve from the first day of its calendar year, null outside it, outside observations and in gaps."""
+    first, last = F.make_date(year, F.lit(1), F.lit(1)), F.make_date(year, F.lit(12), F.lit(31))
+    own = F.filter(gaps, lambda g: (g["gap_start"] <= last) & (g["gap_end"] > first))
     own = F.transform(own, lambda g: F.struct(F.datediff(g["gap_start"], first).alias("a"), F.datediff(g["gap_end"], first).alias("b")))
-    inside = F.slice("curve", p.spline_buffer + 1, F.dayofyear(last))
+    inside = F.slice(curve, p.spline_buffer + 1, F.dayofyear(last))
 
     def kept(of: Column) -> Column:
-        seen = lambda i: (i + (p.spline_buffer + 1)).between(F.col("lo"), F.col("hi"))
+        seen = lambda i: (i + (p.spline_buffer + 1)).between(lo, hi)
         free = lambda i: ~F.exists(of, lambda g: (g["a"] <= i) & (i < g["b"]))
         return F.transform(inside, lambda v, i: F.when(seen(i) & free(i), v))
 
-    return rows.select(*keys, "year", let(own, kept).alias("vs"))
+    return let(own, kept)
+
+
+def _composited(obs: Column, p: Params) -> Column:
+    """The largest value of every few days, at the middle one; days outside of all windows are left out."""
+    first, last = _window(min(p.years), p)[0], _window(max(p.years), p)[1]
+    bins = F.transform(F.filter(obs, lambda o: o["day"].between(first, last)), lambda o: F.struct(F.floor(F.datediff(o["day"], first) / p.composite_days).cast("int").alias("b"), o["v"].alias("v")))
+
+    def merged(all_: Column) -> Column:
+        top = lambda b: F.array_max(F.transform(F.filter(all_, lambda x: x["b"] == b), lambda x: x["v"]))
+        return F.transform(F.array_distinct(F.transform(all_, lambda x: x["b"])), lambda b: F.struct(F.date_add(first, b * p.composite_days + p.composite_days // 2).alias("day"), top(b).alias("v")))
+
+    return let(bins, merged)
 
 
-def _curves(windowed: DataFrame, gaps: DataFrame, p: Params, keys: list[str]) -> DataFrame:
-    """``(keys, year, curve)``: a year's own spline, or the refit where its window has a gap."""
-    first = smooth(gathered(windowed, [*keys, "year"]), [*keys, "year"], p.slots, p.spar).persist()
-    weights = array_weights(masked_curves(first, windowed, gaps, p, keys), p, keys)
-    points = refit_points(windowed, gaps, weights, p, keys)
-    again = gap_fill_refit(points, p, keys).withColumnRenamed("curve", "refit").withColumn("has_gap", F.lit(True))
-    both = first.join(again, [*keys, "year"], "full")
-    return both.select(*keys, "year", F.when(F.col("has_gap"), F.col("refit")).otherwise(F.col("curve")).alias("curve"))
+def _low_quantile(values: Column, q: float) -> Column:
+    """A quantile of an array by linear interpolation, null for an empty one."""
+
+    def at(v: Column) -> Column:
+        place = (F.size(v) - 1) * F.lit(q)
+        low, high = F.floor(place).cast("int"), F.ceil(place).cast("int")
+        between = (high - place) * F.get(v, low) + (place - low) * F.get(v, high)
+        return F.when(low == high, F.get(v, low)).otherwise(between)
+
+    return let(F.sort_array(values), lambda v: F.when(F.size(v) > 0, at(v)))
+
+
+def _refit(year: int, p: Params) -> Column:
+    """Weighted points of a year's window: its own at 1, in its gaps those of other years by their likeness.
+
+    Slots before the year go by the likeness of the year before, those after by the year after, as
+    far as there are such years.
+    """
+    before, after, first = max(year - 1, min(p.years)), min(year + 1, max(p.years)), _window(year, p)[0]
+    like = lambda y, o: F.get(F.transform(F.filter("pairs", lambda x: (x["year"] == y) & (x["other"] == o["year"])), lambda x: x["weight"]), F.lit(0))
+
+    def points(o: Column, w: Column) -> Column:
+        of = lambda d: F.when(o["year"] == year, 1.0).when(d <= p.spline_buffer, w["before"]).when(d > p.spline_buffer + 365, w["after"]).otherwise(w["own"])
+        slot = lambda q: F.date_add(first, q["x"].cast("int") - 1)
+        inside = lambda q: (o["year"] == year) | F.exists("gaps", lambda g: (g["gap_start"] <= slot(q)) & (slot(q) < g["gap_end"]))
+        weighed = F.transform(o["pts"], lambda q: F.struct(q["x"].alias("x"), q["y"].alias("y"), F.coalesce(of(q["x"]), F.lit(0.0)).alias("w")))
+        return F.filter(weighed, lambda q: (q["w"] > 0) & inside(q))
+
+    weights = lambda o: F.struct(like(before, o).alias("before"), like(year, o).alias("own"), like(after, o).alias("after"))
+    return F.flatten(F.transform("windows", lambda o: let(weights(o), lambda w: points(o, w))))
 
 
 def cell_years(series: DataFrame, water: DataFrame, p: Params, keys: list[str] = KEYS) -> DataFrame:
-    """``(keys, year, curve, days, values, num_obs, dormant, occ, is_water)``: all that cycles are looked for in."""
-    info = water_reject(series, water, p.negative_share, p.water_low, keys)
-    clean = floor_dormant(despike(series, p, keys), p.dormant_from, p.dormant_to, p.dormant_quantile, keys=keys).persist()
-    if p.composite_days:
-        days = [F.date_add(F.lit(f"{y}-01-01").cast("date"), -p.spline_buffer) for y in (min(p.years), max(p.years))]
-        clean = three_day_composite(clean, days[0], F.date_add(days[1], p.slots - 1), p.composite_days, keys=[*keys, "dormant"]).persist()
-    windowed = year_windows(clean.where("vi is not null"), p.years, p.spline_buffer).persist()
-    gaps = gap_islands(clean, p.gap_days, keys=keys)
-    seen = windowed.groupBy(*keys, "year").agg(
-        F.array_sort(F.collect_list(F.struct(F.col("day_idx").alias("d"), F.col("vi").alias("v")))).alias("o"), F.first("dormant").alias("dormant")
-    )
-    counts = num_obs(windowed, p.spline_buffer, keys=keys)
-    every = info.crossJoin(F.broadcast(year_table(series.sparkSession, p.years, p.spline_buffer).select("year")))
-    out = every.join(_curves(windowed, gaps, p, keys), [*keys, "year"], "left").join(seen, [*keys, "year"], "left").join(counts, [*keys, "year"], "left")
-    return out.select(
-        *keys, "year", "curve", F.col("o.d").alias("days"), F.col("o.v").alias("values"), F.coalesce("num_obs", F.lit(0)).alias("num_obs"),
-        "dormant", "occ", "is_water",
-    )
-
-
-def _empty(rows: DataFrame, keys: list[str]) -> DataFrame:
-    return rows.select(*keys, "year", *(F.lit(4.0 if n in ("QA", "QA_2") else None).cast("double").alias(n) for n in LAYER_NAMES))
+    """``(keys, year, curve, days, values, num_obs, dormant, occ, is_water)``: all that cycles are looked for in.
+
+    One shuffle, by the keys, makes a row of arrays of each series; despiking, quantile, gaps, windows,
+    splines, likeness of years and refits then are expressions on that row or pass it through
+    Python in Arrow batches. ``windows`` holds a struct for each product year, so nothing is joined
+    by year. A series that is stored in buckets of its keys needs no shuffle at all.
+    """
+    negative = F.avg(F.when(F.col("vi") < 0, 1.0).when(F.col("vi").isNotNull(), 0.0))
+    cells = despiked_arrays(series, p, keys, negative_share=negative)
+    occ = F.coalesce(F.col("occ").cast("double"), F.lit(0.0))
+    cells = cells.join(water.select(keys[-1], "occ"), keys[-1], "left").withColumn("occ", occ)
+    cells = cells.withColumn("is_water", F.coalesce((F.col("negative_share") > p.negative_share) & (F.col("occ") > p.water_low), F.lit(False)))
+    pairs = F.arrays_zip(F.col("s_day").alias("day"), F.col("s_vi").alias("v"))
+    cells = cells.select(*keys, "occ", "is_water", F.filter(pairs, lambda o: o["v"].isNotNull()).alias("obs"))
+    period = [F.lit(d).cast("date") for d in (p.dormant_from, p.dormant_to)]
+    low = F.transform(F.filter("obs", lambda o: (o["v"] > 0) & o["day"].between(*period)), lambda o: o["v"])
+    cells = cells.withColumn("dormant", _low_quantile(low, p.dormant_quantile))
+    raised = F.transform("obs", lambda o: F.struct(o["day"].alias("day"), F.when(o["v"] < F.col("dormant"), F.col("dormant")).otherwise(o["v"]).alias("v")))
+    cells = cells.withColumn("obs", _composited(raised, p) if p.composite_days else raised)
+    n = F.greatest(F.size("obs") - 1, F.lit(0))
+    steps = F.zip_with(F.slice("obs", 1, n), F.slice("obs", 2, n), lambda a, b: F.struct(a["day"].alias("gap_start"), b["day"].alias("gap_end")))
+
+    def window(year: int) -> Column:
+        first, last = _window(year, p)
+        point = lambda o: F.struct((F.datediff(o["day"], first) + 1).cast("double").alias("x"), o["v"].alias("y"), F.lit(1.0).alias("w"))
+        return F.struct(F.lit(year).alias("year"), F.transform(F.filter("obs", lambda o: o["day"].between(first, last)), point).alias("pts"))
+
+    cells = cells.withColumns({
+        "gaps": F.filter(steps, lambda g: F.datediff(g["gap_end"], g["gap_start"]) > p.gap_days), "windows": F.array(*map(window, p.years))
+    }).drop("obs")
+    cells = smooth_each(cells.withColumn("points", F.transform("windows", lambda w: w["pts"])), "points", "own", p.slots, p.spar).drop("points")
+
+    def masked(i: int, year: int) -> Column:
+        pts = F.get("windows", F.lit(i))["pts"]
+        lo, hi = (F.get(pts, at)["x"].cast("int") for at in (F.lit(0), F.size(pts) - 1))
+        curve = F.get("own", F.lit(i))
+        return F.when(curve.isNotNull(), masked_year(F.lit(year), _masked(F.lit(year), curve, lo, hi, F.col("gaps"), p)))
+
+    every = F.filter(F.array(*(masked(i, y) for i, y in enumerate(p.years))), lambda m: m.isNotNull())
+    cells = cells.withColumn("masked", every).withColumn("pairs", year_pairs("masked", p)).drop("masked")
+
+    def again(year: int) -> Column:
+        first, last = _window(year, p)
+        return F.when(F.exists("gaps", lambda g: (g["gap_start"] <= last) & (g["gap_end"] > first)), _refit(year, p)).otherwise(F.array())
+
+    cells = smooth_each(cells.withColumn("points", F.array(*map(again, p.years))).drop("pairs", "gaps"), "points", "refit", p.slots, p.spar)
+    point_type = "array<struct<x: double, y: double, w: double>>"
+
+    def told(i: int, year: int) -> Column:
+        pts, filled = F.get("windows", F.lit(i))["pts"].cast(point_type), F.size(F.get("points", F.lit(i))) > 0
+        seen = F.size(pts) > 0
+        own = F.size(F.filter(pts, lambda q: q["x"].between(p.spline_buffer + 1, p.spline_buffer + 365)))
+        return F.struct(
+            F.lit(year).alias("year"), F.when(filled, F.get("refit", F.lit(i))).otherwise(F.get("own", F.lit(i))).alias("curve"),
+            F.when(seen, F.transform(pts, lambda q: q["x"].cast("int"))).alias("days"), F.when(seen, F.transform(pts, lambda q: q["y"])).alias("values"),
+            own.cast("long").alias("num_obs"), F.when(seen, F.col("dormant")).alias("dormant"),
+        )
+
+    years = F.inline(F.array(*(told(i, y) for i, y in enumerate(p.years))))
+    return cells.withColumnRenamed("dormant", "_dormant").select(
+        *keys, "occ", "is_water", "windows", "points", "own", "refit", F.col("_dormant").alias("dormant")
+    ).select(*keys, "occ", "is_water", years).select(*keys, "year", "curve", "days", "values", "num_obs", "dormant", "occ", "is_water")
 
 
 def _doy(slot: str, p: Params) -> Column:
@@ -79,20 +156,22 @@ def from_cell_years(rows: DataFrame, p: Params = Params(), keys: list[str] = KEY
     """``(keys, year, 24 layers)``: cycles where there are any, annual values where there is none, or an empty row.
 
     Empty rows have only their quality, 4: water, no curve, values out of range, weak cycles in
-    cells under water, and cycles without a known fit.
+    cells under water, and cycles without a known fit. A row for each cycle carries what its year
+    needs, so that one shuffle, by cell and year, brings the two best together; nothing is joined.
     """
     by = [*keys, "year"]
-    live = rows.where(~F.col("is_water") & F.col("curve").isNotNull())
-    found = find_segments(live, by, p)
-    segs = found.select(*by, F.explode("segs").alias("s")).select(*by, "s.*")
-    segs = peaks_in_year(segs, p.spline_buffer).join(live, by)
+    live = ~F.col("is_water") & F.col("curve").isNotNull()
+    rows = rows.withColumns({"live": live, "annual": F.when(live, _annual(p))})
+    within = F.filter("segs", lambda s: (s["seg_peak"] > p.spline_buffer) & (s["seg_peak"] <= p.spline_buffer + 365))
+    segs = with_segments(rows.withColumn("curve", F.when(F.col("live"), F.col("curve"))), p).withColumn("_s", F.explode_outer(within))
+    segs = segs.select(*by, "curve", "days", "values", "live", "annual", "dormant", "occ", "num_obs", "_s.*")
     segs = segment_metrics(pheno_dates(segs, p)).withColumn("peak", F.col("seg_peak"))
-    segs = segs.withColumn("qa", qa_class("up_r2", "down_r2", "up_gap", "down_gap", p)).persist()
-    ranked = rank_cycles(segs, by)
+    segs = segs.withColumn("qa", qa_class("up_r2", "down_r2", "up_gap", "down_gap", p)).drop("curve", "days", "values")
     cols = [*DATES, "peak_value", "amp", "area", "qa"]
-    top = top2_cycles(ranked.where("rank <= 2"), by, cols)
-    known = ranked.groupBy(*by).agg(F.count("amp").alias("n_known"), F.max(F.when(F.col("rank") <= 2, F.col("qa").isNull())).alias("unfit"))
-    cycles = top.join(known, by).join(live.select(*by, "dormant", "occ", "num_obs"), by)
+    picks = [F.max(F.when(F.col("rank") == r, F.col(c))).alias(f"{c}_{r}") for r in (1, 2) for c in cols]
+    unfit = F.max(F.when(F.col("seg_peak").isNotNull() & (F.col("rank") <= 2), F.col("qa").isNull())).alias("unfit")
+    own = [F.first(c).alias(c) for c in ("live", "annual", "dormant", "occ", "num_obs")]
+    years = rank_cycles(segs, by).groupBy(*by).agg(F.count("seg_peak").alias("n"), F.count("amp").alias("n_known"), unfit, *picks, *own)
     bad = F.coalesce(weak_cycle("dormant", "peak_value_1", "amp_1", "occ", p), F.lit(True)) | F.col("unfit")
 
     def layer(c: str, r: int) -> Column:
@@ -103,12 +182,28 @@ def from_cell_years(rows: DataFrame, p: Params = Params(), keys: list[str] = KEY
 
     second = [F.coalesce(layer("qa", 2), F.lit(4)) if c == "qa" else layer(c, 2) for c in cols]
     values = [F.col("n_known"), *(layer(c, 1) for c in cols), *second, F.col("num_obs")]
-    named = [v.cast("double").alias(n) for v, n in zip(values, LAYER_NAMES)]
-    good = cycles.where(~bad).select(*by, *named)
+    flat = _annual_layers("annual")
+    years = years.withColumns({"hi": F.col("annual.hi"), "flat_amp": F.col("annual.hi") - F.col("annual.lo")})
+    plain = F.col("live") & (F.col("n") == 0) & ~F.coalesce(weak_cycle("dormant", "hi", "flat_amp", "occ", p), F.lit(True))
+
+    def chosen(name: str, cycle: Column) -> Column:
+        empty = F.lit(4.0 if name in ("QA", "QA_2") else None).cast("double")
+        return F.when((F.col("n") > 0) & ~bad, cycle.cast("double")).when(plain, flat.get(name, F.lit(None)).cast("double")).otherwise(empty).alias(name)
+
+    return years.select(*by, *(chosen(n, v) for n, v in zip(LAYER_NAMES, values)))
+
+
+def _annual(p: Params) -> Column:
+    """``(hi, lo, s, n)`` of a row's curve and days in its calendar year."""
+    length = F.dayofyear(F.make_date("year", F.lit(12), F.lit(31)))
+    own_days = F.size(F.filter("days", lambda d: d.between(p.spline_buffer + 1, p.spline_buffer + length)))
+    of = lambda c: F.struct(F.array_max(c).alias("hi"), F.array_min(c).alias("lo"), F.aggregate(c, F.lit(0.0), lambda s, v: s + v).alias("s"), own_days.alias("n"))
+    return let(F.slice("curve", p.spline_buffer + 1, length), of)
+
 
-    fallback = annual_fallback(live.join(segs.select(*by).distinct(), by, "left_anti"), p, keys)
-    full = good.unionByName(fallback)
-    return full.unionByName(_empty(rows.select(*by).join(full.select(*by), by, "left_anti"), keys))
+def _annual_layers(annual: str) -> dict[str, Column]:
+    hi, lo, s, n = (F.col(f"{annual}.{c}") for c in ("hi", "lo", "s", "n"))
+    return {"NumCycles": F.lit(0), "EVImax": hi * 10000, "EVIamp": (hi - lo) * 10000, "EVIarea": s * 100, "QA": F.lit(4), "QA_2": F.lit(4), "numObs": n}
 
 
 def annual_fallback(none: DataFrame, p: Params = Params(), keys: list[str] = KEYS) -> DataFrame:
@@ -117,25 +212,25 @@ def annual_fallback(none: DataFrame, p: Params = Params(), keys: list[str] = KEY
     ``none`` has ``curve``, ``days``, ``dormant`` and ``occ``.
     """
     by = [*keys, "year"]
-    inside = F.slice("curve", p.spline_buffer + 1, F.dayofyear(F.make_date("year", F.lit(12), F.lit(31))))
-    own_days = F.size(F.filter("days", lambda d: d.between(p.spline_buffer + 1, p.spline_buffer + F.dayofyear(F.make_date("year", F.lit(12), F.lit(31))))))
-    flat = none.select(*by, "dormant", "occ", F.array_max(inside).alias("hi"), F.array_min(inside).alias("lo"), F.aggregate(inside, F.lit(0.0), lambda s, v: s + v).alias("s"), own_days.alias("n"))
-    flat = flat.withColumn("amp", F.col("hi") - F.col("lo")).where(~F.coalesce(weak_cycle("dormant", "hi", "amp", "occ", p), F.lit(True)))
-    annual = {"NumCycles": F.lit(0), "EVImax": F.col("hi") * 10000, "EVIamp": F.col("amp") * 10000, "EVIarea": F.col("s") * 100, "QA": F.lit(4), "QA_2": F.lit(4), "numObs": F.col("n")}
+    flat = none.select(*by, "dormant", "occ", _annual(p).alias("a")).withColumns({"hi": F.col("a.hi"), "amp": F.col("a.hi") - F.col("a.lo")})
+    flat, annual = flat.where(~F.coalesce(weak_cycle("dormant", "hi", "amp", "occ", p), F.lit(True))), _annual_layers("a")
     return flat.select(*by, *(annual.get(n, F.lit(None)).cast("double").alias(n) for n in LAYER_NAMES))
 
 
 def phenology(series: DataFrame, water: DataFrame, p: Params = Params(), keys: list[str] = KEYS) -> DataFrame:
     """The product of a table of daily observations ``(keys, obs_date, blue, red, vi)``, a row for each cell and year."""
-    return from_cell_years(cell_years(series, water, p, keys).persist(), p, keys)
+    return from_cell_years(cell_years(series, water, p, keys), p, keys)
 
 
 def explain_pixel(series: DataFrame, water: DataFrame, where: Column, p: Params = Params(), keys: list[str] = KEYS) -> DataFrame:
     """The same chain for the cells of ``where``, with the curve and raw values beside the result.
 
-    The condition is applied first: it wouldn't pass the grouped maps by itself.
+    The condition is applied first: it wouldn't pass the grouped maps by itself. What cycles are
+    looked for in is written to the shared folder, as the result and what stands beside it both need it.
     """
-    rows = cell_years(series.where(where), water, p, keys).persist()
+    path = scratch_path(series.sparkSession, "explained")
+    cell_years(series.where(where), water, p, keys).write.parquet(path)
+    rows = series.sparkSession.read.parquet(path)
     return from_cell_years(rows, p, keys).join(rows.select(*keys, "year", "curve", "days", "values"), [*keys, "year"], "left")
 
 

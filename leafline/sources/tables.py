@@ -134,6 +134,15 @@ def write_chunks(chunks: DataFrame, path: str, cell: str = "cell") -> None:
     out.option(f"parquet.bloom.filter.enabled#{cell}", "true").partitionBy("chunk").parquet(path)
 
 
+def write_cells(rows: DataFrame, table: str, path: str, buckets: int, keys: tuple[str, ...] = ("site_id", "cell")) -> None:
+    """A table in the session's catalog, at ``path``, in buckets of its keys: what is grouped or joined by them is read without a shuffle.
+
+    One file for each bucket, sorted by the keys; choose so many that a bucket fits a task.
+    """
+    out = rows.repartition(buckets, *keys).sortWithinPartitions(*keys).write
+    out.bucketBy(buckets, *keys).sortBy(*keys).option("path", path).mode("overwrite").saveAsTable(table)
+
+
 def read_chunk(spark: SparkSession, path: str, chunk: int) -> DataFrame:
     return spark.read.parquet(path).where(F.col("chunk") == chunk)
 

@@ -157,3 +157,12 @@ def k17_explain_stored(spark, sf):
     cells = list(range(1, max(2, n // 20)))
     out = P.explain_stored(spark, path, X.water(spark, sf), cells, 20, n, PARAMS)
     return out.select(*BY, F.round("EVImax", 3).alias("EVImax"), "NumCycles", F.size("curve").alias("n_slots"), F.size("days").alias("n_days"))
+
+
+@_query("select site_id, cell, count(*) as n, count(vi) as clear, round(avg(vi), 6) as mean_vi from vi group by site_id, cell", "vi")
+def a11_bucketed_cells(spark, sf):
+    """The series as a table in buckets of its cells; grouping by cell then needs no shuffle."""
+    path = T.scratch_path(spark, "cells")
+    name = f"cells_{path.rpartition('-')[2]}"
+    T.write_cells(X.series(spark, sf), name, path, 16)
+    return spark.table(name).groupBy(*CELL).agg(F.count("*").alias("n"), F.count("vi").alias("clear"), F.round(F.avg("vi"), 6).alias("mean_vi"))

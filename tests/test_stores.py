@@ -103,6 +103,21 @@ def test_single_cells_come_from_their_chunk_alone(spark, small, tmp_path):
     assert scan.selectedPartitions().partitionCount() == len({min((c - 1) // (n // 5), 4) for c in cells})
 
 
+def test_the_chain_of_stored_cells_is_shuffled_by_cell_and_year_alone(spark, small, tmp_path):
+    """From a table in buckets of its cells: the same rows, no join by year and no shuffle before the two best cycles meet."""
+    series, water = X.series(spark, small), X.water(spark, small)
+    try:
+        T.write_cells(series, "stored_cells", f"{tmp_path}/cells", 4)
+        got = P.phenology(spark.table("stored_cells"), water, Q.PARAMS)
+        own = lambda df: sorted(tuple(round(v, 6) if isinstance(v, float) else v for v in r) for r in df.collect())
+        assert own(got) == own(P.phenology(series, water, Q.PARAMS)) and got.count() > 20
+        plan = P.phenology(spark.table("stored_cells"), water, Q.PARAMS)._jdf.queryExecution().executedPlan().toString()
+        shuffles = [line for line in plan.split("\n") if "Exchange hashpartitioning" in line]
+        assert len(shuffles) == 1 and re.search(r"cell#\d+L, year#\d+", shuffles[0]) and "InMemoryTableScan" not in plan, shuffles
+    finally:
+        spark.sql("drop table if exists stored_cells")
+
+
 def test_smoothed_density_equals_a_plain_convolution(spark):
     rng = np.random.default_rng(3)
     grid = np.zeros((40, 40))
