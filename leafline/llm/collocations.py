@@ -18,16 +18,16 @@ from .shared import release_worker, table_or_shuffle, written
 BREAK = -1  # the id between pieces, and of words that no frequent phrase can hold
 SLICE_DOCS = 256  # documents whose words are in a Python worker's memory at once
 WINDOW = 1 << 22  # bytes of text that are split into words at once
-WORDS_HELD = 1_000_000  # words that a task counts before it sends them on
+WORDS_HELD = 300_000  # words that a task counts before it sends them on
 RANKED_WORDS = 500_000  # words with ids of their own
 RANKED_PHRASES = 1_000_000  # phrases of a length with ids of their own
 LOOKED_UP = 500_000  # rows of a table of phrases that is broadcast
 SIDE = 1024  # ranks along a side of a tile
 HEAD = 256  # tiles along each side of the square that may have dense tiles
-DENSE_FROM = 1 << 16  # pairs at once from which a tile is counted densely
-DENSE_TILES = 24  # of a task, of 8 MB each
-PENDING = 1 << 23  # pairs before a task counts them
-SPARSE_HELD = 1 << 22  # counts of pairs outside dense tiles before a task sends them on
+DENSE_FROM = 1 << 15  # pairs at once from which a tile is counted densely
+DENSE_TILES = 8  # of a task, of 8 MB each
+PENDING = 1 << 20  # pairs before a task counts them
+SPARSE_HELD = 1 << 20  # counts of pairs outside dense tiles before a task sends them on
 
 _LOW = bytes.maketrans(b".,;:!?\n\v\f\r\t", b"\xff" * 10 + b" ")
 
@@ -241,8 +241,8 @@ def _phrases(coded: DataFrame, length: int, levels, whole: list[bool], narrow: b
                 yield from rows(lang, w, c)
 
         for batch in it:
-            for lang, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                x = np.frombuffer(raw, np.int32 if narrow else np.int64).astype(np.int64)
+            for lang, raw in zip(batch.column(0).to_pylist(), batch.column(1)):
+                x = np.frombuffer(raw.as_buffer(), np.int32 if narrow else np.int64).astype(np.int64)
                 if len(x) < length:
                     continue
                 own = x
