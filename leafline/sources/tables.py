@@ -27,6 +27,10 @@ FEATURES = (
 SITE = "features array<struct<properties: struct<name: string>, geometry: struct<coordinates: array<array<array<double>>>>>>"
 
 
+#: Rows of the table of file splits, one for each, up to which it is broadcast, so that no line is shuffled.
+BROADCAST_SPLITS = 1_000_000
+
+
 @lru_cache(maxsize=1)
 def _local_folder() -> str:
     return tempfile.mkdtemp(prefix="spark-", dir="/tmp")
@@ -85,6 +89,7 @@ def scan_csv_skip(spark: SparkSession, path: str, skip: int, schema: str) -> Dat
     splits = spark.read.parquet(kept)
     before = F.sum("_n").over(Window.partitionBy("path").orderBy("_split")) - F.col("_n")
     splits = splits.select("path", "_split", (before - F.col("_first")).alias("_shift"))
+    splits = F.broadcast(splits) if splits.count() <= BROADCAST_SPLITS else splits
     lines = text.join(splits, ["path", "_split"]).where((F.col("_id") + F.col("_shift") >= skip) & (F.col("value") != ""))
     return lines.select("path", F.from_csv("value", schema).alias("r")).select("path", "r.*")
 
