@@ -19,12 +19,12 @@ from .series import KEYS
 def find_peaks(curve: DataFrame, keys: list[str], slot: str = "day_idx", value: str = "v") -> DataFrame:
     """``(keys, peak, value)``: slots where a rise turns into a fall, the middle of a flat top; never an end."""
     w = Window.partitionBy(*keys).orderBy(slot)
-    step = curve.select(*keys, slot, direction_code(F.lead(value).over(w) - F.col(value)).alias("code")).where("code <> 0")
-    turn = step.select(*keys, slot, "code", F.lead("code").over(w).alias("then"), F.lead(slot).over(w).alias("at"))
+    top = F.lead(value).over(w)
+    step = curve.select(*keys, slot, top.alias("_top"), direction_code(top - F.col(value)).alias("code")).where("code <> 0")
+    turn = step.select(*keys, slot, "_top", "code", F.lead("code").over(w).alias("then"), F.lead(slot).over(w).alias("at"))
     mid = F.col(slot) + 1 + F.bround((F.col("at") - F.col(slot) - 1) / 2).cast("int")
-    peaks = turn.where("code = 1 and then = 2").select(*keys, mid.alias("peak"))
-    values = curve.select(*keys, F.col(slot).alias("peak"), value)
-    return peaks.join(values, [*keys, "peak"]).select(*keys, "peak", value)
+    # all of a flat top has the value that the rise leads to
+    return turn.where("code = 1 and then = 2").select(*keys, mid.alias("peak"), F.col("_top").alias(value))
 
 
 def peaks_by_magnitude(peaks: DataFrame, keys: list[str], value: str = "v") -> DataFrame:

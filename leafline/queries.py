@@ -446,14 +446,16 @@ def _simple_segments(spark, sf):
     _SEGS
     + """ select l.site_id, l.cell, l.year, s as seg_start, p as seg_peak, e as seg_end,
  min(case when c.day_idx between s and p and round_even(c.v,6) >= round_even(vs+(vp-vs)*0.15,6) then c.day_idx end) as up1,
+ min(case when c.day_idx between s and p and round_even(c.v,6) >= round_even(vs+(vp-vs)*0.5,6) then c.day_idx end) as up2,
  min(case when c.day_idx between s and p and round_even(c.v,6) >= round_even(vs+(vp-vs)*0.9,6) then c.day_idx end) as up3,
  max(case when c.day_idx between p and e and round_even(c.v,6) >= round_even(ve+(vp-ve)*0.9,6) then c.day_idx end) as down1,
+ max(case when c.day_idx between p and e and round_even(c.v,6) >= round_even(ve+(vp-ve)*0.5,6) then c.day_idx end) as down2,
  max(case when c.day_idx between p and e and round_even(c.v,6) >= round_even(ve+(vp-ve)*0.15,6) then c.day_idx end) as down3
  from lev l join c on c.site_id=l.site_id and c.cell=l.cell and c.year=l.year group by all""",
     "slots",
 )
 def k12_pheno_dates(spark, sf):
-    names = ["seg_start", "seg_peak", "seg_end", "up1", "up3", "down1", "down3"]
+    names = ["seg_start", "seg_peak", "seg_end", "up1", "up2", "up3", "down1", "down2", "down3"]
     return cycles.pheno_dates(_simple_segments(spark, sf)).select(*BY, *(F.col(c).cast("long").alias(c) for c in names))
 
 
@@ -462,12 +464,15 @@ def k12_pheno_dates(spark, sf):
     + """, o as (select site_id, cell, year, obs_date - win_start + 1 as d, vi from good join years on obs_date between win_start and win_end),
  j as (select l.site_id, l.cell, l.year, s, p, e, o.d, o.vi, c.v from lev l join o using (site_id, cell, year) join c on c.site_id=l.site_id and c.cell=l.cell and c.year=l.year and c.day_idx=o.d),
  g as (select site_id, cell, year, s, p, e, count_if(d between s and p) as up_n, count_if(d between p and e) as down_n,
-  sum(case when d between s and p then (vi-v)*(vi-v) end) as sse, var_pop(vi) filter (where d between s and p) * count_if(d between s and p) as sst from j group by all),
+  sum(case when d between s and p then (vi-v)*(vi-v) end) as sse, var_pop(vi) filter (where d between s and p) * count_if(d between s and p) as sst,
+  sum(case when d between p and e then (vi-v)*(vi-v) end) as sse2, var_pop(vi) filter (where d between p and e) * count_if(d between p and e) as sst2 from j group by all),
  h as (select l.site_id, l.cell, l.year, max(c.v)-min(c.v) as amp, sum(c.v) as area from lev l join c on c.site_id=l.site_id and c.cell=l.cell and c.year=l.year and c.day_idx between s and e group by all),
  b as (select site_id, cell, year, d from j where d between s and p union all select site_id, cell, year, s from lev union all select site_id, cell, year, p from lev),
- x as (select site_id, cell, year, max(dd) as up_gap from (select site_id, cell, year, d - lag(d) over (partition by site_id, cell, year order by d) as dd from b) group by all)
- select site_id, cell, year, up_n, down_n, round(1-sse/nullif(sst,0),4) as up_r2, round(amp,6) as amp, round(area,6) as area, up_gap
- from g join h using (site_id, cell, year) join x using (site_id, cell, year) where up_n > 0 and down_n > 0""",
+ x as (select site_id, cell, year, max(dd) as up_gap from (select site_id, cell, year, d - lag(d) over (partition by site_id, cell, year order by d) as dd from b) group by all),
+ b2 as (select site_id, cell, year, d from j where d between p and e union all select site_id, cell, year, p from lev union all select site_id, cell, year, e from lev),
+ x2 as (select site_id, cell, year, max(dd) as down_gap from (select site_id, cell, year, d - lag(d) over (partition by site_id, cell, year order by d) as dd from b2) group by all)
+ select site_id, cell, year, up_n, down_n, round(1-sse/nullif(sst,0),4) as up_r2, round(amp,6) as amp, round(area,6) as area, up_gap, round(1-sse2/nullif(sst2,0),4) as down_r2, down_gap
+ from g join h using (site_id, cell, year) join x using (site_id, cell, year) join x2 using (site_id, cell, year) where up_n > 0 and down_n > 0""",
     "slots", "good",
 )
 def k13_segment_metrics(spark, sf):
@@ -478,6 +483,7 @@ def k13_segment_metrics(spark, sf):
     return out.select(
         *BY, F.col("up_n").cast("long").alias("up_n"), F.col("down_n").cast("long").alias("down_n"), F.round("up_r2", 4).alias("up_r2"),
         F.round("amp", 6).alias("amp"), F.round("area", 6).alias("area"), F.col("up_gap").cast("long").alias("up_gap"),
+        F.round("down_r2", 4).alias("down_r2"), F.col("down_gap").cast("long").alias("down_gap"),
     )
 
 

@@ -91,7 +91,7 @@ def a5_scan_csv_skip(spark, sf):
  round(max(20.0 + (s_suppkey % 4000) / 100.0), 4) as north from supplier group by all"""
 )
 def a6_scan_station_meta(spark, sf):
-    """Suppliers go out as station files, a nested JSON document each."""
+    """Suppliers go out as stations' nested JSON documents, one a line."""
     path = T.scratch_path(spark, "stations")
     k = F.col("s_suppkey")
     station = F.struct(
@@ -99,8 +99,8 @@ def a6_scan_station_meta(spark, sf):
         F.lit(100.0).alias("elevation"), F.when(F.col("s_nationkey") % 2 == 0, "DB").otherwise("EN").alias("primary_veg_type"),
         F.lit("2016-01-01").alias("date_start"), F.lit("2021-12-31").alias("date_end"),
     )
-    _one_row_a_file(X.table(spark, sf, "supplier").select(station.alias("phenocam_site"))).json(path)
-    found = T.scan_station_meta(spark, path).groupBy(F.col("primary_veg_type").alias("veg"))
+    X.table(spark, sf, "supplier").select(station.alias("phenocam_site")).write.json(path)
+    found = T.scan_station_meta(spark, path, a_line_each=True).groupBy(F.col("primary_veg_type").alias("veg"))
     return found.agg(F.count("*").alias("n"), F.round(F.min("lat"), 4).alias("south"), F.round(F.max("lat"), 4).alias("north"))
 
 

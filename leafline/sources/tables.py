@@ -94,8 +94,9 @@ def scan_csv_skip(spark: SparkSession, path: str, skip: int, schema: str) -> Dat
     return lines.select("path", F.from_csv("value", schema).alias("r")).select("path", "r.*")
 
 
-def scan_station_meta(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(STATION).option("multiLine", True).json(path).select("phenocam_site.*")
+def scan_station_meta(spark: SparkSession, path: str, a_line_each: bool = False) -> DataFrame:
+    """Stations' documents: a file each, or many in a file that Spark may split, each on a line of its own."""
+    return spark.read.schema(STATION).option("multiLine", not a_line_each).json(path).select("phenocam_site.*")
 
 
 def scan_catalog(spark: SparkSession, path: str) -> DataFrame:
