@@ -162,7 +162,9 @@ def encode_documents(
     """``(id, n_tokens, ids)``: each whole text's token ids, packed as little-endian unsigned 32-bit integers.
 
     The rank file is read on the executors from ``ranks_path``. Null counts as empty, which has no
-    ids; every row gives a row, so repeated ids and null ids stay. Nothing is shuffled.
+    ids; every row gives a row, so repeated ids and null ids stay. Nothing is shuffled. Words are looked
+    up in a table of those seen before, which is right only for a ``pattern`` that cuts a text at a blank
+    after a visible character, as ``public_tokenizers.PATTERN`` does.
     """
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -198,7 +200,7 @@ def round_trip(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "do
     """``(id, n_tokens, ids, decoded)``: :func:`encode_documents`, then :func:`decode_documents`, in one pass.
 
     Both steps in a row would take two Python workers a task, each with tables of its own. The
-    bytes are decoded from the packed ids alone.
+    bytes are decoded from the packed ids alone. ``pattern`` as there.
     """
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -82,7 +82,9 @@ def _tokens(path: str) -> Tokens:
 def token_ids(docs: DataFrame, tokenizer_path: str, end_id: int | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(id, n_tokens, lo, hi, counts)``: ids of whole texts, the low and the high 16 bits apart (``hi`` null if all zero).
 
-    Each task adds a last row that has nothing but ``counts``: how often it has seen each id.
+    Each task adds a last row that has nothing but ``counts``: how often it has seen each id. Words
+    are looked up in a table of those seen before, which is right only for tokenizers that cut a text
+    at a blank after a visible character, as byte-level ones with the usual patterns do.
     """
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -256,7 +258,8 @@ def write_files(ids: DataFrame, path: str, id_col: str = "doc_id", block_tokens:
     the driver. Ids are dealt out by ranges of document ids and encoded there, a block at a time;
     ``ids`` should be a written table, as the ranges are found by a scan of its own. Rows with one
     id stay together, ordered by their tokens; null ids come first; a document without a token is
-    an empty stretch of its block. No row gives no block.
+    an empty stretch of its block. No row gives no block. Codes have 18 bits at most, so more than
+    2^18 distinct ids raise a ``ValueError``.
     """
     spark = ids.sparkSession
     rows = token_counts(ids).orderBy("token").collect()
