@@ -20,7 +20,7 @@ BANDS, ROWS = 32, 5  # at similarity 0.8 all bands miss with probability 3e-6, a
 BATCH = 64  # bits of the signature that are compared at a time: a long
 MISS = 1e-6
 WORDS_KEPT = 200_000  # word hashes that a Python worker keeps
-STAR_ROUNDS = 2
+STAR_ROUNDS = 1
 BLOCK_BYTES, BLOCK_SETS = 1 << 21, 512  # of the sets of a key that are compared with another such block at once
 SEED = 42
 
