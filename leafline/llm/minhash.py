@@ -274,7 +274,7 @@ def _links(nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str, width:
 
 
 def components(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, least: float = 0.8, miss: float = MISS
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, least: float = 0.8, miss: float = MISS, link_empty: bool = False
 ) -> DataFrame:
     """``(id, n_shingles, component_id)`` per row: the smallest id that links of Jaccard ``least`` between shingle sets reach.
 
@@ -287,7 +287,7 @@ def components(
     components is found; so only links become rows, and no key is one task.
 
     A text of fewer words than ``width`` is one shingle; a null, empty or blank one has no shingle
-    and links with nothing. Rows come back as often as they are there. Rows that share an id are
+    and links with nothing, or with all others of its kind if ``link_empty``. Rows come back as often as they are there. Rows that share an id are
     linked by their texts alone. A row with a null id keeps it, links like any other and never names
     a component: where no id is reachable, its component is null.
     """
@@ -303,9 +303,12 @@ def components(
         of = written(comps.join(table_or_shuffle(smallest), "component").select("node", "low"), "node-ids")
         found = found.join(table_or_shuffle(of), "node", "left").withColumn("rep", F.coalesce("low", "rep"))
     named = written(found.select("set_key", F.col("rep").alias("of_set")), "set-ids")
+    alone = F.col("id")
+    if link_empty:
+        alone = F.lit(prints.where("n = 0").agg(F.min("id")).first()[0])
     out = prints.select("id", "n", "set_key").join(table_or_shuffle(named), "set_key", "left")
     return out.select(
-        F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("of_set")).otherwise(F.col("id")).alias("component_id")
+        F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("of_set")).otherwise(alone).alias("component_id")
     )
 
 
@@ -315,9 +318,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", **how) -> DataFrame
 
 
 def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """``docs`` without those whose id isn't the smallest of its component.
+    """``docs`` without those whose id isn't the smallest of its component; texts without a word are copies of one another.
 
     Rows that share an id are one document and stay or go together; rows with a null id stay.
     """
-    later = components(docs, id_col, text_col, **how).where(F.col(id_col) != F.col("component_id"))
+    later = components(docs, id_col, text_col, link_empty=True, **how).where(F.col(id_col) != F.col("component_id"))
     return without_ids(docs, written(later.select(id_col), "copies"), id_col)

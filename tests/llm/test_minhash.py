@@ -89,7 +89,7 @@ def test_keeping_one_of_each_and_empty_tables(spark):
     assert minhash.near_duplicates(none, width=2).count() == 0 and minhash.keep_one_of_each(none).count() == 0
     rows = [(3, "a b c d e f"), (2, "A B c d e f"), (None, "a b c d e f"), (5, None), (6, None), (2, "q"), (8, "q")]
     left = minhash.keep_one_of_each(_frame(spark, rows))
-    assert sorted(((r["doc_id"], r["text"]) for r in left.collect()), key=repr) == sorted([rows[1], rows[2], rows[3], rows[4], rows[5]], key=repr)
+    assert sorted(((r["doc_id"], r["text"]) for r in left.collect()), key=repr) == sorted([rows[1], rows[2], rows[3], rows[5]], key=repr)  # 6 is empty as 5 is
     assert left.columns == _frame(spark, rows).columns
 
 
