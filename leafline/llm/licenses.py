@@ -6,13 +6,14 @@ import re
 from collections import OrderedDict
 from collections.abc import Container, Iterator
 from dataclasses import dataclass
+from importlib.resources import files
 from math import ceil, floor
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 # Wording of public licences, of their headers and of the notices that name them.
-TEMPLATES = {
+TEMPLATES: dict[str, tuple[str, ...]] = {
     "AGPL-3.0": (
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License "
         "as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program "
@@ -135,6 +136,10 @@ TEMPLATES = {
         "altered from any source distribution.",
     ),
 }
+#: The whole texts of licences too long to stand here, as published; a file each, named after its licence.
+TEXTS = {f.name.removesuffix(".txt"): f.read_text(encoding="utf-8") for f in files(__package__).joinpath("license_texts").iterdir()}
+#: All that is looked for unless told otherwise.
+EVERY = TEMPLATES | {name: (*TEMPLATES.get(name, ()), text) for name, text in TEXTS.items()}
 WORD = re.compile("[a-z0-9]+")
 LINE_END = re.compile("\r\n|\r|\n")
 
@@ -266,7 +271,7 @@ def scan(
     """``(id, license, dice, n_units)``: the licences of which each document holds a notice or the text.
 
     Compared are each whole text, its paragraphs (between empty lines) and its lines, each distinct
-    unit once. A licence may have several templates (a notice, a header, the text). For a template that
+    unit once. A licence may have several templates (a notice, a header, the text); by default ``EVERY``. For a template that
     no unit reaches, every run of consecutive lines is compared (``\\r\\n`` and ``\\r`` end lines too).
     ``dice`` is the best score of all, rounded to six places; ``n_units`` counts the units that reach a
     template or, if there are none, the runs that don't overlap. Licences of nearly
@@ -274,7 +279,7 @@ def scan(
     out templates before any comparison. Null and empty texts hold none; every row of a repeated id
     reports. The templates are a fixed list and go with the task; nothing is shuffled.
     """
-    scanner = Scanner.of(TEMPLATES if templates is None else templates, dice)
+    scanner = Scanner.of(EVERY if templates is None else templates, dice)
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:

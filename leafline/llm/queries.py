@@ -143,7 +143,7 @@ def _literal(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
 
-_TEMPLATES = ", ".join(f"({_literal(k)}, {_literal(v)})" for k, forms in licenses.TEMPLATES.items() for v in forms)
+_TEMPLATES = ", ".join(f"({_literal(k)}, {_literal(v)})" for k, forms in licenses.EVERY.items() for v in forms)
 
 ORACLE_SQL = {
     "op4_license_scan": f"""

@@ -465,3 +465,23 @@ def test_nearest_verifies_fewer_rows_than_all():
     want = np.argsort(-s, axis=1)[:, :20]
     hits = sum(len(set(b[a == i]) & set(want[i])) for i in range(300))
     assert hits / 6000 >= 0.9 and verified < 0.67 * 300 * 6000 and np.allclose(score, s[a, b])
+
+
+def test_whole_licence_texts(spark):
+    """Long texts as published, with lines wrapped anew, with a tenth of the words changed, and within a longer text."""
+    import textwrap
+
+    rng = random.Random(2)
+    names = ["Apache-2.0", "CC0-1.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0"]
+    around = "\n".join(f"line {i} of some longer document about thing {i * i}" for i in range(60))
+    rows, want = [], []
+    for k, name in enumerate(names):
+        text = licenses.TEXTS[name]
+        assert len(text) > 5000
+        words = [f"other{rng.randrange(99)}" if rng.random() < 0.08 else w for w in text.split()]
+        forms = [text, textwrap.fill(text, 50), "\r\n".join(textwrap.wrap(" ".join(words), 70)), f"{around}\n{text}\n{around}", " ".join(text.split()[: len(text.split()) // 2])]
+        rows += [(10 * k + i, form) for i, form in enumerate(forms)]
+        want += [(10 * k + i, name) for i in range(4)]
+    got = {(r["doc_id"], r["license"]): r["dice"] for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(got[w] >= 0.8 for w in want) and all(got[10 * k, name] == 1.0 for k, name in enumerate(names))
+    assert not any((10 * k + 4, name) in got for k, name in enumerate(names) if name not in ("Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-3.0", "MPL-2.0"))
