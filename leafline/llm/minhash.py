@@ -237,8 +237,8 @@ def _side(held: DataFrame, side: str) -> DataFrame:
     return held.select("key", F.col("node").alias(side), F.col("n").alias(f"n{side}"), F.col("comp").alias(f"c{side}"), *sig)
 
 
-def _links(nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str, width: int, least: float, miss: float) -> DataFrame | None:
-    """``(node, component)`` of sets that are linked with another, or None."""
+def _links(nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str, width: int, least: float, miss: float, groups: DataFrame | None = None) -> DataFrame | None:
+    """``(node, component)`` of sets that are linked with another, or None; sets of ``groups``, ``(rep, group)``, are compared with their first before any others."""
     sig = [F.col("sig")[i].alias(f"s{i}") for i in range(HASHES // BATCH)]
     tokens = nodes.select("node", "n", *sig, F.explode("bands").alias("key"))
     often = written(tokens.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key"), "shared-keys")
@@ -251,8 +251,14 @@ def _links(nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str, width:
         return _sets_of(own, docs, id_col, text_col, width)
 
     links = comps = None
-    for turn in range(STAR_ROUNDS + 1):
-        if turn < STAR_ROUNDS:  # each set is compared with one of its group, in each turn with another
+    for turn in range(0 if groups is None else -1, STAR_ROUNDS + 1):
+        if turn < 0:
+            grouped = written(nodes.select("node", "rep").join(groups, "rep").select("node", "group").distinct(), "grouped-sets")
+            firsts = written(grouped.groupBy("group").agg(F.min("node").alias("a"), F.max("node").alias("last")).where("a < last").select("group", "a"), "group-firsts")
+            pairs = grouped.join(table_or_shuffle(firsts), "group").where("a < node").select("a", F.col("node").alias("b"))
+            pairs = written(pairs.distinct(), "group-pairs")
+            more = _confirmed(pairs, sets_of(pairs.select(F.col("a").alias("node")).union(pairs.select("b"))), least)
+        elif turn < STAR_ROUNDS:  # each set is compared with one of its group, in each turn with another
             order = F.xxhash64("node", F.lit(turn))
             stars = held.groupBy("key").agg(F.min(order).alias("first"))
             stars = _side(held.join(stars, (held["key"] == stars["key"]) & (order == F.col("first"))).select(held["*"]), "a")
@@ -265,7 +271,7 @@ def _links(nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str, width:
             links = more if links is None else links.union(more)
             comps = written(connected_components(links), "minhash-comps")
             held = held.drop("comp").join(comps.withColumnRenamed("component", "comp"), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-        if turn < STAR_ROUNDS:
+        if 0 <= turn < STAR_ROUNDS:
             mixed = held.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
             held = written(held.join(table_or_shuffle(written(mixed, "mixed-keys")), "key", "left_semi"), "mixed-bands")
             if held.isEmpty():
@@ -274,8 +280,9 @@ def _links(nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str, width:
 
 
 def components(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, least: float = 0.8, miss: float = MISS, link_empty: bool = False
-) -> DataFrame:
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, least: float = 0.8, miss: float = MISS, link_empty: bool = False,
+    groups: DataFrame | None = None,
+) -> DataFrame:
     """``(id, n_shingles, component_id)`` per row: the smallest id that links of Jaccard ``least`` between shingle sets reach.
 
     Equal sets meet before any join. Sets that share a band's key are candidates; a pair is dropped
@@ -289,13 +296,17 @@ def components(
     A text of fewer words than ``width`` is one shingle; a null, empty or blank one has no shingle
     and links with nothing, or with all others of its kind if ``link_empty``. Rows come back as often as they are there. Rows that share an id are
     linked by their texts alone. A row with a null id keeps it, links like any other and never names
-    a component: where no id is reachable, its component is null.
+    a component: where no id is reachable, its component is null. ``groups`` has ids and a ``group``
+    that another method gave them: rows are compared with the first of their group on whole sets
+    before bands are, so those that it links aren't compared again. It adds no link that isn't one.
     """
     prints = written(_prints(docs, id_col, text_col, width), "minhash-prints")
     first = {c: F.first(c).alias(c) for c in ("n", "sig", "bands")}
     nodes = prints.where("n > 0").groupBy("set_key").agg(F.min("id").alias("rep"), *first.values()).withColumn("node", F.monotonically_increasing_id())
     nodes = written(nodes, "minhash-sets")
-    comps = _links(nodes, docs, id_col, text_col, width, least, miss)
+    if groups is not None:
+        groups = groups.select(F.col(id_col).alias("rep"), "group").where("rep is not null")
+    comps = _links(nodes, docs, id_col, text_col, width, least, miss, groups)
     found = nodes.select("set_key", "rep", "node")
     if comps is not None:
         linked = comps.join(found, "node")

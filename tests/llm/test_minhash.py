@@ -6,6 +6,7 @@ from math import comb
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from leafline.llm import minhash
 
@@ -147,3 +148,24 @@ def test_signatures_agree_as_often_as_said():
             agree.append((x == y).mean())
             assert abs((a == b).mean() - share) < 0.15
         assert abs(np.mean(agree) - (1 + share) / 2) < 0.02
+
+
+def test_near_dedup_goes_by_simhash_first(spark, monkeypatch):
+    """Links of the named method are made and confirmed before any band is; wrong groups add none, and the same rows stay."""
+    import corpus_pipeline
+
+    from leafline.llm import simhash
+
+    rng = random.Random(9)
+    texts = _families(rng)
+    rows = list(enumerate(texts)) + [(500 + i, t + " end") for i, t in enumerate(texts[:40])] + [(None, texts[3]), (990, None), (991, " ")]
+    docs = _frame(spark, rows)
+    want = {r["doc_id"] for r in minhash.keep_one_of_each(docs, width=5, least=0.8).collect()}
+    asked, plain = [], minhash._confirmed
+    monkeypatch.setattr(minhash, "_confirmed", lambda pairs, *a: asked.append((pairs.count(), (out := plain(pairs, *a)).count())) or out)
+    assert {r["doc_id"] for r in corpus_pipeline.near_dedup(spark, docs, "").collect()} == want
+    groups = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(docs, width=5).collect()}
+    linked = len(groups) - len(set(groups.values()))
+    assert linked > 5 and len(asked) > 1 and 0 < asked[0][1] <= asked[0][0] <= len(rows)
+    wrong = docs.select("doc_id", F.lit(1).alias("group"))
+    assert {r["doc_id"] for r in minhash.keep_one_of_each(docs, width=5, least=0.8, groups=wrong).collect()} == want
