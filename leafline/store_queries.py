@@ -71,7 +71,7 @@ def a7_page_chains(spark, sf):
 )
 def d14_smoothed_density(spark, sf):
     pairs = X.table(spark, sf, "lineitem").select(F.col("l_quantity").cast("double").alias("x"), F.col("l_extendedprice").cast("double").alias("y"))
-    hx, hy = pairs.agg(matchup.bandwidth("x"), matchup.bandwidth("y")).first()
+    hx, hy = matchup.bandwidths(pairs, ["x", "y"])
     counts = matchup.density_2d(pairs, "x", "y", 0.0, 50.0, 0.0, 110000.0, 50)
     smoothed = matchup.smoothed_density(counts, 1.0, 2200.0, hx, hy, 50)
     return smoothed.select("bx", "by", F.round(F.col("density") * 1e6, 6).alias("density"))

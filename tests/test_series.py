@@ -225,3 +225,15 @@ def test_sources_round_trip(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "daily")).where(F.col("year") == 2017).count() == 1
     T.write_chunks(daily.withColumn("chunk", F.lit(3)), str(tmp_path / "chunks"))
     assert T.read_chunk(spark, str(tmp_path / "chunks"), 3).count() == 1 and T.read_chunk(spark, str(tmp_path / "chunks"), 4).count() == 0
+
+
+def test_percentiles_equal_the_aggregate(spark):
+    """Ties, nulls, one value, none; the same as the aggregate that holds all distinct values in one task."""
+    rows = [(float(i * 37 % 101) / 7, float(i % 3)) for i in range(400)] + [(None, None), (-5.0, 1.0), (1e9, 2.0)]
+    df = spark.createDataFrame(rows, "a double, b double").repartition(5)
+    shares = [0.0, 0.05, 0.5, 0.95, 1.0]
+    for c in ("a", "b"):
+        want = df.agg(*(F.percentile(c, F.lit(s)) for s in shares)).first()
+        assert matchup.percentiles(df, c, shares) == pytest.approx(list(want))
+    assert matchup.percentiles(df.where("a = 1e9"), "a", [0.05, 0.95]) == [1e9, 1e9] and matchup.percentiles(df.limit(0), "a", [0.5]) == [None]
+    assert matchup.bandwidths(df, ["a", "b"]) == pytest.approx(list(df.agg(matchup.bandwidth("a"), matchup.bandwidth("b")).first()))
