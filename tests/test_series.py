@@ -237,3 +237,28 @@ def test_percentiles_equal_the_aggregate(spark):
         assert matchup.percentiles(df, c, shares) == pytest.approx(list(want))
     assert matchup.percentiles(df.where("a = 1e9"), "a", [0.05, 0.95]) == [1e9, 1e9] and matchup.percentiles(df.limit(0), "a", [0.5]) == [None]
     assert matchup.bandwidths(df, ["a", "b"]) == pytest.approx(list(df.agg(matchup.bandwidth("a"), matchup.bandwidth("b")).first()))
+
+
+def test_nearest_dates_and_stations_of_one_place_make_no_rows_of_their_own(spark):
+    """Against all pairs; left rows stay as they come, and the plan neither multiplies nor groups them."""
+    rng = np.random.default_rng(4)
+    day = lambda n: date(2015, 1, 1) + timedelta(days=int(n))
+    left = [(int(rng.integers(5)), i, day(rng.integers(2000))) for i in range(120)] + [(1, 900, None), (None, 901, day(5))]
+    right = [(int(rng.integers(5)), day(rng.integers(2000))) for _ in range(60)] + [(1, None), (2, day(7)), (2, day(7))]
+    out = matchup.nearest_within(spark.createDataFrame(left, "k int, i int, d date"), spark.createDataFrame(right, "k int, e date"), ["k"], "d", "e", 40)
+    want = []
+    for k, i, d in left:
+        near = [(abs((d - e).days), e) for q, e in right if d and e and q == k and abs((d - e).days) < 40]
+        want += [(k, i, d, min(near)[1], min(near)[0])] if near else []
+    assert sorted(map(tuple, out.collect())) == sorted(want) and 20 < len(want) < 120
+    stations = [(s, 4.0 * (s % 3), 0.0, "v") for s in range(60)]
+    cells = [(1, 4.0 * c, 30.0, 2016 + y, "rising", 100 + 10 * c + y) for c in range(3) for y in range(2)]
+    seen = [(s, "rising", date(2016 + y, 4, 1) + timedelta(days=s % 9)) for s in range(60) for y in range(2)]
+    asked, plain = [], matchup.buffer_extract
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(matchup, "buffer_extract", lambda points, *a: asked.append(points.count()) or plain(points, *a))
+        got, = matchup.station_matchup(
+            spark.createDataFrame(stations, "station int, x double, y double, veg string"), spark.createDataFrame([(1, -9.0, 99.0, -9.0, 99.0)], "site int, x0 double, x1 double, y0 double, y1 double"),
+            spark.createDataFrame(cells, "site int, cx double, cy double, year int, direction string, value int"), spark.createDataFrame(seen, "station int, direction string, seen date"), ["veg"],
+        ).collect()
+    assert asked == [3] and got["n"] == 120
