@@ -56,7 +56,7 @@ def a7_page_chains(spark, sf):
     link = link.when(F.col("c") % 50 == 1, name("second"))
     features = F.array(F.struct(F.col("k").cast("string").alias("id")))
     rows.select(F.struct(name("k").alias("_self"), link.alias("_next")).alias("_links"), features.alias("features")).write.json(path)
-    starts = rows.select(name("first").alias("start"))
+    starts = each.select(F.get("ks", F.lit(0)).alias("first")).select(name("first").alias("start"))
     return catalog.follow_pages(T.scan_pages(spark, path), starts)
 
 

@@ -132,3 +132,15 @@ def test_smoothed_density_equals_a_plain_convolution(spark):
         got[r["bx"], r["by"]] = r["density"]
     assert np.allclose(got, want, atol=1e-12) and want.sum() * wx * wy == pytest.approx(1, abs=0.2)
     assert matchup.smoothed_density(counts.limit(0), wx, wy, hx, hy, 40).count() == 0
+
+
+def test_ended_chains_of_pages_are_written_no_more(spark, tmp_path, monkeypatch):
+    """One long chain beside many short ones: the rounds of the long one don't write the short ones again."""
+    names = iter(range(1000))
+    monkeypatch.setattr(catalog, "scratch_path", lambda spark, name: str(tmp_path / f"{name}-{next(names)}"))
+    links = [(f"s{i}", None) for i in range(300)] + [(f"a{i}", f"a{i + 1}") for i in range(40)] + [("a40", None)]
+    starts = [(f"s{i}",) for i in range(300)] + [("a0",)]
+    out = catalog.follow_pages(spark.createDataFrame(links, "page string, next string"), spark.createDataFrame(starts, "start string"))
+    assert out.count() == 341
+    wrote = sum(spark.read.parquet(str(p)).count() for p in tmp_path.iterdir() if p.name.startswith("page-chains"))
+    assert wrote < 300 * 2 + 41 * 6
