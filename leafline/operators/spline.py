@@ -10,10 +10,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 CURVES = 256  # that are solved together
-ROWS = 64  # cells whose years are
 
 
 def knot_count(n: int) -> int:
@@ -219,38 +217,6 @@ def smooth(points: DataFrame, keys: list[str], slots: int = 735, spar: float = 0
     return points.select(*keys, "xs", "ys", "ws", "dormant").mapInArrow(batches, f"{kinds}, curve array<double>")
 
 
-def smooth_each(cells: DataFrame, points: str, out: str, slots: int = 735, spar: float = 0.55) -> DataFrame:
-    """``cells`` with ``out``: the splines of the curves in ``points``, an array of arrays of ``(x, y, w)``, raised to ``dormant`` where below.
-
-    A curve that can't be fitted is null. The row stays one row, so nothing is shuffled.
-    """
-    at = np.arange(1, slots + 1, dtype=float)
-
-    def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in it:
-            i = 0
-            while i < whole.num_rows:
-                batch = whole.slice(i, ROWS)
-                i += ROWS
-                curves = batch.column(points)
-                n_curves = pc.fill_null(pc.list_value_length(curves), 0).to_numpy()
-                each = curves.flatten()
-                xyw = each.flatten()
-                curve = np.repeat(np.arange(len(each)), pc.fill_null(pc.list_value_length(each), 0).to_numpy())
-                x, y, w = (pc.cast(xyw.field(k), pa.float64()).to_numpy(zero_copy_only=False) for k in range(3))
-                fit = smoothing_splines(curve, x, y, w, len(each), at, spar)
-                low = np.repeat(pc.cast(batch.column("dormant"), pa.float64()).to_numpy(zero_copy_only=False), n_curves)[:, None]
-                fit = np.where(fit < low, low, fit)
-                known = np.isfinite(fit).all(axis=1)
-                ends = np.concatenate([[0], np.cumsum(np.where(known, slots, 0))]).astype(np.int32)
-                lists = pa.ListArray.from_arrays(ends, fit[known].ravel(), mask=pa.array(~known))
-                tops = np.concatenate([[0], np.cumsum(n_curves)]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.ListArray.from_arrays(tops, lists)], names=[*batch.schema.names, out])
-
-    schema = StructType([*cells.schema.fields, StructField(out, ArrayType(ArrayType(DoubleType())))])
-    return cells.mapInArrow(batches, schema)
-
-
 def gathered(rows: DataFrame, keys: list[str], x: str = "day_idx", y: str = "vi", w: str | None = None) -> DataFrame:
     """Rows to the arrays of :func:`smooth`, in order of ``x``; a group is one curve's points."""
     weight = F.lit(1.0) if w is None else F.col(w)

@@ -9,8 +9,7 @@ from ..functions.scalar import let
 from ..operators.cycles import pheno_dates, qa_class, rank_cycles, segment_metrics, weak_cycle, with_segments
 from ..operators.despike import despiked_arrays
 from ..operators.series import KEYS
-from ..operators.similarity import masked_year, year_pairs
-from ..operators.spline import smooth_each
+from ..operators.similarity import year_curves
 from ..sources.tables import read_cells, scratch_path
 from .params import LAYER_NAMES, Params
 
@@ -23,21 +22,6 @@ def _window(year: int, p: Params) -> tuple[Column, Column]:
     return first, F.date_add(first, p.slots - 1)
 
 
-def _masked(year: Column, curve: Column, lo: Column, hi: Column, gaps: Column, p: Params) -> Column:
-    """A curve from the first day of its calendar year, null outside it, outside observations and in gaps."""
-    first, last = F.make_date(year, F.lit(1), F.lit(1)), F.make_date(year, F.lit(12), F.lit(31))
-    own = F.filter(gaps, lambda g: (g["gap_start"] <= last) & (g["gap_end"] > first))
-    own = F.transform(own, lambda g: F.struct(F.datediff(g["gap_start"], first).alias("a"), F.datediff(g["gap_end"], first).alias("b")))
-    inside = F.slice(curve, p.spline_buffer + 1, F.dayofyear(last))
-
-    def kept(of: Column) -> Column:
-        seen = lambda i: (i + (p.spline_buffer + 1)).between(lo, hi)
-        free = lambda i: ~F.exists(of, lambda g: (g["a"] <= i) & (i < g["b"]))
-        return F.transform(inside, lambda v, i: F.when(seen(i) & free(i), v))
-
-    return let(own, kept)
-
-
 def _composited(obs: Column, p: Params) -> Column:
     """The largest value of every few days, at the middle one; days outside of all windows are left out."""
     first, last = _window(min(p.years), p)[0], _window(max(p.years), p)[1]
@@ -62,32 +46,12 @@ def _low_quantile(values: Column, q: float) -> Column:
     return let(F.sort_array(values), lambda v: F.when(F.size(v) > 0, at(v)))
 
 
-def _refit(year: int, p: Params) -> Column:
-    """Weighted points of a year's window: its own at 1, in its gaps those of other years by their likeness.
-
-    Slots before the year go by the likeness of the year before, those after by the year after, as
-    far as there are such years.
-    """
-    before, after, first = max(year - 1, min(p.years)), min(year + 1, max(p.years)), _window(year, p)[0]
-    like = lambda y, o: F.get(F.transform(F.filter("pairs", lambda x: (x["year"] == y) & (x["other"] == o["year"])), lambda x: x["weight"]), F.lit(0))
-
-    def points(o: Column, w: Column) -> Column:
-        of = lambda d: F.when(o["year"] == year, 1.0).when(d <= p.spline_buffer, w["before"]).when(d > p.spline_buffer + 365, w["after"]).otherwise(w["own"])
-        slot = lambda q: F.date_add(first, q["x"].cast("int") - 1)
-        inside = lambda q: (o["year"] == year) | F.exists("gaps", lambda g: (g["gap_start"] <= slot(q)) & (slot(q) < g["gap_end"]))
-        weighed = F.transform(o["pts"], lambda q: F.struct(q["x"].alias("x"), q["y"].alias("y"), F.coalesce(of(q["x"]), F.lit(0.0)).alias("w")))
-        return F.filter(weighed, lambda q: (q["w"] > 0) & inside(q))
-
-    weights = lambda o: F.struct(like(before, o).alias("before"), like(year, o).alias("own"), like(after, o).alias("after"))
-    return F.flatten(F.transform("windows", lambda o: let(weights(o), lambda w: points(o, w))))
-
-
 def cell_years(series: DataFrame, water: DataFrame, p: Params, keys: list[str] = KEYS) -> DataFrame:
     """``(keys, year, curve, days, values, num_obs, dormant, occ, is_water)``: all that cycles are looked for in.
 
     One shuffle, by the keys, makes a row of arrays of each series; despiking, quantile, gaps, windows,
-    splines, likeness of years and refits then are expressions on that row or pass it through
-    Python in Arrow batches. ``windows`` holds a struct for each product year, so nothing is joined
+    and quantile then are expressions on that row or pass it through Python in Arrow batches, as
+    splines, likeness of years and refits do, together. ``windows`` holds a struct for each product year, so nothing is joined
     by year. A series that is stored in buckets of its keys needs no shuffle at all.
     """
     negative = F.avg(F.when(F.col("vi") < 0, 1.0).when(F.col("vi").isNotNull(), 0.0))
@@ -107,44 +71,25 @@ def cell_years(series: DataFrame, water: DataFrame, p: Params, keys: list[str] =
 
     def window(year: int) -> Column:
         first, last = _window(year, p)
-        point = lambda o: F.struct((F.datediff(o["day"], first) + 1).cast("double").alias("x"), o["v"].alias("y"), F.lit(1.0).alias("w"))
-        return F.struct(F.lit(year).alias("year"), F.transform(F.filter("obs", lambda o: o["day"].between(first, last)), point).alias("pts"))
+        seen = lambda obs: F.struct(F.lit(year).alias("year"), F.transform(obs, lambda o: F.datediff(o["day"], first) + 1).alias("xs"), F.transform(obs, lambda o: o["v"]).alias("ys"))
+        return let(F.filter("obs", lambda o: o["day"].between(first, last)), seen)
 
     cells = cells.withColumns({
         "gaps": F.filter(steps, lambda g: F.datediff(g["gap_end"], g["gap_start"]) > p.gap_days), "windows": F.array(*map(window, p.years))
     }).drop("obs")
-    cells = smooth_each(cells.withColumn("points", F.transform("windows", lambda w: w["pts"])), "points", "own", p.slots, p.spar).drop("points")
-
-    def masked(i: int, year: int) -> Column:
-        pts = F.get("windows", F.lit(i))["pts"]
-        lo, hi = (F.get(pts, at)["x"].cast("int") for at in (F.lit(0), F.size(pts) - 1))
-        curve = F.get("own", F.lit(i))
-        return F.when(curve.isNotNull(), masked_year(F.lit(year), _masked(F.lit(year), curve, lo, hi, F.col("gaps"), p)))
-
-    every = F.filter(F.array(*(masked(i, y) for i, y in enumerate(p.years))), lambda m: m.isNotNull())
-    cells = cells.withColumn("masked", every).withColumn("pairs", year_pairs("masked", p)).drop("masked")
-
-    def again(year: int) -> Column:
-        first, last = _window(year, p)
-        return F.when(F.exists("gaps", lambda g: (g["gap_start"] <= last) & (g["gap_end"] > first)), _refit(year, p)).otherwise(F.array())
-
-    cells = smooth_each(cells.withColumn("points", F.array(*map(again, p.years))).drop("pairs", "gaps"), "points", "refit", p.slots, p.spar)
-    point_type = "array<struct<x: double, y: double, w: double>>"
+    cells = year_curves(cells, p).drop("gaps").withColumnRenamed("dormant", "_dormant")
 
     def told(i: int, year: int) -> Column:
-        pts, filled = F.get("windows", F.lit(i))["pts"].cast(point_type), F.size(F.get("points", F.lit(i))) > 0
-        seen = F.size(pts) > 0
-        own = F.size(F.filter(pts, lambda q: q["x"].between(p.spline_buffer + 1, p.spline_buffer + 365)))
+        xs, ys = (F.get("windows", F.lit(i))[c] for c in ("xs", "ys"))
+        seen = F.size(xs) > 0
+        own = F.size(F.filter(xs, lambda x: x.between(p.spline_buffer + 1, p.spline_buffer + 365)))
         return F.struct(
-            F.lit(year).alias("year"), F.when(filled, F.get("refit", F.lit(i))).otherwise(F.get("own", F.lit(i))).alias("curve"),
-            F.when(seen, F.transform(pts, lambda q: q["x"].cast("int"))).alias("days"), F.when(seen, F.transform(pts, lambda q: q["y"])).alias("values"),
-            own.cast("long").alias("num_obs"), F.when(seen, F.col("dormant")).alias("dormant"),
+            F.lit(year).alias("year"), F.get("curves", F.lit(i)).alias("curve"), F.when(seen, xs).alias("days"), F.when(seen, ys).alias("values"),
+            own.cast("long").alias("num_obs"), F.when(seen, F.col("_dormant")).alias("dormant"),
         )
 
     years = F.inline(F.array(*(told(i, y) for i, y in enumerate(p.years))))
-    return cells.withColumnRenamed("dormant", "_dormant").select(
-        *keys, "occ", "is_water", "windows", "points", "own", "refit", F.col("_dormant").alias("dormant")
-    ).select(*keys, "occ", "is_water", years).select(*keys, "year", "curve", "days", "values", "num_obs", "dormant", "occ", "is_water")
+    return cells.select(*keys, "occ", "is_water", years).select(*keys, "year", "curve", "days", "values", "num_obs", "dormant", "occ", "is_water")
 
 
 def _doy(slot: str, p: Params) -> Column:
