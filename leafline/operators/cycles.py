@@ -2,10 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -13,8 +10,11 @@ from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
 from ..functions.scalar import direction_code, free_name, let, round6
 from ..plans.params import Params
+from .batches import in_parts, offsets
 from .series import KEYS
 
+CURVES = 256  # whose cycles are looked for together
+
 
 def find_peaks(curve: DataFrame, keys: list[str], slot: str = "day_idx", value: str = "v") -> DataFrame:
     """``(keys, peak, value)``: slots where a rise turns into a fall, the middle of a flat top; never an end."""
@@ -73,34 +73,21 @@ def segments(x: np.ndarray, p: Params) -> list[tuple[int, int, int]]:
 def find_segments(curves: DataFrame, keys: list[str], p: Params = Params()) -> DataFrame:
     """``(keys, curve, segs)``: the cycles of each row's ``curve``; row by row, as each peak depends on smaller ones."""
 
-    def batches(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in it:
-            found = [segments(np.asarray(c, float), p) if c is not None else [] for c in pdf["curve"]]
-            yield pdf[[*keys, "curve"]].assign(
-                starts=[[s[0] for s in x] for x in found], peaks=[[s[1] for s in x] for x in found], ends=[[s[2] for s in x] for x in found]
-            )
-
-    kinds = ", ".join(f"{k} {curves.schema[k].dataType.simpleString()}" for k in keys)
-    out = curves.select(*keys, "curve").mapInPandas(batches, f"{kinds}, curve array<double>, starts array<int>, peaks array<int>, ends array<int>")
-    zipped = F.arrays_zip(F.col("starts").alias("seg_start"), F.col("peaks").alias("seg_peak"), F.col("ends").alias("seg_end"))
-    return out.select(*keys, "curve", zipped.alias("segs"))
+    return with_segments(curves.select(*keys, F.col("curve").cast("array<double>").alias("curve")), p)
 
 
 def with_segments(rows: DataFrame, p: Params = Params()) -> DataFrame:
     """``rows`` with ``segs``, the cycles of each row's ``curve`` as :func:`find_segments` tells them; no other column is touched."""
 
-    def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in it:
-            curves = batch.column("curve")
-            found = [segments(c.values.to_numpy(), p) if c.is_valid else [] for c in curves]
-            ends = np.concatenate([[0], np.cumsum([len(x) for x in found])]).astype(np.int32)
-            flat = [s for x in found for s in x]
-            cols = [pa.array([s[k] for s in flat], pa.int32()) for k in range(3)]
-            segs = pa.ListArray.from_arrays(ends, pa.StructArray.from_arrays(cols, names=["seg_start", "seg_peak", "seg_end"]))
-            yield pa.RecordBatch.from_arrays([*batch.columns, segs], names=[*batch.schema.names, "segs"])
+    def work(batch: pa.RecordBatch) -> pa.RecordBatch:
+        found = [segments(c.values.to_numpy(), p) if c.is_valid else [] for c in batch.column("curve")]
+        flat = [s for x in found for s in x]
+        cols = [pa.array([s[k] for s in flat], pa.int32()) for k in range(3)]
+        segs = pa.StructArray.from_arrays(cols, names=["seg_start", "seg_peak", "seg_end"])
+        return pa.RecordBatch.from_arrays([*batch.columns, pa.ListArray.from_arrays(offsets([len(x) for x in found]), segs)], names=[*batch.schema.names, "segs"])
 
     segs = ArrayType(StructType([StructField(n, IntegerType()) for n in ("seg_start", "seg_peak", "seg_end")]))
-    return rows.mapInArrow(batches, StructType([*rows.schema.fields, StructField("segs", segs)]))
+    return rows.mapInArrow(in_parts(work, CURVES), StructType([*rows.schema.fields, StructField("segs", segs)]))
 
 
 def _at(slot: str | Column) -> Column:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from itertools import pairwise
 
 import numpy as np
@@ -11,8 +10,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.params import Params
+from .batches import in_parts, offsets
 from .series import KEYS
 
+SERIES = 64  # that are despiked before the next are looked at
+
 #: Scales a median absolute deviation to a standard deviation.
 MAD_SCALE = 0.6745
 
@@ -94,20 +96,19 @@ def despiked_arrays(obs: DataFrame, p: Params = Params(), keys: list[str] = KEYS
     values = [F.col(f"s.{c}").cast("array<double>").alias(f"s_{c}") for c in ("blue", "red", "vi")]
     arrays = rows.select(*keys, *more, F.col("s.day").alias("s_day"), *values)
 
-    def clean(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in it:
-            days, *rest = (batch.column(batch.num_columns - 4 + i) for i in range(4))
-            when = days.flatten().cast(pa.int32()).to_numpy(zero_copy_only=False)
-            blue, red, vi = (c.flatten().to_numpy(zero_copy_only=False) for c in rest)
-            ends = np.concatenate([[0], np.cumsum(days.value_lengths().to_numpy())])
-            out = vi.copy()
-            for a, b in pairwise(ends):
-                out[a:b][spike_flags(blue[a:b], red[a:b], vi[a:b], when[a:b], p)] = np.nan
-            cleaned = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(out, from_pandas=True))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-4], days, cleaned], names=[*batch.schema.names[:-3], "s_vi"])
+    def clean(batch: pa.RecordBatch) -> pa.RecordBatch:
+        days, *rest = (batch.column(batch.num_columns - 4 + i) for i in range(4))
+        when = days.flatten().cast(pa.int32()).to_numpy(zero_copy_only=False)
+        blue, red, vi = (c.flatten().to_numpy(zero_copy_only=False) for c in rest)
+        ends = offsets(days.value_lengths().to_numpy())
+        out = vi.copy()
+        for a, b in pairwise(ends):
+            out[a:b][spike_flags(blue[a:b], red[a:b], vi[a:b], when[a:b], p)] = np.nan
+        cleaned = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(out, from_pandas=True))
+        return pa.RecordBatch.from_arrays([*batch.columns[:-4], days, cleaned], names=[*batch.schema.names[:-3], "s_vi"])
 
     kinds = ", ".join(f"{k} {rows.schema[k].dataType.simpleString()}" for k in [*keys, *more])
-    return arrays.mapInArrow(clean, f"{kinds}, s_day array<date>, s_vi array<double>")
+    return arrays.mapInArrow(in_parts(clean, SERIES), f"{kinds}, s_day array<date>, s_vi array<double>")
 
 
 def despike(obs: DataFrame, p: Params = Params(), keys: list[str] = KEYS, date: str = "obs_date") -> DataFrame:
