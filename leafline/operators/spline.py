@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -11,6 +10,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .batches import in_parts, offsets
+
 CURVES = 256  # that are solved together
 
 
@@ -199,22 +200,18 @@ def smooth(points: DataFrame, keys: list[str], slots: int = 735, spar: float = 0
     def floats(column: pa.Array) -> np.ndarray:
         return pc.cast(column, pa.float64()).to_numpy(zero_copy_only=False)
 
-    def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in it:
-            for i in range(0, whole.num_rows, CURVES):
-                batch = whole.slice(i, CURVES)
-                xs, ys, ws = (batch.column(c) for c in ("xs", "ys", "ws"))
-                curve = np.repeat(np.arange(batch.num_rows), pc.fill_null(pc.list_value_length(xs), 0).to_numpy())
-                out = smoothing_splines(curve, floats(xs.flatten()), floats(ys.flatten()), floats(ws.flatten()), batch.num_rows, at, spar)
-                low = floats(batch.column("dormant"))[:, None]
-                out = np.where(out < low, low, out)
-                known = np.isfinite(out).all(axis=1)
-                ends = np.concatenate([[0], np.cumsum(np.where(known, slots, 0))]).astype(np.int32)
-                lists = pa.ListArray.from_arrays(ends, out[known].ravel(), mask=pa.array(~known))
-                yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keys), lists], names=[*keys, "curve"])
+    def work(batch: pa.RecordBatch) -> pa.RecordBatch:
+        xs, ys, ws = (batch.column(c) for c in ("xs", "ys", "ws"))
+        curve = np.repeat(np.arange(batch.num_rows), pc.fill_null(pc.list_value_length(xs), 0).to_numpy())
+        out = smoothing_splines(curve, floats(xs.flatten()), floats(ys.flatten()), floats(ws.flatten()), batch.num_rows, at, spar)
+        low = floats(batch.column("dormant"))[:, None]
+        out = np.where(out < low, low, out)
+        known = np.isfinite(out).all(axis=1)
+        lists = pa.ListArray.from_arrays(offsets(np.where(known, slots, 0)), out[known].ravel(), mask=pa.array(~known))
+        return pa.RecordBatch.from_arrays([*(batch.column(k) for k in keys), lists], names=[*keys, "curve"])
 
     kinds = ", ".join(f"{k} {points.schema[k].dataType.simpleString()}" for k in keys)
-    return points.select(*keys, "xs", "ys", "ws", "dormant").mapInArrow(batches, f"{kinds}, curve array<double>")
+    return points.select(*keys, "xs", "ys", "ws", "dormant").mapInArrow(in_parts(work, CURVES), f"{kinds}, curve array<double>")
 
 
 def gathered(rows: DataFrame, keys: list[str], x: str = "day_idx", y: str = "vi", w: str | None = None) -> DataFrame:
