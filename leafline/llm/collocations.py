@@ -28,6 +28,7 @@ DENSE_FROM = 1 << 15  # pairs at once from which a tile is counted densely
 DENSE_TILES = 8  # of a task, of 8 MB each
 PENDING = 1 << 20  # pairs before a task counts them
 SPARSE_HELD = 1 << 20  # counts of pairs outside dense tiles before a task sends them on
+FILTER_BITS = 27  # a bit of so many address bits (16 MB in all) says what may be frequent without a rank
 
 _LOW = bytes.maketrans(b".,;:!?\n\v\f\r\t", b"\xff" * 10 + b" ")
 
@@ -101,8 +102,14 @@ class Ranks:
     def __init__(self, left: np.ndarray, right: np.ndarray, words: np.ndarray):
         """``words`` has a row for each phrase, the most frequent first; its number is its id."""
         key = (left << 32) | right
-        self.ids = np.argsort(key)
-        self.keys, self.words = key[self.ids], words
+        order = np.argsort(key)
+        self.keys, self.ids, self.words = key[order], order.astype(np.int32), words
+
+    def without_words(self) -> Ranks:
+        """The same for looking up only, as small as can be."""
+        out = object.__new__(Ranks)
+        out.keys, out.ids, out.words = self.keys, self.ids, None
+        return out
 
     def of(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         out = np.full(len(left), BREAK, np.int64)
@@ -187,8 +194,59 @@ def _salt(unranked: DataFrame) -> int:
     raise RuntimeError("no salt keeps words apart")
 
 
-def _coded(docs: DataFrame, lang_col: str, text_col: str, ids, salt: int | None) -> DataFrame:
-    """``(lang, ids)``: the word ids of some documents each, a BREAK between pieces. ``ids``: a broadcast of lang to word to id."""
+def _places(words: np.ndarray) -> np.ndarray:
+    """For each row of word ids, the bit of a filter that stands for it."""
+    h = np.zeros(len(words), np.uint64)
+    for col in words.T:
+        h = (h ^ col.astype(np.int64).view(np.uint64)) * np.uint64(0xFF51AFD7ED558CCD)
+        h ^= h >> np.uint64(32)
+    return (h >> np.uint64(64 - FILTER_BITS)).view(np.int64)
+
+
+def _in_filter(bits: np.ndarray, words: np.ndarray) -> np.ndarray:
+    at = _places(words)
+    return (bits[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
+
+
+def _filter(phrases: DataFrame, levels=None) -> np.ndarray:
+    """Bits of the phrases ``(lang, w)`` without a rank in ``levels``, a broadcast; of all without it. It is of one size, whatever there is."""
+
+    def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_worker()
+        for batch in it:
+            if not batch.num_rows:
+                continue
+            langs, w = np.array(batch.column(0).to_pylist(), object), batch.column(1).flatten().to_numpy().reshape(batch.num_rows, -1)
+            left = np.ones(len(w), bool)
+            if levels is not None:
+                for lang in set(langs.tolist()):
+                    mine = langs == lang
+                    left[mine] = _ranks_of(w[mine], levels.value.get(lang, [])) < 0
+            yield pa.RecordBatch.from_arrays([pa.array(_places(w[left]))], names=["place"])
+
+    places = phrases.select("lang", "w").mapInArrow(batches, "place long")
+    block = F.call_function("shiftright", F.col("place"), F.lit(15))
+    rows = places.groupBy(block.alias("block")).agg(F.bitmap_construct_agg(F.col("place").bitwiseAND(F.lit(0x7FFF))).alias("bits")).toArrow()
+    out = np.zeros((1 << FILTER_BITS) // 8, np.uint8)
+    for i, raw in zip(rows.column("block").to_pylist(), rows.column("bits").to_pylist()):
+        out[i * 4096 : (i + 1) * 4096] = np.frombuffer(raw, np.uint8)
+    return out
+
+
+def _ranks_of(words: np.ndarray, levels: list[Ranks]) -> np.ndarray:
+    """The ids of phrases of as many words as there are columns, from the ``levels`` of 2, 3 .. words; BREAK for those without one."""
+    cols = list(words.T)
+    for ranks in levels[: len(cols) - 1]:
+        cols = [ranks.of(a, b) for a, b in zip(cols, cols[1:])]
+    return cols[0] if len(cols) == 1 else np.full(len(words), BREAK, np.int64)
+
+
+def _coded(docs: DataFrame, lang_col: str, text_col: str, ids, salt: int | None, bits=None) -> DataFrame:
+    """``(lang, ids)``: the word ids of some documents each, a BREAK between pieces. ``ids``: a broadcast of lang to word to id.
+
+    Words that aren't frequent are a BREAK too. With a ``salt``, frequent words without a rank have an
+    id by their hash; ``bits``, a broadcast filter, says which words may be such.
+    """
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release_worker()
@@ -200,28 +258,37 @@ def _coded(docs: DataFrame, lang_col: str, text_col: str, ids, salt: int | None)
                 else:
                     coded = [np.array([BREAK if w == b"\xff" else i if (i := known.get(w)) is not None else _salted(w, salt) for w in words], np.int64) for words in windows(data)]
                 x = np.concatenate([*coded, np.empty(0, np.int64)])
-                if salt is None:
-                    alone = x == BREAK  # a run of them says no more than one
-                    x = x[~(alone & np.concatenate([[True], alone[:-1]])[: len(x)])].astype(np.int32)
+                if salt is not None:
+                    other = np.flatnonzero(x < BREAK)
+                    x[other[~_in_filter(bits.value, x[other, None])]] = BREAK
+                alone = x == BREAK  # a run of them says no more than one
+                x = x[~(alone & np.concatenate([[True], alone[:-1]])[: len(x)])]
+                x = x.astype(np.int32) if salt is None else x
                 yield pa.RecordBatch.from_arrays([pa.array([lang], pa.string()), pa.array([x.tobytes()], pa.binary())], names=["lang", "ids"])
 
     return docs.select(F.col(lang_col).cast("string"), text_col).mapInArrow(batches, "lang string, ids binary")
 
 
-def _phrases(coded: DataFrame, length: int, levels, whole: list[bool], narrow: bool) -> DataFrame:
-    """``(lang, w, c)`` with the ids of ``length`` words each. ``levels``: a broadcast of lang to Ranks of 2, 3 .. words.
+def _phrases(coded: DataFrame, length: int, levels, whole: list[bool], narrow: bool, bits=None) -> DataFrame:
+    """``(lang, key, f)`` with the pairs of ids, ``key``, of ``length`` words each. ``levels``: a broadcast of lang to Ranks of 2, 3 .. words.
 
     ``whole`` says of each shorter length, from 1, whether all frequent phrases have ranks. If so,
-    only neighbours of ranked phrases are counted, in tiles; else others are counted as the words
-    they are, so that none is lost.
+    only neighbours of ranked phrases are counted, in tiles; else there is ``w`` too: others are counted as the
+    words they are, so that none is lost, but for those that a part says can't be frequent. ``bits`` is
+    a broadcast filter of the frequent phrases one word shorter that have no rank.
     """
     n = length - 1
-
-    def rows(lang: str, w: np.ndarray, c: np.ndarray) -> Iterator[pa.RecordBatch]:
-        for i in range(0, len(w), 1 << 18):
-            part = w[i : i + (1 << 18)]
-            lists = pa.FixedSizeListArray.from_arrays(pa.array(part.ravel()), length).cast(pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(part), pa.string()), lists, pa.array(c[i : i + (1 << 18)])], names=["lang", "w", "c"])
+    all_ranked = all(whole[:n])
+    names = ["lang", "key", "c"] if all_ranked else ["lang", "key", "w", "c"]
+
+    def rows(lang: str, key: np.ndarray | None, w: np.ndarray | None, c: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for i in range(0, len(c), 1 << 18):
+            m = min(1 << 18, len(c) - i)
+            cols = [pa.array([lang] * m, pa.string()), pa.nulls(m, pa.int64()) if key is None else pa.array(key[i : i + m])]
+            if not all_ranked:
+                lists = pa.list_(pa.int64())
+                cols.append(pa.nulls(m, lists) if w is None else pa.FixedSizeListArray.from_arrays(pa.array(w[i : i + m].ravel()), length).cast(lists))
+            yield pa.RecordBatch.from_arrays([*cols, pa.array(c[i : i + m])], names=names)
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release_worker()
@@ -234,11 +301,7 @@ def _phrases(coded: DataFrame, length: int, levels, whole: list[bool], narrow: b
         def out() -> Iterator[pa.RecordBatch]:
             for lang, own in tiles.items():
                 a, b, c = own.out()
-                if not len(a):
-                    continue
-                ranks = levels.value.get(lang, [])
-                w = np.stack([a, b], axis=1) if n == 1 else np.concatenate([ranks[n - 2].words[a], ranks[n - 2].words[b, -1:]], axis=1)
-                yield from rows(lang, w, c)
+                yield from rows(lang, (a << 32) | b, None, c)
 
         for batch in it:
             for lang, raw in zip(batch.column(0).to_pylist(), batch.column(1)):
@@ -253,11 +316,16 @@ def _phrases(coded: DataFrame, length: int, levels, whole: list[bool], narrow: b
                 a, b = own[:-1], own[1:]
                 both = (a >= 0) & (b >= 0)
                 tiles.setdefault(lang, PairTiles()).add(a[both], b[both])
-                if not all(whole[:n]):
+                if not all_ranked:
                     ends = len(x) - n
                     at = np.flatnonzero(~both & reduce(np.logical_and, [x[i : i + ends] != BREAK for i in range(length)]))
-                    w, c = np.unique(x[at[:, None] + np.arange(length)], axis=0, return_counts=True)
-                    yield from rows(lang, w, c)
+                    for part in (0, 1) if n > 1 else ():  # of single words only those that may be frequent have an id
+                        known = own[at + part] >= 0
+                        known[~known] = _in_filter(bits.value, x[at[~known, None] + part + np.arange(n)])
+                        at = at[known]
+                    if len(at):
+                        w, c = np.unique(x[at[:, None] + np.arange(length)], axis=0, return_counts=True)
+                        yield from rows(lang, None, w, c)
                 if sum(t.n_pending for t in tiles.values()) > PENDING:
                     settled()
                     if sum(len(t.keys) for t in tiles.values()) > SPARSE_HELD:
@@ -265,8 +333,36 @@ def _phrases(coded: DataFrame, length: int, levels, whole: list[bool], narrow: b
         settled()
         yield from out()
 
-    counted = coded.mapInArrow(batches, "lang string, w array<long>, c long")
-    return counted.groupBy("lang", "w").agg(F.sum("c").alias("f"))
+    counted = coded.mapInArrow(batches, "lang string, key long, c long" if all_ranked else "lang string, key long, w array<long>, c long")
+    return counted.groupBy(*names[:-1]).agg(F.sum("c").alias("f"))
+
+
+def _worded(counted: DataFrame, length: int, before) -> DataFrame:
+    """``(lang, w, f)``: the counted phrases with the ids of their words. ``before``: a broadcast of lang to the words of the ranked phrases one word shorter."""
+    n = length - 1
+
+    def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_worker()
+        for batch in it:
+            langs, key = np.array(batch.column(0).to_pylist(), object), batch.column(1)
+            w = np.empty((batch.num_rows, length), np.int64)
+            plain = key.is_null().to_numpy(zero_copy_only=False)
+            if plain.any():
+                w[plain] = batch.column(3).filter(key.is_null()).flatten().to_numpy().reshape(-1, length)
+            key = key.fill_null(0).to_numpy()
+            a, b = key >> 32, key & 0xFFFFFFFF
+            for lang in set(langs[~plain].tolist()):
+                mine = ~plain & (langs == lang)
+                if n == 1:
+                    w[mine] = np.stack([a[mine], b[mine]], axis=1)
+                else:
+                    words = before.value[lang]
+                    w[mine] = np.concatenate([words[a[mine]], words[b[mine], -1:]], axis=1)
+            lists = pa.FixedSizeListArray.from_arrays(pa.array(w.ravel()), length).cast(pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), lists, batch.column(2)], names=["lang", "w", "f"])
+
+    cols = ["lang", "key", "f", *(["w"] if "w" in counted.columns else [])]
+    return counted.select(cols).mapInArrow(batches, "lang string, w array<long>, f long")
 
 
 def _ranked(found: DataFrame, length: int, before: dict[str, list[Ranks]]) -> tuple[dict[str, Ranks], int]:
@@ -303,22 +399,30 @@ def frequent_phrases(docs: DataFrame, lang_col: str = "lang", text_col: str = "t
     known = {lang: dict(zip((w.encode() for w in rows["word"]), rows["id"].tolist())) for lang, rows in own.groupby("lang")}
     ids = spark.sparkContext.broadcast(known)
     single = spark.createDataFrame(pa.table({c: pa.array(own[c], t) for c, t in (("lang", pa.string()), ("word", pa.string()), ("f", pa.int64()), ("id", pa.int64()))}))
-    salt = None
+    salt, bits = None, None
     if not whole[0]:
         others = written(words.join(written(single, "ranked-words").select("lang", "word"), ["lang", "word"], "left_anti"), "other-words")
         salt = _salt(others)
         hashed = F.shiftrightunsigned(F.xxhash64(F.concat(F.lit(f"{salt} "), "word")), 2)
-        single = single.union(others.where(F.col("f") >= least).select("lang", "word", "f", F.lit(-2) - hashed))
+        frequent = others.where(F.col("f") >= least).select("lang", "word", "f", (F.lit(-2) - hashed).alias("id"))
+        bits = spark.sparkContext.broadcast(_filter(frequent.select("lang", F.array("id").alias("w"))))
+        single = single.union(frequent)
     none = F.array().cast("array<long>")
     single = single.select("lang", F.array("id").alias("w"), F.col("word").alias("phrase"), F.col("word").alias("last"), "f", none.alias("firsts"), none.alias("rests"))
     tables = [written(single, "phrases-1")]
-    coded = written(_coded(docs, lang_col, text_col, ids, salt), "coded-words")
+    coded = written(_coded(docs, lang_col, text_col, ids, salt, bits), "coded-words")
     ids.unpersist()
     levels: dict[str, list[Ranks]] = {}
     for length in range(2, longest + 1):
-        told = spark.sparkContext.broadcast(levels)
-        found = written(_phrases(coded, length, told, whole, salt is None).where(F.col("f") >= least), f"counts-{length}")
-        told.unpersist()
+        told = [
+            spark.sparkContext.broadcast({lang: [r.without_words() for r in own] for lang, own in levels.items()}),
+            spark.sparkContext.broadcast({lang: own[length - 3].words for lang, own in levels.items() if 2 < length < len(own) + 3}),
+            *([] if bits is None else [bits]),
+        ]
+        counted = _phrases(coded, length, told[0], whole, salt is None, bits).where(F.col("f") >= least)
+        found, bits = written(_worded(counted, length, told[1]), f"counts-{length}"), None
+        for x in told:
+            x.unpersist()
         before = table_or_shuffle(tables[-1], LOOKED_UP)
         left = before.select("lang", F.col("w").alias("lw"), F.col("phrase").alias("lp"), F.col("f").alias("lf"), F.col("firsts"))
         right = before.select("lang", F.col("w").alias("rw"), "last", F.col("f").alias("rf"), "rests")
@@ -332,6 +436,10 @@ def frequent_phrases(docs: DataFrame, lang_col: str = "lang", text_col: str = "t
             whole.append(found.count() == n)
             for lang, ranks in ranked.items():
                 levels.setdefault(lang, []).append(ranks)
+            if not all(whole):
+                told = spark.sparkContext.broadcast({lang: [r.without_words() for r in own] for lang, own in levels.items()})
+                bits = spark.sparkContext.broadcast(_filter(found, told))
+                told.unpersist()
     return words, tables
 
 
@@ -358,7 +466,8 @@ def collocations(
     Words are ranked by frequency, and neighbours counted as pairs of ranks, in dense tiles near the
     origin and as sorted coordinates elsewhere. Frequent pairs are ranked in turn: neighbouring pairs
     are phrases of three words, those of them phrases of four. At most ``RANKED_WORDS`` words and
-    ``RANKED_PHRASES`` phrases have ranks; any others are counted as the words they are.
+    ``RANKED_PHRASES`` phrases have ranks; any others are counted as the words they are, if a filter of
+    fixed size doesn't rule out that their parts are frequent.
     """
     words, tables = frequent_phrases(docs, lang_col, text_col, least, longest)
     phrases = reduce(DataFrame.union, tables[1:])

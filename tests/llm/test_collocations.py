@@ -119,3 +119,17 @@ def test_most_frequent_keeps_to_its_limit(spark):
         rows = co.most_frequent(counted, limit).collect()
         least = min((r["f"] for r in rows), default=99)
         assert len(rows) <= limit and len(rows) == counted.where(f"f >= {least}").count() and (limit < 30 or len(rows) > 15)
+
+
+@pytest.mark.parametrize("words,phrases", [(4, 1_000_000), (500_000, 3), (4, 3), (0, 0)])
+def test_rare_words_and_phrases_are_not_counted_beside_ranks(spark, monkeypatch, words, phrases):
+    """Where not all that is frequent has a rank, a phrase of which some part is rare makes no row."""
+    monkeypatch.setattr(co, "RANKED_WORDS", words)
+    monkeypatch.setattr(co, "RANKED_PHRASES", phrases)
+    rng, often = random.Random(3), [f"w{i}" for i in range(12)]
+    fixed = [[rng.choice(often) for _ in range(4)] for _ in range(6)]
+    rows = [(" ".join([*rng.choice(fixed), f"rare{i}", f"odd{i}", rng.choice(often), f"one{i}"]), rng.choice(["en", "de"])) for i in range(400)]
+    made, plain = [], co._phrases
+    monkeypatch.setattr(co, "_phrases", lambda *a: made.append((out := plain(*a)).count()) or out)
+    assert _got(co.collocations(_frame(spark, rows).repartition(2), least=6)) == _brute(rows, 6, 2000)
+    assert len(made) == 3 and sum(made) < 150  # of 6 sequences of 4 words in 2 languages; all phrases are some 5,000
