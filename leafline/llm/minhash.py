@@ -215,9 +215,11 @@ def links_of_blocks(rows: pa.Table, least: float, need: list[int]) -> list[tuple
     return out
 
 
-def _links_between(held: DataFrame, bands: DataFrame, known: DataFrame, least: float, miss: float) -> DataFrame:
-    """Links between components that share a key: its sets are dealt to blocks of bounded size, and any two blocks meet in one group."""
-    need = fewest_matches(least, miss)
+def _links_between(held: DataFrame, bands: DataFrame | None, known: DataFrame, least: float, need: list[int]) -> DataFrame:
+    """Links between components that share a key: its sets are dealt to blocks of bounded size, and any two blocks meet in one group.
+
+    Without ``bands`` a pair counts under each key that it shares.
+    """
     share = lambda c, of: F.ceil(F.sum(c) / F.lit(of))
     sizes = held.groupBy("key").agg(F.greatest(share(F.col("n") * 8, BLOCK_BYTES), share(F.lit(1), BLOCK_SETS)).alias("blocks"))
     placed = held.join(table_or_shuffle(written(sizes, "key-blocks")), "key").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
@@ -228,7 +230,7 @@ def _links_between(held: DataFrame, bands: DataFrame, known: DataFrame, least: f
         found = links_of_blocks(rows, least, need)
         return pa.table({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([y for _, y in found], pa.int64())})
 
-    full = met.join(known.join(bands, "node"), "node")
+    full = met.join(known, "node").withColumn("bands", F.array("key")) if bands is None else met.join(known.join(bands, "node"), "node")
     return written(full.groupBy("key", "lo", "hi").applyInArrow(linked, "a long, b long"), "block-links")
 
 
@@ -238,7 +240,11 @@ def _side(held: DataFrame, side: str) -> DataFrame:
 
 
 def _links(nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str, width: int, least: float, miss: float, groups: DataFrame | None = None) -> DataFrame | None:
-    """``(node, component)`` of sets that are linked with another, or None; sets of ``groups``, ``(rep, group)``, are compared with their first before any others."""
+    """``(node, component)`` of sets that are linked with another, or None.
+
+    Sets of a group, ``(node, group)`` in the written table ``groups``, are compared before any others: with the
+    first of their group, then with all of it that aren't in one component yet, on whole sets only.
+    """
     sig = [F.col("sig")[i].alias(f"s{i}") for i in range(HASHES // BATCH)]
     tokens = nodes.select("node", "n", *sig, F.explode("bands").alias("key"))
     often = written(tokens.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key"), "shared-keys")
@@ -251,13 +257,19 @@ def _links(nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str, width:
         return _sets_of(own, docs, id_col, text_col, width)
 
     links = comps = None
-    for turn in range(0 if groups is None else -1, STAR_ROUNDS + 1):
-        if turn < 0:
-            grouped = written(nodes.select("node", "rep").join(groups, "rep").select("node", "group").distinct(), "grouped-sets")
-            firsts = written(grouped.groupBy("group").agg(F.min("node").alias("a"), F.max("node").alias("last")).where("a < last").select("group", "a"), "group-firsts")
-            pairs = grouped.join(table_or_shuffle(firsts), "group").where("a < node").select("a", F.col("node").alias("b"))
+    for turn in range(0 if groups is None else -2, STAR_ROUNDS + 1):
+        if turn == -2:
+            firsts = written(groups.groupBy("group").agg(F.min("node").alias("a"), F.max("node").alias("last")).where("a < last").select("group", "a"), "group-firsts")
+            pairs = groups.join(table_or_shuffle(firsts), "group").where("a < node").select("a", F.col("node").alias("b"))
             pairs = written(pairs.distinct(), "group-pairs")
             more = _confirmed(pairs, sets_of(pairs.select(F.col("a").alias("node")).union(pairs.select("b"))), least)
+        elif turn < 0:
+            own = groups if comps is None else groups.join(comps, "node", "left")
+            own = own.withColumn("comp", F.col("node") if comps is None else F.coalesce("component", "node"))
+            mixed = own.groupBy("group").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("group")
+            mixed = own.join(table_or_shuffle(written(mixed, "mixed-groups")), "group", "left_semi")
+            mixed = written(mixed.join(nodes, "node").select(F.xxhash64("group").alias("key"), "node", "n", *sig, "comp").distinct(), "grouped-bands")
+            more = mixed if mixed.isEmpty() else _links_between(mixed, None, sets_of(mixed.select("node")), least, [0] * len(sig))
         elif turn < STAR_ROUNDS:  # each set is compared with one of its group, in each turn with another
             order = F.xxhash64("node", F.lit(turn))
             stars = held.groupBy("key").agg(F.min(order).alias("first"))
@@ -266,10 +278,12 @@ def _links(nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str, width:
             pairs = written(pairs.distinct(), "star-pairs")
             more = _confirmed(pairs, sets_of(pairs.select(F.col("a").alias("node")).union(pairs.select("b"))), least)
         else:  # then all that are not in one component yet
-            more = _links_between(held, nodes.select("node", "bands"), sets_of(held.select("node")), least, miss)
-        if not more.isEmpty():
+            more = _links_between(held, nodes.select("node", "bands"), sets_of(held.select("node")), least, fewest_matches(least, miss))
+        grown = not more.isEmpty()
+        if grown:
             links = more if links is None else links.union(more)
             comps = written(connected_components(links), "minhash-comps")
+        if grown and turn >= 0 or comps is not None and turn == -1:
             held = held.drop("comp").join(comps.withColumnRenamed("component", "comp"), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
         if 0 <= turn < STAR_ROUNDS:
             mixed = held.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
@@ -297,15 +311,17 @@ def components(
     and links with nothing, or with all others of its kind if ``link_empty``. Rows come back as often as they are there. Rows that share an id are
     linked by their texts alone. A row with a null id keeps it, links like any other and never names
     a component: where no id is reachable, its component is null. ``groups`` has ids and a ``group``
-    that another method gave them: rows are compared with the first of their group on whole sets
-    before bands are, so those that it links aren't compared again. It adds no link that isn't one.
+    that another method gave them: rows of a group are compared on whole sets before bands are, with
+    its first and then with all that aren't linked yet, whatever their bands or signatures; so no
+    link within a group is missed, and those linked aren't compared again. It adds no link that isn't one.
     """
     prints = written(_prints(docs, id_col, text_col, width), "minhash-prints")
     first = {c: F.first(c).alias(c) for c in ("n", "sig", "bands")}
     nodes = prints.where("n > 0").groupBy("set_key").agg(F.min("id").alias("rep"), *first.values()).withColumn("node", F.monotonically_increasing_id())
     nodes = written(nodes, "minhash-sets")
     if groups is not None:
-        groups = groups.select(F.col(id_col).alias("rep"), "group").where("rep is not null")
+        groups = prints.where("n > 0").select("id", "set_key").join(groups.select(F.col(id_col).alias("id"), "group"), "id")
+        groups = written(groups.select("set_key", "group").distinct().join(nodes.select("set_key", "node"), "set_key").select("node", "group").distinct(), "grouped-sets")
     comps = _links(nodes, docs, id_col, text_col, width, least, miss, groups)
     found = nodes.select("set_key", "rep", "node")
     if comps is not None:

@@ -169,3 +169,24 @@ def test_near_dedup_goes_by_simhash_first(spark, monkeypatch):
     assert linked > 5 and len(asked) > 1 and 0 < asked[0][1] <= asked[0][0] <= len(rows)
     wrong = docs.select("doc_id", F.lit(1).alias("group"))
     assert {r["doc_id"] for r in minhash.keep_one_of_each(docs, width=5, least=0.8, groups=wrong).collect()} == want
+
+
+def test_links_within_given_groups_miss_nothing(spark, monkeypatch):
+    """Where signatures drop most links, those within groups are still all found: not with the first of a group alone, and of every row."""
+    monkeypatch.setattr(minhash, "BLOCK_SETS", 20)
+    rng = random.Random(21)
+    word = lambda: f"w{rng.randrange(4000)}"
+    rows = [(0, "apart from all others in every word")]
+    for _ in range(25):
+        base = [word() for _ in range(60)]
+        other = [*base[:55], *(word() for _ in range(5))]
+        rows += [(len(rows), " ".join(base)), (len(rows) + 1, " ".join(other))]
+    rows += [(900 + i, t.upper()) for i, t in rows[1:5]]  # equal sets: only the smallest id of them stands for the set
+    want = _brute(rows, 5)
+    # one group of all; in the second, copies of a set are in their own group with what it links
+    own = {r[0]: f"a{(r[0] - 1) // 2}" for r in rows}
+    for groups in ({r[0]: "all" for r in rows}, own | {1: "x", 2: "y", 3: "z", 4: "u", 901: "l", 902: "l", 903: "m", 904: "m"}):
+        frame = spark.createDataFrame(list(groups.items()), "doc_id long, group string")
+        got = _got(minhash.near_duplicates(_frame(spark, rows), width=5, miss=0.9, groups=frame))
+        assert got == want and sum(not kept for *_, kept in want) == 29
+    assert _got(minhash.near_duplicates(_frame(spark, rows), width=5, miss=0.9)) != want
