@@ -334,7 +334,8 @@ def _phrases(coded: DataFrame, length: int, levels, whole: list[bool], narrow: b
         yield from out()
 
     counted = coded.mapInArrow(batches, "lang string, key long, c long" if all_ranked else "lang string, key long, w array<long>, c long")
-    return counted.groupBy(*names[:-1]).agg(F.sum("c").alias("f"))
+    # tasks have counted before: hash tables of nearly all pairs of a task would only fill an executor's memory
+    return counted.repartition(*names[:-1]).groupBy(*names[:-1]).agg(F.sum("c").alias("f"))
 
 
 def _worded(counted: DataFrame, length: int, before) -> DataFrame:
